@@ -9,9 +9,9 @@ whose estimate is within ``MARGIN`` of the limit are confirmed on full sets.
 
 No step emits all pairs of a bucket.  First each member is held against the
 bucket's least member.  Pairs are then only of interest across the components
-that this leaves: each row's nearest rows in other components follow, and last
-whatever candidate pairs still lie across components, so no link is lost.
-Large buckets are compared in blocks.
+that this leaves: each row's nearest rows in other components follow.  Last, the
+rows that still have candidates across components are brought together with
+their full sets, block by block, and confirmed there, so no link is lost.
 """
 
 from __future__ import annotations
@@ -159,6 +159,12 @@ def sized(a: str, b: str, per: int, of: int):
     return (F.col(a) * of >= F.col(b) * per) & (F.col(b) * of >= F.col(a) * per)
 
 
+def linked(x: np.ndarray, y: np.ndarray, per: int, of: int) -> bool:
+    """Whether two sorted sets link."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return of * both >= per * (len(x) + len(y) - both)
+
+
 def confirm(pairs: DataFrame, full: DataFrame, per: int, of: int, work: Workspace) -> DataFrame:
     """The pairs (a, b) of fingerprints whose full sets link."""
     left = keys_join(full.withColumnRenamed("fp", "b"), pairs, "b").withColumnRenamed("shingles", "sb")
@@ -168,56 +174,87 @@ def confirm(pairs: DataFrame, full: DataFrame, per: int, of: int, work: Workspac
         for batch in parts(batches, 256):
             keep = []
             for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(of * both >= per * (len(x) + len(y) - both))
+                keep.append(linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), per, of))
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep, pa.bool_()))
 
     joined = left.join(right, "a").select("a", "b", "sa", "sb")
     return work.save(joined.mapInArrow(run, "a binary, b binary"), "links")
 
 
-def across(members: DataFrame, least: float, per: int, of: int, nearest: int | None) -> DataFrame:
-    """Candidate pairs (a, b) of different components within a bucket, compared in blocks.
+def across(members: DataFrame, mode: str, per: int, of: int) -> DataFrame:
+    """What is open between different components within a bucket, compared in blocks.
 
-    ``members``: bk, fp, n, sig, label.  With ``nearest``, each row of a block
-    gives its so many most similar rows at most; without, all pairs that may link.
+    ``members``: bk, fp, n, sig, bands, label.  Candidates are pairs of different
+    labels whose estimate allows a link, in the first bucket that they share.
+    Mode ``nearest``: pairs (a, b), of each row's ``NEAREST`` most similar
+    candidates in a block.  Mode ``open``: (bk, fp) of the rows with candidates.
+    Mode ``links``, with the column shingles: links (a, b) confirmed on full sets
+    that join the components of a block.  All return about as many rows as they
+    read, however many candidates there are.
     """
     open_ = members.groupBy("bk").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bk", F.expr(f"cast(ceil(size / greatest({BLOCK}, least({BLOCK_MOST}, size / 8))) as int)").alias("m"))
     rows = keys_join(members, open_, "bk").withColumn("p", F.expr("cast(pmod(xxhash64(fp, bk), m) as int)"))
     rows = rows.withColumn("q", F.explode(F.expr("sequence(0, m - 1)")))
-    rows = rows.select("bk", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "fp", "n", "sig", "label")
-    mask, bits = np.uint64(int("5" * 16, 16)), np.uint64(1)
-
-    def pairs(g: pa.Table):
-        fp, label = g.column("fp").to_pylist(), np.array(g.column("label").to_pylist(), object)
-        lab = np.unique(label, return_inverse=True)[1]
-        if lab.max() == 0:
-            return
-        n, p = g.column("n").to_numpy(), g.column("p").to_numpy()
-        flat = g.column("sig").combine_chunks()
-        sig = flat.values.to_numpy()[flat.offsets[0].as_py() : flat.offsets[-1].as_py()].reshape(-1, LONGS).view(np.uint64)
+    rows = rows.withColumns({"i": F.least("p", "q"), "j": F.greatest("p", "q")}).drop("q", "m")
+    names = ("bk", "fp") if mode == "open" else ("a", "b")
+    mask, one, least = np.uint64(int("5" * 16, 16)), np.uint64(1), per / of - MARGIN
+
+    def longs(column, width: int) -> np.ndarray:
+        return column.combine_chunks().flatten().to_numpy().reshape(-1, width)
+
+    def found(g: pa.Table) -> list[tuple]:
+        fp = g.column("fp").to_pylist()
+        label = np.unique(np.array(g.column("label").to_pylist(), object), return_inverse=True)[1]
+        if label.max() == 0:
+            return []
+        n, p, bk = g.column("n").to_numpy(), g.column("p").to_numpy(), g.column("bk")[0].as_py()
+        sig, bands = longs(g.column("sig"), LONGS).view(np.uint64), longs(g.column("bands"), BANDS)
+        band = int(np.flatnonzero(bands[0] == bk)[0])
         two = g.column("i")[0].as_py() != g.column("j")[0].as_py()
+        out, pairs = [], []
         for at in range(0, len(fp), 512):
             s = slice(at, at + 512)
-            differ = np.zeros((len(lab[s]), len(lab)), np.int32)
+            differ = np.zeros((len(label[s]), len(label)), np.int32)
             for k in range(LONGS):
                 x = sig[s, None, k] ^ sig[None, :, k]
-                differ += np.bitwise_count((x | x >> bits) & mask)
+                differ += np.bitwise_count((x | x >> one) & mask)
             near = estimate(HASHES - differ)
-            ok = (near >= least) & (lab[s, None] != lab) & (n[s, None] * of >= n * per) & (n * of >= n[s, None] * per)
+            ok = (near >= least) & (label[s, None] != label) & (n[s, None] * of >= n * per) & (n * of >= n[s, None] * per)
             if two:
                 ok &= p[s, None] != p
-            if nearest:
+            for k in range(band):
+                ok &= bands[s, None, k] != bands[None, :, k]
+            if mode == "open":
+                out += [(bk, fp[at + x]) for x in np.flatnonzero(ok.any(1))]
+                continue
+            if mode == "nearest":
                 near = np.where(ok, near, -1.0)
-                top = np.argsort(-near, axis=1, kind="stable")[:, :nearest]
                 keep = np.zeros_like(ok)
-                np.put_along_axis(keep, top, True, 1)
-                ok &= keep
-            for x, y in zip(*np.nonzero(ok), strict=True):
-                a, b = fp[at + x], fp[y]
-                if nearest or a < b:
-                    yield min(a, b), max(a, b)
+                np.put_along_axis(keep, np.argsort(-near, axis=1, kind="stable")[:, :NEAREST], True, 1)
+                out += [(min(fp[at + x], fp[y]), max(fp[at + x], fp[y])) for x, y in zip(*np.nonzero(ok & keep), strict=True)]
+                continue
+            x, y = np.nonzero(ok & (np.arange(at, at + len(near))[:, None] < np.arange(len(fp))))
+            pairs.append(np.stack([-near[x, y], x + at, y]))
+        if pairs:
+            up = list(range(label.max() + 1))
+
+            def root(c: int) -> int:
+                while up[c] != c:
+                    up[c] = c = up[up[c]]
+                return c
+
+            shingles_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in g.column("shingles")]
+            pairs = np.concatenate(pairs, axis=1)
+            for x, y in pairs[1:, np.argsort(pairs[0], kind="stable")].T.astype(int).tolist():
+                c, d = root(label[x]), root(label[y])
+                if c != d and linked(shingles_[x], shingles_[y], per, of):
+                    up[d] = c
+                    out.append((fp[x], fp[y]))
+        return out
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        out = sorted(set(out))
+        return pa.RecordBatch.from_pydict({names[0]: pa.array([x for x, _ in out], pa.int64() if mode == "open" else pa.binary()), names[1]: pa.array([y for _, y in out], pa.binary())})
 
     def run(batches):
         rest = None
@@ -226,18 +263,14 @@ def across(members: DataFrame, least: float, per: int, of: int, nearest: int | N
             t = pa.concat_tables([rest, t]) if rest is not None else t
             k = np.stack([t.column(c).to_numpy() for c in ("bk", "i", "j")])
             cut = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist()]
-            out = [pair for a, b in zip(cut, cut[1:], strict=False) for pair in pairs(t.slice(a, b - a))]
+            out = [x for a, b in zip(cut, cut[1:], strict=False) for x in found(t.slice(a, b - a))]
             rest = t.slice(cut[-1])
             yield made(out)
         if rest is not None:
-            yield made(list(pairs(rest)))
-
-    def made(out):
-        out = sorted(set(out))
-        return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
+            yield made(found(rest))
 
     dealt = rows.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "bk", "i", "j").sortWithinPartitions("bk", "i", "j")
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    return dealt.mapInArrow(run, "bk long, fp binary" if mode == "open" else "a binary, b binary").distinct()
 
 
 def groups(documents: DataFrame, work: Workspace, text: str = "text", key: str = "doc_id", per: int = PER, of: int = OF) -> tuple[DataFrame, DataFrame]:
@@ -252,7 +285,7 @@ def groups(documents: DataFrame, work: Workspace, text: str = "text", key: str =
     nodes = work.save(some.groupBy("fp").agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
     in_bands = nodes.select(F.explode("bands").alias("bk"), "fp")
     shared = in_bands.groupBy("bk").agg(F.count("*").alias("size"), F.min("fp").alias("a")).where("size > 1").select("bk", "a")
-    members = work.save(keys_join(nodes.select(F.explode("bands").alias("bk"), "fp", "n", "sig"), shared, "bk"), "members")
+    members = work.save(keys_join(nodes.select(F.explode("bands").alias("bk"), "fp", "n", "sig", "bands"), shared, "bk"), "members")
     used = work.save(keys_join(nodes.select("fp", "rep", "n", "sig"), members.select("fp").distinct(), "fp", "left_semi"), "used")
     full = keys_join(documents.select(key, text), used.select(F.col("rep").alias(key)).distinct(), key, "left_semi")
     full = keys_join(sets(full, text, key).drop("key"), used.select("fp"), "fp", "left_semi")
@@ -263,15 +296,20 @@ def groups(documents: DataFrame, work: Workspace, text: str = "text", key: str =
     stars = stars.where(sized("na", "nb", per, of) & (estimate(equal_lanes("sa", "sb")) >= least)).select("a", "b")
     tried = work.save(stars, "pairs")
     links = confirm(tried, full, per, of, work)
-    for nearest in (NEAREST, None):
+
+    def named() -> DataFrame:
         label = components(links, work)
-        named = keys_join(members.drop("a"), label.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-        more = across(named, least, per, of, nearest)
-        more = work.save(keys_join(more, tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            continue
-        tried = tried.union(more)
-        links = links.union(confirm(more, full, per, of, work))
+        return keys_join(members.drop("a"), label.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+    both = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = work.save(keys_join(across(named(), "nearest", per, of), both, ["a", "b"], "left_anti"), "pairs")
+    links = links.union(confirm(more, full, per, of, work))
+    rows_ = named()
+    open_ = work.save(across(rows_, "open", per, of), "open")
+    if not open_.isEmpty():
+        some_ = keys_join(rows_, open_, ["bk", "fp"], "left_semi")
+        sets_ = keys_join(full, open_.select("fp").distinct(), "fp", "left_semi")
+        links = links.union(work.save(across(some_.join(sets_, "fp"), "links", per, of), "links"))
     label = components(links, work).withColumnRenamed("node", "fp")
     linked = label.join(used.select("fp", "rep"), "fp")
     least_key = linked.groupBy("label").agg(F.min("rep").alias("component"))
@@ -280,7 +318,7 @@ def groups(documents: DataFrame, work: Workspace, text: str = "text", key: str =
     found = linked.union(alone)
     repeated = some.groupBy("fp", "key").agg(F.count("*").alias("c")).where("c > 1").select("fp", F.col("key").alias("component"), F.lit(True).alias("again"))
     found = work.save(found.join(repeated, ["fp", "component"], "left").withColumn("again", F.coalesce("again", F.lit(False))), "found")
-    work.drop(nodes, members, used, full, tried)
+    work.drop(nodes, members, used, full, tried, more, open_)
     return rows.select("key", "n", "fp"), found
 
 
