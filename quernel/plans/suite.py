@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import relational as rel
+from ..operators.iterate import CountFilter, DupElim, KeepMinValue, cut, do_while, fixpoint
+from ..streaming import windows
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -42,3 +46,398 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.avg("l_discount"), 4).alias("avg_disc"),
         F.count("*").alias("count_order"),
     )
+
+
+# expressions as data
+
+
+def var(df: DataFrame, name: str) -> dict:
+    return {"type": "VARIABLE", "columnIdx": df.columns.index(name)}
+
+
+def const(kind: str, value) -> dict:
+    return {"type": "CONSTANT", "valueType": kind, "value": str(value)}
+
+
+def two(op: str, a: dict, b: dict) -> dict:
+    return {"type": op, "left": a, "right": b}
+
+
+def one(op: str, a: dict) -> dict:
+    return {"type": op, "operand": a}
+
+
+def three(op: str, a: dict, b: dict, c: dict) -> dict:
+    return {"type": op, "children": [a, b, c]}
+
+
+def emit(**expressions: dict) -> list[dict]:
+    return [{"outputName": n, "rootExpressionOperator": e} for n, e in expressions.items()]
+
+
+def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+
+
+# rows
+
+
+@query("SELECT l_orderkey, l_partkey, l_quantity, l_shipdate FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 12 AND l_returnflag = 'R'")
+def filter_range(spark, d):
+    df = read(spark, d, "lineitem")
+    q = var(df, "l_quantity")
+    test = two("AND", two("AND", two("GTEQ", q, const("DOUBLE_TYPE", 10)), two("LT", q, const("DOUBLE_TYPE", 12))), two("EQ", var(df, "l_returnflag"), const("STRING_TYPE", "R")))
+    return rel.filter_rows(df, test).select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate")
+
+
+@query("""
+SELECT o_orderkey, o_custkey + 7 AS plus_, o_orderkey - o_custkey AS minus_, o_custkey * 3 AS times_,
+       round(o_orderkey::DOUBLE / o_custkey, 4) AS divide_, trunc((o_custkey - 500)::DOUBLE / 7)::BIGINT AS idivide_,
+       ((o_custkey - 500) % 7)::BIGINT AS modulo_, abs(o_custkey - 500) AS abs_, -o_custkey AS neg_
+FROM orders WHERE o_orderkey % 2 = 0
+""")
+def apply_arith(spark, d):
+    df = read(spark, d, "orders")
+    k, c = var(df, "o_orderkey"), var(df, "o_custkey")
+    less = two("MINUS", c, const("LONG_TYPE", 500))
+    df = rel.filter_rows(df, two("EQ", two("MODULO", k, const("LONG_TYPE", 2)), const("LONG_TYPE", 0)))
+    seven = const("LONG_TYPE", 7)
+    return rounded(rel.apply(df, emit(o_orderkey=k, plus_=two("PLUS", c, seven), minus_=two("MINUS", k, c), times_=two("TIMES", c, const("LONG_TYPE", 3)), divide_=two("DIVIDE", k, c), idivide_=two("IDIVIDE", less, seven), modulo_=two("MODULO", less, seven), abs_=one("ABS", less), neg_=one("NEG", c))))
+
+
+@query("""
+SELECT p_partkey, concat(p_brand, p_type) AS both_, substr(p_name, 2, 3) AS sub_, length(p_name)::INTEGER AS len_, upper(p_name) AS up_,
+       regexp_matches(lower(p_type), '^.*e.*$') AS like_ FROM part
+""")
+def apply_strings(spark, d):
+    df = read(spark, d, "part")
+    n = var(df, "p_name")
+    return rel.apply(df, emit(p_partkey=var(df, "p_partkey"), both_=two("CONCAT", var(df, "p_brand"), var(df, "p_type")), sub_=three("SUBSTR", n, const("INT_TYPE", 1), const("INT_TYPE", 4)), len_=one("LEN", n), up_=one("UPPER", n), like_=two("LIKE", var(df, "p_type"), const("STRING_TYPE", "%E%"))))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS size_, greatest(p_size, 20) AS more_, least(p_size, 20) AS less_,
+       trunc(p_retailprice)::BIGINT AS long_, p_size::DOUBLE AS double_, p_size::VARCHAR AS text_, p_size <> 0 AS bool_ FROM part
+""")
+def apply_condition(spark, d):
+    df = read(spark, d, "part")
+    s, twenty = var(df, "p_size"), const("INT_TYPE", 20)
+    kind = lambda t: {"type": "TYPE", "outputType": t}
+    return rel.apply(df, emit(p_partkey=var(df, "p_partkey"), size_=three("CONDITION", two("GT", s, const("INT_TYPE", 25)), const("STRING_TYPE", "big"), const("STRING_TYPE", "small")), more_=two("GREATER", s, twenty), less_=two("LESSER", s, twenty), long_=two("CAST", var(df, "p_retailprice"), kind("LONG_TYPE")), double_=two("CAST", s, kind("DOUBLE_TYPE")), text_=two("CAST", s, kind("STRING_TYPE")), bool_=two("CAST", s, kind("BOOLEAN_TYPE"))))
+
+
+@query("""
+SELECT o_orderkey, round(sqrt(o_totalprice), 4) AS sqrt_, round(ln(o_totalprice + 2), 4) AS log_, round(pow(o_custkey, 1.5), 4) AS pow_,
+       round(sin(o_custkey), 4) AS sin_, round(cos(o_custkey), 4) AS cos_, ceil(o_totalprice) AS ceil_, floor(o_totalprice) AS floor_ FROM orders
+""")
+def apply_math(spark, d):
+    df = read(spark, d, "orders")
+    p, c = var(df, "o_totalprice"), var(df, "o_custkey")
+    return rounded(rel.apply(df, emit(o_orderkey=var(df, "o_orderkey"), sqrt_=one("SQRT", p), log_=one("LOG", two("PLUS", p, const("DOUBLE_TYPE", 2))), pow_=two("POW", c, const("DOUBLE_TYPE", 1.5)), sin_=one("SIN", c), cos_=one("COS", c), ceil_=one("CEIL", p), floor_=one("FLOOR", p))))
+
+
+@query("SELECT p_partkey, ('0x' || h[13:14] || h[11:12] || h[9:10] || h[7:8] || h[5:6] || h[3:4] || h[1:2])::BIGINT AS low FROM (SELECT p_partkey, md5(p_name) AS h FROM part)")
+def apply_md5(spark, d):
+    df = read(spark, d, "part")
+    out = rel.apply(df, emit(p_partkey=var(df, "p_partkey"), h=one("HASH_MD5", var(df, "p_name"))))
+    return out.select("p_partkey", F.col("h").bitwiseAND(F.lit((1 << 56) - 1)).alias("low"))
+
+
+@query("SELECT p_partkey, unnest(string_split_regex(p_name, '[aeiou]')) AS part FROM (SELECT p_partkey, regexp_replace(p_name, '[aeiou]+$', '') AS p_name FROM part)")
+def flatmap_split(spark, d):
+    df = read(spark, d, "part")
+    return rel.apply(df, emit(p_partkey=var(df, "p_partkey"), part=two("SPLIT", var(df, "p_name"), const("STRING_TYPE", "[aeiou]"))))
+
+
+@query("SELECT s_suppkey, substr(s_name, i::INTEGER, 3) AS gram FROM supplier, generate_series(1, 100) t(i) WHERE i <= length(s_name) - 2")
+def flatmap_ngram(spark, d):
+    df = read(spark, d, "supplier")
+    return rel.apply(df, emit(s_suppkey=var(df, "s_suppkey"), gram=two("NGRAM", var(df, "s_name"), const("LONG_TYPE", 3))))
+
+
+@query("SELECT n_nationkey, i AS at_ FROM nation, generate_series(0, 100) t(i) WHERE i < n_nationkey % 5")
+def flatmap_sequence(spark, d):
+    df = read(spark, d, "nation")
+    k = var(df, "n_nationkey")
+    return rel.apply(df, emit(n_nationkey=k, at_=one("SEQUENCE", two("MODULO", k, const("INT_TYPE", 5)))))
+
+
+@query("SELECT n_nationkey, a AS a, b AS b FROM nation, generate_series(0, 10) s(a), generate_series(0, 10) t(b) WHERE a < n_nationkey % 4 AND b < n_nationkey % 3")
+def flatmap_product(spark, d):
+    df = read(spark, d, "nation")
+    k = var(df, "n_nationkey")
+    seq = lambda n: one("SEQUENCE", two("MODULO", k, const("INT_TYPE", n)))
+    return rel.apply(df, emit(n_nationkey=k, a=seq(4), b=seq(3)))
+
+
+@query("SELECT n_nationkey, i AS v, i::INTEGER AS flatmapid FROM nation, generate_series(0, 10) t(i) WHERE i < n_nationkey % 4")
+def flatmap_counter(spark, d):
+    df = read(spark, d, "nation")
+    k = var(df, "n_nationkey")
+    return rel.apply(df, emit(n_nationkey=k, v=one("SEQUENCE", two("MODULO", k, const("INT_TYPE", 4)))), counter=True)
+
+
+# joins
+
+
+@query("SELECT o_orderkey, o_custkey, l_partkey, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderpriority LIKE '1%'")
+def join_inner(spark, d):
+    o = read(spark, d, "orders").where("o_orderpriority like '1%'")
+    return rel.join(o, read(spark, d, "lineitem"), ["o_orderkey"], ["l_orderkey"], ["o_orderkey", "o_custkey"], ["l_partkey", "l_quantity"])
+
+
+@query("SELECT a.o_orderkey AS k1, b.o_orderkey AS k2 FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority WHERE a.o_orderkey < b.o_orderkey")
+def join_multi_key(spark, d):
+    o = read(spark, d, "orders")
+    return rel.join(o, o, ["o_custkey", "o_orderpriority"], ["o_custkey", "o_orderpriority"], ["o_orderkey"], ["o_orderkey"], ["k1", "k2"], residual=lambda l, r: l("o_orderkey") < r("o_orderkey"))  # noqa: E741
+
+
+@query("SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def join_broadcast(spark, d):
+    return rel.join(read(spark, d, "customer"), read(spark, d, "nation"), ["c_nationkey"], ["n_nationkey"], ["c_custkey"], ["n_name"], hint="broadcast")
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def join_merge(spark, d):
+    return rel.join(read(spark, d, "orders"), read(spark, d, "customer"), ["o_custkey"], ["c_custkey"], ["o_orderkey"], ["c_name"], hint="merge")
+
+
+@query("SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
+def join_right_hash(spark, d):
+    return rel.join(read(spark, d, "orders"), read(spark, d, "customer"), ["o_custkey"], ["c_custkey"], ["o_orderkey"], ["c_mktsegment"], hint="shuffle_hash")
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN (SELECT DISTINCT c_custkey, c_name FROM customer) ON o_custkey = c_custkey")
+def join_set_semantics(spark, d):
+    c = read(spark, d, "customer")
+    return rel.join(read(spark, d, "orders"), c.union(c), ["o_custkey"], ["c_custkey"], ["o_orderkey"], ["c_name"], set_right=True)
+
+
+@query("SELECT count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey")
+def counting_join(spark, d):
+    li = read(spark, d, "lineitem")
+    return rel.counting_join(li, li, ["l_partkey"], ["l_partkey"], "n")
+
+
+EDGES = "(SELECT DISTINCT l_suppkey AS a, (l_partkey * 7 + l_suppkey * 3) % 100 + 1 AS b FROM lineitem WHERE l_orderkey % {0} = 0)"
+
+
+def edges(spark, d, step: int = 500) -> DataFrame:
+    """A cyclic edge list derived from lineitem."""
+    return read(spark, d, "lineitem").where(f"l_orderkey % {step} = 0").selectExpr("l_suppkey a", "(l_partkey * 7 + l_suppkey * 3) % 100 + 1 b").distinct()
+
+
+@query(f"SELECT r.a AS x, s.a AS y, t.a AS z FROM {EDGES.format(20)} r JOIN {EDGES.format(20)} s ON r.b = s.a JOIN {EDGES.format(20)} t ON s.b = t.a AND t.b = r.a")
+def multiway_triangle(spark, d):
+    e = edges(spark, d, 20)
+    return rel.multiway_join([e, e, e], [[(0, 1), (1, 0)], [(1, 1), (2, 0)], [(2, 1), (0, 0)]], [(0, 0), (1, 0), (2, 0)], ["x", "y", "z"])
+
+
+@query(f"SELECT count(*) AS n FROM {EDGES.format(20)} r JOIN {EDGES.format(20)} s ON r.b = s.a JOIN {EDGES.format(20)} t ON s.b = t.a AND t.b = r.a")
+def hypercube_triangle(spark, d):
+    """The triangle count, each cell of a 2 x 2 x 2 cube joining by itself."""
+    e = edges(spark, d, 20)
+    cube = [2, 2, 2]
+    r = rel.hypercube(e.toDF("x", "y"), cube, {0: "x", 1: "y"})
+    s = rel.hypercube(e.toDF("y", "z"), cube, {1: "y", 2: "z"})
+    t = rel.hypercube(e.toDF("z", "x"), cube, {2: "z", 0: "x"})
+    return r.join(s, ["cell", "y"]).join(t, ["cell", "z", "x"]).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, round(o_totalprice - m, 2) AS over_ FROM orders CROSS JOIN (SELECT avg(o_totalprice) AS m FROM orders)")
+def cross_singleton(spark, d):
+    o = read(spark, d, "orders")
+    return rel.cross_with_singleton(o, o.agg(F.avg("o_totalprice").alias("m"))).select("o_orderkey", F.round(F.col("o_totalprice") - F.col("m"), 2).alias("over_"))
+
+
+# aggregates
+
+
+@query("SELECT l_returnflag, count(l_quantity) AS count_l_quantity, round(sum(l_quantity), 2) AS sum_l_quantity, round(avg(l_quantity), 4) AS avg_l_quantity, round(stddev_pop(l_quantity), 4) AS stdev_l_quantity, min(l_quantity) AS min_l_quantity, max(l_quantity) AS max_l_quantity FROM lineitem GROUP BY 1")
+def agg_group(spark, d):
+    return rounded(rel.aggregate(read(spark, d, "lineitem"), ["l_returnflag"], [{"type": "Primitive", "column": 4, "aggOps": ["COUNT", "SUM", "AVG", "STDEV", "MIN", "MAX"]}]))
+
+
+@query("SELECT sum(o_custkey)::BIGINT AS sum_o_custkey, round(avg(o_custkey), 4) AS avg_o_custkey FROM orders")
+def agg_global(spark, d):
+    return rounded(rel.aggregate(read(spark, d, "orders"), [], [{"type": "Primitive", "column": 1, "aggOps": ["SUM", "AVG"]}]))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, min(o_orderdate) AS min_o_orderdate, max(o_orderdate) AS max_o_orderdate, max(o_orderkey) AS max_o_orderkey FROM orders GROUP BY 1, 2")
+def agg_multi_key(spark, d):
+    return rel.aggregate(read(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"], [{"type": "Primitive", "column": 4, "aggOps": ["MIN", "MAX"]}, {"type": "Primitive", "column": 0, "aggOps": ["MAX"]}])
+
+
+@query("SELECT c_mktsegment, min(c_name) AS min_c_name, max(c_name) AS max_c_name, count(c_name) AS count_c_name FROM customer GROUP BY 1")
+def agg_strings(spark, d):
+    return rel.aggregate(read(spark, d, "customer"), ["c_mktsegment"], [{"type": "Primitive", "column": 1, "aggOps": ["MIN", "MAX", "COUNT"]}])
+
+
+@query("SELECT count(*) AS count_o_orderkey FROM orders WHERE false")
+def agg_empty_count(spark, d):
+    return rel.aggregate(read(spark, d, "orders").where("false"), [], [{"type": "Primitive", "column": 0, "aggOps": ["COUNT"]}], empty_compat=True)
+
+
+@query("SELECT n_regionkey, count(*) AS n, sum(n_nationkey * n_nationkey)::BIGINT AS squares FROM nation GROUP BY 1")
+def uda_sum_squares(spark, d):
+    df = read(spark, d, "nation")
+    k, s = two("CAST", var(df, "n_nationkey"), {"type": "TYPE", "outputType": "LONG_TYPE"}), lambda i: {"type": "STATE", "columnIdx": i}
+    zero = const("LONG_TYPE", 0)
+    return rel.aggregate(df, ["n_regionkey"], [{"type": "UserDefined", "initializers": emit(n=zero, q=zero), "updaters": emit(n=two("PLUS", s(0), const("LONG_TYPE", 1)), q=two("PLUS", s(1), two("TIMES", k, k))), "emitters": emit(n=s(0), squares=s(1))}])
+
+
+# sets and order
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+def union_all(spark, d):
+    return rel.union_all(read(spark, d, "customer").select(F.col("c_nationkey").alias("k")), read(spark, d, "supplier").select("s_nationkey"))
+
+
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0")
+def difference(spark, d):
+    return rel.difference(read(spark, d, "customer").select(F.col("c_custkey").alias("k")), read(spark, d, "orders").where("o_orderkey % 2 = 0").select("o_custkey"))
+
+
+@query("SELECT DISTINCT o_custkey, o_orderstatus FROM orders")
+def distinct_rows(spark, d):
+    return rel.distinct(read(spark, d, "orders").select("o_custkey", "o_orderstatus"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def order_limit(spark, d):
+    return rel.limit(rel.order_by(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), [1, 0], [False, True]), 25)
+
+
+@query("SELECT c_custkey AS k FROM customer UNION ALL SELECT s_suppkey FROM supplier")
+def merge_sorted(spark, d):
+    return rel.merge([read(spark, d, "customer").select(F.col("c_custkey").alias("k")), read(spark, d, "supplier").select("s_suppkey")], [0])
+
+
+# scans with a state
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS i FROM events")
+def counter_ordered(spark, d):
+    return rel.counter(read(spark, d, "events").select("ts", "event_id"), "i", ["ts", "event_id"]).select("event_id", "i")
+
+
+@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 7) AS mean FROM events")
+def running_mean(spark, d):
+    df = rel.running(read(spark, d, "events"), ["user_id"], ["ts", "event_id"], mean=F.avg("value"))
+    return df.select("event_id", F.round("mean", 7).alias("mean"))
+
+
+@query("SELECT event_id, count(*) OVER w AS n, round(sum(value) OVER w, 4) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+def stateful_scan(spark, d):
+    df = read(spark, d, "events").select("event_id", "ts", "user_id", "value")
+    s = lambda i: {"type": "STATE", "columnIdx": i}
+    out = rel.stateful_apply(df, ["user_id"], ["ts", "event_id"], emit(n=const("LONG_TYPE", 0), t=const("DOUBLE_TYPE", 0)), emit(n=two("PLUS", s(0), const("LONG_TYPE", 1)), t=two("PLUS", s(1), var(df, "value"))), emit(event_id=var(df, "event_id"), n=s(0), total=s(1)))
+    return rounded(out)
+
+
+@query("SELECT event_id, e.user_id, round(value, 4) AS value FROM events e JOIN (SELECT user_id, avg(value) AS m, stddev_pop(value) AS s FROM events GROUP BY 1) g ON e.user_id = g.user_id WHERE value BETWEEN m - 1.5 * s AND m + 1.5 * s")
+def sigma_clip(spark, d):
+    e = read(spark, d, "events")
+    g = rel.aggregate(e, ["user_id"], [{"type": "Primitive", "column": e.columns.index("value"), "aggOps": ["AVG", "STDEV"]}])
+    band = lambda l, r: l("value").between(r("avg_value") - 1.5 * r("stdev_value"), r("avg_value") + 1.5 * r("stdev_value"))  # noqa: E731,E741
+    return rounded(rel.join(e, g, ["user_id"], ["user_id"], ["event_id", "user_id", "value"], [], residual=band))
+
+
+# recursion
+
+REACH = "WITH RECURSIVE e AS " + EDGES.format(500) + ", tc(a, b) AS (SELECT a, b FROM e UNION SELECT tc.a, e.b FROM tc JOIN e ON tc.b = e.a) "
+
+
+@query(REACH + "SELECT a, b FROM tc")
+def tc_reach(spark, d):
+    e = cut(edges(spark, d))
+    step = lambda held, delta: {"tc": rel.join(delta["tc"], e, ["b"], ["a"], ["a"], ["b"], ["a", "b"])}
+    return fixpoint({"tc": e}, {"tc": DupElim()}, step)["tc"]
+
+
+@query("WITH RECURSIVE e AS (SELECT a, b FROM " + EDGES.format(500) + " UNION SELECT b, a FROM " + EDGES.format(500) + "), tc(a, b) AS (SELECT a, b FROM e UNION SELECT tc.a, e.b FROM tc JOIN e ON tc.b = e.a) SELECT a AS node, least(a, min(b)) AS label FROM tc GROUP BY a")
+def cc_labels(spark, d):
+    e = cut(edges(spark, d).union(edges(spark, d).select("b", "a")).distinct())
+    start = e.selectExpr("a node", "a label").distinct()
+    step = lambda held, delta: {"cc": rel.join(delta["cc"], e, ["node"], ["a"], ["label"], ["b"]).select(F.col("b").alias("node"), "label")}
+    return fixpoint({"cc": start}, {"cc": KeepMinValue(("node",), ("label",))}, step)["cc"]
+
+
+@query("WITH RECURSIVE e AS " + EDGES.format(500) + ", s(node, dist) AS (SELECT (SELECT min(a) FROM e), 0::BIGINT UNION SELECT e.b, s.dist + 1 FROM s JOIN e ON s.node = e.a WHERE s.dist < 110) SELECT node, min(dist) AS dist FROM s GROUP BY node")
+def sssp(spark, d):
+    e = cut(edges(spark, d))
+    start = e.agg(F.min("a").alias("node")).withColumn("dist", F.lit(0).cast("long"))
+    step = lambda held, delta: {"s": rel.join(delta["s"], e, ["node"], ["a"], ["dist"], ["b"]).select(F.col("b").alias("node"), (F.col("dist") + 1).alias("dist"))}
+    return fixpoint({"s": start}, {"s": KeepMinValue(("node",), ("dist",))}, step)["s"]
+
+
+@query("WITH RECURSIVE e AS " + EDGES.format(1000) + ", sg(x, y) AS (SELECT p.b, q.b FROM e p JOIN e q ON p.a = q.a WHERE p.b <> q.b UNION SELECT p.b, q.b FROM sg JOIN e p ON p.a = sg.x JOIN e q ON q.a = sg.y) SELECT x, y FROM sg")
+def same_generation(spark, d):
+    e = cut(edges(spark, d, 1000))
+    start = rel.join(e, e, ["a"], ["a"], ["b"], ["b"], ["x", "y"]).where("x <> y")
+
+    def step(held, delta):
+        up = rel.join(delta["sg"], e, ["x"], ["a"], ["y"], ["b"], ["y", "x2"])
+        return {"sg": rel.join(up, e, ["y"], ["a"], ["x2"], ["b"], ["x", "y"])}
+
+    return fixpoint({"sg": start}, {"sg": DupElim()}, step)["sg"]
+
+
+@query("WITH RECURSIVE e AS " + EDGES.format(500) + " SELECT b AS x FROM e GROUP BY b HAVING count(DISTINCT a) >= 2")
+def count_filter(spark, d):
+    e = edges(spark, d).select(F.col("b").alias("x"), F.col("a").alias("y"))
+    state = CountFilter(("x",), 2)
+    return state.passed(state.first(e))
+
+
+@query("WITH RECURSIVE t(n, v) AS (SELECT 1, 2::BIGINT UNION ALL SELECT n + 1, v * 2 FROM t WHERE v * 2 < 5000) SELECT max(v) AS v FROM t")
+def do_while_pow2(spark, d):
+    start = {"x": spark.range(1).select(F.lit(1).cast("long").alias("v"))}
+    return do_while(start, lambda s: {"x": s["x"].select((F.col("v") * 2).alias("v"))}, lambda s: s["x"].select(F.col("v") * 2 < 5000))["x"]
+
+
+# samples and distribution
+
+
+@query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS different FROM (SELECT * FROM orders LIMIT 200)")
+def sample_without_replacement(spark, d):
+    return rel.sample_exact(read(spark, d, "orders"), 200, 7).agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("different"))
+
+
+@query("SELECT 300::BIGINT AS n")
+def sample_with_replacement(spark, d):
+    return rel.sample_with_replacement(read(spark, d, "customer").select("c_custkey"), 300, 3).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS total FROM orders")
+def hash_partition_counts(spark, d):
+    return rel.distribute(read(spark, d, "orders"), "Hash", 7, ["o_custkey"]).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("total"))
+
+
+# what Spark offers beyond: outer, semi and anti joins, intersection, cubes, windows in time
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
+def join_left(spark, d):
+    return rel.join(read(spark, d, "customer"), read(spark, d, "orders"), ["c_custkey"], ["o_custkey"], ["c_custkey"], ["o_orderkey"], how="left")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)")
+def join_anti(spark, d):
+    return rel.join(read(spark, d, "customer"), read(spark, d, "orders").where("o_totalprice > 100000"), ["c_custkey"], ["o_custkey"], ["c_custkey"], [], how="left_anti")
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def intersect(spark, d):
+    return read(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(read(spark, d, "supplier").select("s_nationkey"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def agg_cube(spark, d):
+    return read(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def tumbling_day(spark, d):
+    return windows.tumbling(read(spark, d, "events"), "ts", "1 day", ["event_type"], n=F.count("*"), total=F.round(F.sum("value"), 2)).select(F.col("start").alias("day"), "event_type", "n", "total")
