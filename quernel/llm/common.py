@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch brings to Python at most, so that a batch of long texts stays small.
 BATCH_ROWS = 512
+#: Bytes of a batch at which Spark closes it.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -32,6 +35,26 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
 
 
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow with batches of bounded size; a task gives its memory back as it ends."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS * 4), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = conf.get(name, "0").lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return df.mapInArrow(whole, schema)
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """Map each row of ``df``: ``make`` runs once a task and returns the function of a batch."""
 
@@ -41,7 +64,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
             work = work or make()
             yield pa.RecordBatch.from_pydict(work(batch))
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def held_out(doc_id):

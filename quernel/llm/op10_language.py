@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, held_out, parts, table
+from .common import arrow_map, held_out, map_arrow, parts, table
 
 #: Hashed n-grams of three and four bytes.
 BINS = 1 << 15
@@ -66,7 +66,7 @@ def counts(documents: DataFrame, text: str = "text", lang: str = "lang", key: st
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(at), pa.string()), "bin": pa.array(at, pa.int32()), "n": pa.array(n[at].astype(np.int64))})
 
-    return rows.mapInArrow(run, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    return map_arrow(rows, run, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
 
 
 class Model:

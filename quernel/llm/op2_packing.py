@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import parts, table
+from .common import map_arrow, parts, table
 
 SIZE = 1024
 #: Costs of a window and of cuts, in tokens of padding.
@@ -176,7 +176,7 @@ def pack(documents: DataFrame, size: int = SIZE, separator: int = 0, with_ids: b
         out[key] = pa.array(out.pop("doc_id"), kind)
         return pa.RecordBatch.from_pydict({key: out.pop(key)} | out)
 
-    return documents.select(key, text).mapInArrow(run, schema)
+    return map_arrow(documents.select(key, text), run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

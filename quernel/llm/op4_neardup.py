@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, arrow_map, keys_join, parts, table, utf8
+from .common import Workspace, arrow_map, keys_join, map_arrow, parts, table, utf8
 from .graph import components
 
 SHINGLE, PER, OF = 5, 85, 100
@@ -41,7 +41,7 @@ MULTIPLY = _seed.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 ADD = _seed.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 LANES = 64 // BITS
 LONGS = HASHES // LANES
-CACHE = 1 << 19
+CACHE = 1 << 16
 
 
 class Words(dict):
@@ -178,7 +178,7 @@ def confirm(pairs: DataFrame, full: DataFrame, per: int, of: int, work: Workspac
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep, pa.bool_()))
 
     joined = left.join(right, "a").select("a", "b", "sa", "sb")
-    return work.save(joined.mapInArrow(run, "a binary, b binary"), "links")
+    return work.save(map_arrow(joined, run, "a binary, b binary"), "links")
 
 
 def across(members: DataFrame, mode: str, per: int, of: int) -> DataFrame:
@@ -270,7 +270,7 @@ def across(members: DataFrame, mode: str, per: int, of: int) -> DataFrame:
             yield made(found(rest))
 
     dealt = rows.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "bk", "i", "j").sortWithinPartitions("bk", "i", "j")
-    return dealt.mapInArrow(run, "bk long, fp binary" if mode == "open" else "a binary, b binary").distinct()
+    return map_arrow(dealt, run, "bk long, fp binary" if mode == "open" else "a binary, b binary").distinct()
 
 
 def groups(documents: DataFrame, work: Workspace, text: str = "text", key: str = "doc_id", per: int = PER, of: int = OF) -> tuple[DataFrame, DataFrame]:
@@ -350,7 +350,7 @@ def distinct_documents(documents: DataFrame, text: str = "text", key: str = "doc
 
     from pyspark.sql.types import BinaryType, StructType
 
-    marked = documents.mapInArrow(run, StructType([*documents.schema.fields]).add("__fp", BinaryType()))
+    marked = map_arrow(documents, run, StructType([*documents.schema.fields]).add("__fp", BinaryType()))
     mine = found.select(F.col("fp").alias("__fp"), F.col("component").alias("__component"), F.col("again").alias("__again"))
     kept = keys_join(marked, mine, "__fp", "left").where(F.col("__fp").isNull() | F.col("__again").isNull() | F.col(key).eqNullSafe(F.col("__component")))
     once = kept.where(~F.coalesce("__again", F.lit(False))).select(names)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, arrow_map, keys_join, parts, table
+from .common import Workspace, arrow_map, keys_join, map_arrow, parts, table
 from .graph import components
 
 LEAST = 0.9
@@ -213,7 +213,7 @@ def verified(probed: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_pydict(out)
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "cell", "i", "q").sortWithinPartitions("cell", "i", "q").mapInArrow(run, "node long, n long, root long")
+    return map_arrow(rows.repartition(n, "cell", "i", "q").sortWithinPartitions("cell", "i", "q"), run, "node long, n long, root long")
 
 
 def link_components(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id", least: float = LEAST) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from .common import table, utf8
+from .common import map_arrow, table, utf8
 
 WINDOW = 13
 #: A document is contaminated if 1 in this many words, at least, is hit.
@@ -201,7 +201,7 @@ def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text:
                 columns |= {"__n": pa.array(size, pa.int64()), "__spans": pa.array([[list(s) for s in x] for x in spans], pair), "__items": pa.array([sorted(x) for x in names], pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_pydict(columns)
 
-        df = df.mapInArrow(run, schema)
+        df = map_arrow(df, run, schema)
     return df
 
 
@@ -238,7 +238,7 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
             batch = batch.set_column(at, batch.schema.field(at), pa.array(rows, batch.schema.field(at).type))
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in names}).filter(pa.array(keep))
 
-    return df.mapInArrow(run, documents.schema)
+    return map_arrow(df, run, documents.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ VOCABULARY, LEAST, STRENGTH = 2_000, 5, 4.0
 #: Lengths of the beginnings of words that count as features.
 STARTS = (3, 4, 5, 6)
 #: Word weights that a task keeps.
-CACHE = 1 << 20
+CACHE = 1 << 16
 CUT = 0.3
 SENTENCE = re.compile(r"[.!?]+\s|\n")
 WORD = re.compile(r"[^\W\d_]+")

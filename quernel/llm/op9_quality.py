@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, held_out, table, training_rows, utf8
+from .common import arrow_map, held_out, map_arrow, table, training_rows, utf8
 
 #: Labelled documents that the neighbours are taken from, at most.
 BOUND = 3_000
@@ -156,7 +156,7 @@ def keep(documents: DataFrame, model: Model, least: float, text: str = "text") -
                 part = batch.slice(i, 256)
                 yield part.filter(pa.array(votes(part) >= least))
 
-    return documents.mapInArrow(run, documents.schema)
+    return map_arrow(documents, run, documents.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
