@@ -40,7 +40,7 @@ def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     conf = df.sparkSession.conf
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS * 4), ("maxBytesPerBatch", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{name}"
-        now = conf.get(name, "0").lower().removesuffix("b")
+        now = conf.get(name).lower().removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             conf.set(name, str(most))
 
