@@ -112,7 +112,8 @@ def train(documents: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
 
     rows = arrow_map(training_rows(documents, labels, "quality", bound).select("text", "y"), make, "x binary, y int").collect()
     rows.sort()
-    counts = np.frombuffer(b"".join(r.x for r in rows), "<f2").astype(np.float32).reshape(len(rows), WIDTH)
+    counts = np.frombuffer(b"".join(r.x for r in rows), "<f2") if rows else np.zeros(0)
+    counts = counts.astype(np.float32).reshape(len(rows), WIDTH)
     return Model(counts, np.array([float(r.y > 0) for r in rows]))
 
 
@@ -144,7 +145,9 @@ def score(documents: DataFrame, model: Model, text: str = "text", key: str = "do
 
 
 def keep(documents: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
-    """The rows whose text scores at least ``least``, in their own columns."""
+    """The rows whose text scores at least ``least``, in their own columns; all, if nothing was learned."""
+    if not len(model.y):
+        return documents
     sent = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index(text)
 
