@@ -74,56 +74,52 @@ class Model:
         self.names = names
         p = n + PSEUDO * n.sum(1, keepdims=True) / max(BINS, 1) / 10 + 1e-3
         self.p = (p / p.sum(1, keepdims=True)).T.copy() if len(names) else np.zeros((BINS, 0))
+        self.log = np.log(self.p)
 
     def infer(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Prediction, its proportion, and all proportions, of each text."""
         k, n = len(self.names), len(texts)
         share = np.zeros((n, k))
-        known = np.array([bool(x) and any(map(str.isalpha, x)) for x in texts])
         if not k:
             return ["und"] * n, np.zeros(n), share
-        found = [grams(lower(x)) if y else (np.zeros(0, np.int64), np.zeros(0)) for x, y in zip(texts, known, strict=True)]
-        size = np.array([len(b) for b, _ in found])
-        full = np.flatnonzero(size)
-        if len(full):
-            p = self.p[np.concatenate([found[i][0] for i in full])]
-            c = np.concatenate([found[i][1] for i in full])
-            share[full] = select(p, c, size[full])
+        for i, x in enumerate(texts):
+            if x and any(map(str.isalpha, x)):
+                bins, c = grams(lower(x))
+                if len(bins):
+                    share[i] = select(self.p[bins], self.log[bins], c)
         best = share.argmax(1)
-        names = [self.names[b] if y and share[i].any() else "und" for i, (b, y) in enumerate(zip(best, known, strict=True))]
-        return names, share[np.arange(n), best] * known, share
+        score = share[np.arange(n), best]
+        return [self.names[b] if s > 0 else "und" for b, s in zip(best, score, strict=True)], score, share
 
 
-def select(p: np.ndarray, c: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Proportions by document under the best penalised set.
+def em(p: np.ndarray, c: np.ndarray, total: float) -> np.ndarray:
+    """The proportions that the columns of ``p`` mix in, for n-grams of these counts."""
+    pi = np.full(p.shape[1], 1 / p.shape[1])
+    for _ in range(STEPS):
+        pi *= (c / (p @ pi)) @ p
+        pi /= total
+    return pi
 
-    ``p`` holds an n-gram's probability in each language, ``c`` its count, rows in
-    order of documents; ``size`` n-grams belong to each document.
+
+def select(p: np.ndarray, log: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Proportions of a document under the best penalised set.
+
+    ``p`` and ``log`` hold an n-gram's probability, and its logarithm, in each
+    language, ``c`` its count.
     """
-    start = np.concatenate([[0], np.cumsum(size)[:-1]])
-    doc = np.repeat(np.arange(len(size)), size)
-    total = np.add.reduceat(c, start)
-
-    def em(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        pi = allowed / allowed.sum(1, keepdims=True)
-        for _ in range(STEPS):
-            joint = p * pi[doc]
-            joint *= (c / joint.sum(1))[:, None]
-            pi = np.add.reduceat(joint, start, axis=0) / total[:, None]
-        return pi, np.add.reduceat(c * np.log((p * pi[doc]).sum(1)), start)
-
-    k = p.shape[1]
-    pi, _ = em(np.ones((len(size), k)))
-    single = np.add.reduceat(c[:, None] * np.log(p), start, axis=0)
-    one = single.argmax(1)
-    best, value = np.eye(k)[one], single.max(1)
-    order = np.argsort(-pi, axis=1, kind="stable")
+    total, k = c.sum(), p.shape[1]
+    single = c @ log
+    one = single.argmax()
+    best, value = np.zeros(k), single[one]
+    best[one] = 1.0
+    order = np.argsort(-em(p, c, total), kind="stable")
     for m in range(2, min(SET, k) + 1):
-        allowed = np.zeros_like(pi)
-        np.put_along_axis(allowed, order[:, :m], 1.0, 1)
-        mix, fit = em(allowed)
-        better = fit - PENALTY * (m - 1) * np.log1p(total) > value
-        best[better], value[better] = mix[better], (fit - PENALTY * (m - 1) * np.log1p(total))[better]
+        mine = np.ascontiguousarray(p[:, order[:m]])
+        mix = em(mine, c, total)
+        fit = c @ np.log(mine @ mix) - PENALTY * (m - 1) * np.log1p(total)
+        if fit > value:
+            best, value = np.zeros(k), fit
+            best[order[:m]] = mix
     return best
 
 
