@@ -300,7 +300,9 @@ def merge(dfs: list[DataFrame], columns: list, ascending: list[bool] | None = No
 
 
 def sample_exact(df: DataFrame, k: int, seed: int = 0, order: list | None = None) -> DataFrame:
-    """Exactly k rows without replacement, those of the least hash; more than there are raises when run."""
+    """Exactly k rows without replacement, those of the least hash; more than there are raises."""
+    if df.limit(k).count() < k:
+        raise PlanError(f"fewer than {k} rows")
     h = F.xxhash64(*[at(c) for c in (names(df, order) if order else df.columns)], F.lit(seed))
     return df.orderBy(h, *[at(c) for c in df.columns]).limit(k)
 
