@@ -9,12 +9,12 @@ such as ``changeme2024`` costs little and is not.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import arrow_map, map_arrow, table
 
@@ -22,16 +22,15 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: A name that holds credentials, and the value given to it.
+#: A name that holds credentials, and the whole value given to it, however long.  A name may go on, but not as
+#: another word would (author, secretary, tokenizer).
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])[A-Za-z0-9_.-]{0,40}?(?:passphrase|password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)[A-Za-z0-9_-]{0,20}["']?[\x20\t]{0,4}(?:[:=]|=>|:=)[\x20\t]{0,4}(?:(["'`])([^"'`\r\n]{6,256})\1|([^\s"'`,;<>(){}\[\]]{6,256}))""",
+    r"""(?:passphrase|password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)s?(?-i:(?![a-z]))[A-Za-z0-9_-]{0,20}["']?[\x20\t]*(?:[:=]|=>|:=)[\x20\t]*(?:(["'`])([^"'`\r\n]{6,}+)\1|([^\s"'`,;<>(){}\[\]]{6,}+))""",
     re.ASCII | re.IGNORECASE,
 )
 NAMES = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"auth")
 #: log10 guesses from which a value counts as a secret.
 GUESSES = 9.0
-#: Values longer than this are costed by their first part: the cost only grows with length.
-LONGEST = 64
 #: Words that guessers try first, most common first.
 WORDS = (
     "password passw0rd pass admin root user guest test demo example sample dummy default changeme change secret token "
@@ -58,48 +57,65 @@ def near(a: str, b: str) -> bool:
     return bool(p and q and p != q and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1)
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation of ``value`` needs."""
-    s = value[:LONGEST]
-    low = s.lower()
+def guess_cost(value: str, enough: float = math.inf) -> float:
+    """log10 of the guesses that the cheapest segmentation of the whole of ``value`` needs.
+
+    Every segmentation passes a position or jumps over it, so the least cost
+    among the position and the ends that lie beyond it is a lower bound; once
+    that reaches ``enough``, the bound is returned.  A walk is at most as long
+    as the keyboard has keys; longer ones are several.
+    """
+    s, low = value, value.lower()
+    if len(low) != len(s):  # a letter whose lower case is longer
+        low = s
     plain = low.translate(LEET)
     n = len(s)
     size = sum(k for r, k in BRUTE if r.search(s)) + 33 * bool(re.search(r"[^0-9A-Za-z]", s))
     char = math.log10(max(size, 10))
     join = math.log10(2)  # each further segment doubles the ways to combine
-    spans: list[list[tuple[int, float]]] = [[] for _ in range(n)]  # by start: end, cost
+    repeats = []  # by unit, then start: how many characters equal the one a unit later
+    for unit in (1, 2, 3, 4):
+        same = [0] * (n + 1)
+        for i in range(n - unit - 1, -1, -1):
+            same[i] = same[i + 1] + 1 if s[i] == s[i + unit] else 0
+        repeats.append(same)
+    runs = list(range(1, n + 1))  # by start: the end of the alphabetic or numeric run
+    for i in range(n - 2, -1, -1):
+        step = ord(s[i + 1]) - ord(s[i])
+        if abs(step) == 1:
+            runs[i] = runs[i + 1] if i + 2 < n and ord(s[i + 2]) - ord(s[i + 1]) == step else i + 2
+    best = [0.0] + [math.inf] * n
+    far, check = 0, 16
     for i in range(n):
+        if i == check:
+            if (bound := min(best[i : far + 1])) >= enough:
+                return bound
+            check = i + max(16, far - i)
+        here = best[i] + (join if i else 0)
+        spans = [(i + 1, best[i] + char)]
         for j in range(i + 3, min(n, i + MAX_WORD) + 1):
             if (w := RANK.get(low[i:j])) is not None:
-                spans[i].append((j, w + (0.3 if s[i:j] != low[i:j] else 0)))
+                spans.append((j, here + w + (0.3 if s[i:j] != low[i:j] else 0)))
             elif (w := RANK.get(plain[i:j])) is not None:
-                spans[i].append((j, w + 0.6))
+                spans.append((j, here + w + 0.6))
         if m := DATE.match(s, i):
-            spans[i].append((m.end(), math.log10(365 * 100) if m.end() - i > 4 else 2.0))
-        for unit in (1, 2, 3, 4):
-            j = i + unit
-            while j + unit <= n and s[j : j + unit] == s[i : i + unit]:
-                j += unit
-            if j - i >= max(3, 2 * unit):
-                spans[i].append((j, unit * char + math.log10((j - i) // unit)))
+            spans.append((m.end(), here + (math.log10(365 * 100) if m.end() - i > 4 else 2.0)))
+        for unit, same in enumerate(repeats, 1):
+            times = 1 + same[i] // unit
+            if times * unit >= max(3, 2 * unit):
+                spans.append((i + times * unit, here + unit * char + math.log10(times)))
         j, turns, last = i + 1, 0, None
-        while j < n and near(low[j - 1], low[j]):
+        while j < n and j - i < len(PLACE) and near(low[j - 1], low[j]):
             step = (PLACE[low[j]][0] - PLACE[low[j - 1]][0], PLACE[low[j]][1] - PLACE[low[j - 1]][1])
             turns, last = turns + (step != last), step
             j += 1
             if j - i >= 3:
-                spans[i].append((j, math.log10(len(PLACE) * (j - i)) + turns * math.log10(4)))
-        j = i + 1
-        while j < n and abs(ord(s[j]) - ord(s[j - 1])) == 1 and (j - i < 2 or ord(s[j]) - ord(s[j - 1]) == ord(s[j - 1]) - ord(s[j - 2])):
-            j += 1
-        if j - i >= 3:
-            spans[i].append((j, math.log10(62 * 2 * (j - i))))
-    best = [0.0] + [math.inf] * n
-    for i in range(n):
-        here = best[i] + (join if i else 0)
-        best[i + 1] = min(best[i + 1], best[i] + char)
-        for j, cost in spans[i]:
-            best[j] = min(best[j], here + cost)
+                spans.append((j, here + math.log10(len(PLACE) * (j - i)) + turns * math.log10(4)))
+        if runs[i] - i >= 3:
+            spans.append((runs[i], here + math.log10(62 * 2 * (runs[i] - i))))
+        for j, cost in spans:
+            best[j] = min(best[j], cost)
+            far = max(far, j)
     return best[n]
 
 
@@ -117,7 +133,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
     if any(x in low for x in NAMES):
         for m in CONTEXT.finditer(text):
             k = 2 if m[2] is not None else 3
-            if guess_cost(m[k]) >= GUESSES:
+            if guess_cost(m[k], GUESSES) >= GUESSES:
                 found.append((*m.span(k), "guess"))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
@@ -172,22 +188,8 @@ def redact(documents: DataFrame, mask: str = "[SECRET]", text: str = "text") ->
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and spans of base secrets, and all spans, of each document."""
-    documents = table(spark, sf_dir, "documents")
-
-    def make():
-        def joined(found) -> str:
-            return ",".join(f"{k}:{a}:{b}" for a, b, k in found)
-
-        def work(batch: pa.RecordBatch) -> dict:
-            rows = [find(x) if x else [] for x in batch.column(1).to_pylist()]
-            return {
-                "doc_id": batch.column(0),
-                **{f"n_{k}": pa.array([sum(x[2] == k for x in r) for r in rows], pa.int64()) for k in KINDS[:3]},
-                "base_sha256": [hashlib.sha256(joined(x for x in r if x[2] != "guess").encode()).hexdigest() for r in rows],
-                "spans": [joined(r) for r in rows],
-            }
-
-        return work
-
-    kind = dict(documents.dtypes)["doc_id"]
-    return arrow_map(documents.select("doc_id", "text"), make, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    found = scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    joined = "array_join(transform({}, x -> concat(x.kind, ':', x.start, ':', x.end)), ',')".format
+    counts = [F.expr(f"cast(size(filter(found, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS[:3]]
+    base = F.sha2(F.expr(joined("filter(found, x -> x.kind <> 'guess')")), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), F.expr(joined("found")).alias("spans"))

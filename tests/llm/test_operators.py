@@ -170,6 +170,21 @@ def test_guess_cost():
     assert cost("kX9#vQ2$mZ7!") > 15 and cost("") == 0
     assert [k for *_, k in op3_secrets.find("db_pwd: kX9#vQ2$mZ7!")] == ["guess"]
     assert not op3_secrets.find("db_pwd: changeme2024")
+    assert not op3_secrets.find("author: Featherstonehaugh") and not op3_secrets.find("secretary: Featherstonehaugh")
+
+
+def test_guess_cost_of_whole_values():
+    low = "password" * 9 + "aaaa" * 5_000  # much of a value costs little; its end decides
+    assert op3_secrets.guess_cost(low, 30.0) < 30.0 <= op3_secrets.guess_cost(low + "kX9#vQ2$mZ7!kX9#vQ2$mZ7!", 30.0)
+    text = "api-key: '" + "kX9#vQ2$mZ7! " * 400 + "'"
+    assert [(a, b, k) for a, b, k in op3_secrets.find(text)] == [(10, len(text) - 1, "guess")]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "qwe", "2024-01-02", "password", "P@ss", "zz", "X", "abcdef", "9876", "İ"]), max_size=12).map("".join), st.floats(0, 30))
+def test_guess_cost_bound(value, enough):
+    whole, bound = op3_secrets.guess_cost(value), op3_secrets.guess_cost(value, enough)
+    assert bound <= whole and (bound >= enough) == (whole >= enough)
 
 
 def test_secrets_odd_rows_and_redaction(spark, odd):
