@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import map_arrow, parts, table
 
 SIZE = 1024
+VOCABULARY = "byte_bpe_50k.json"
 #: Costs of a window and of cuts, in tokens of padding.
 WINDOW, SENTENCE, INSIDE = 8, 2, 8
 GRID = 32
@@ -38,22 +39,38 @@ GRID = 32
 BUFFER = 1 << 18
 
 
-def encoder(name: str = "byte_bpe_50k"):
+def encoder(vocabulary: str | None = None):
     """The function from a text to its ids, and which ids end a sentence.
 
-    The vocabulary file of the same name for ``tiktoken`` gives the ids that
-    ``tokenizers`` gives, in a quarter of the time; a test holds them together.
+    ``vocabulary`` is the path of a ``tokenizers`` file.  The file of the same
+    name for ``tiktoken``, beside it, gives the same ids in a quarter of the time;
+    a test holds them together.  Its pattern matcher gives up on some texts, such
+    as a million spaces; ``tokenizers`` encodes those.
     """
     import public_tokenizers
     import tiktoken
 
-    with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
+    vocabulary = str(vocabulary or public_tokenizers.path(VOCABULARY))
+    with open(vocabulary.removesuffix(".json") + ".tiktoken", "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    coder = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coder = tiktoken.Encoding("ids", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     ends = np.zeros(max(ranks.values()) + 2, bool)
     for token, rank in ranks.items():
         ends[rank] = token.rstrip()[-1:] in (b".", b"!", b"?") or b"\n" in token
-    return lambda text: np.frombuffer(coder.encode_to_numpy(text, disallowed_special=()), np.uint32), ends
+    slow = []
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return np.frombuffer(coder.encode_to_numpy(text, disallowed_special=()), np.uint32)
+        except ValueError:
+            if not slow:
+                import tokenizers
+
+                slow.append(tokenizers.Tokenizer.from_file(vocabulary))
+                slow[0].encode_special_tokens = True  # their names in a text are text
+            return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return encode, ends
 
 
 def best_cuts(total: int, documents: np.ndarray, sentences: np.ndarray, size: int = SIZE) -> tuple[list[int], float]:
@@ -147,14 +164,15 @@ class Packer:
         return out
 
 
-def pack(documents: DataFrame, size: int = SIZE, separator: int = 0, with_ids: bool = True, text: str = "text", key: str = "doc_id") -> DataFrame:
+def pack(documents: DataFrame, size: int = SIZE, separator: int = 0, with_ids: bool = True, text: str = "text", key: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
     """One row for each piece of a document in a window.
 
     Columns: the key, ``start`` (tokens of the document before the piece),
     ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` and,
     if asked for, ``ids``.  A null or empty text is the separator alone; equal
     rows are packed as often as they occur; other columns are not read; an empty
-    table gives no rows.  Sequence ids are unique, not gapless.
+    table gives no rows.  Sequence ids are unique, not gapless.  ``vocabulary`` is
+    a path that every executor can read.
     """
     schema = f"{key} {dict(documents.dtypes)[key]}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
 
@@ -162,7 +180,7 @@ def pack(documents: DataFrame, size: int = SIZE, separator: int = 0, with_ids: b
         encode = packer = None
         for batch in parts(batches, 256):
             if packer is None:
-                encode, ends = encoder()
+                encode, ends = encoder(vocabulary)
                 packer = Packer(ends, size, TaskContext.get().partitionId() << 40, with_ids)
                 kind = batch.schema.field(0).type
             for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
