@@ -138,7 +138,7 @@ def probes(nodes: DataFrame, index: Index) -> DataFrame:
 
         return work
 
-    return arrow_map(nodes, make, "node long, copies long, v array<float>, cells array<long>")
+    return arrow_map(nodes, make, f"node long, copies long, v {dict(nodes.dtypes)['v']}, cells array<long>")
 
 
 def verified(probed: DataFrame, least: float) -> DataFrame:
@@ -227,7 +227,8 @@ def link_components(vectors: DataFrame, vector: str = "embedding", key: str = "v
     """
     work = Workspace(vectors.sparkSession)
     good = F.expr(f"`{vector}` is not null and size(`{vector}`) > 1 and not exists(`{vector}`, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(`{vector}`, x -> x <> 0) and `{key}` is not null")
-    rows = vectors.select(F.col(key).alias("key"), F.when(good, F.col(vector).cast("array<float>")).alias("v"))
+    kind = "array<float>" if dict(vectors.dtypes)[vector] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(key).alias("key"), F.when(good, F.col(vector).cast(kind)).alias("v"))
     width = rows.where("v is not null").groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
     rows = rows.select("key", F.when(F.size("v") == (width.w if width else 0), F.col("v")).alias("v"))
     rows = work.save(rows.withColumn("h", F.when(F.col("v").isNotNull(), F.concat(F.xxhash64("v").cast("string"), F.lit(":"), F.hash("v").cast("string")))), "vectors")

@@ -133,6 +133,17 @@ def test_the_two_tokenizers_agree(text):
     assert (encode(text).tolist() if text else []) == coder.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "a" * 300_000, " \n" * 100_000, "x <|endoftext|>" + " " * 1_000_000 + "<|endoftext|>"])
+def test_texts_on_which_one_tokenizer_gives_up(text):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    coder.encode_special_tokens = True
+    encode, _ = op2_packing.encoder(path("byte_bpe_50k.json"))
+    assert encode(text).tolist() == coder.encode(text, add_special_tokens=False).ids
+
+
 # 3
 
 
@@ -284,6 +295,9 @@ def test_embeddings_recall_counts_and_odd_rows(spark):
     assert all(mine[i] == 0 for i in (1001, 1002, 1003, 1004, 1005, None))
     assert all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
     assert op5_embeddings.link_components(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    turn = [(k, [float(np.cos(a)), float(np.sin(a)), 0.0, 0.0]) for k, a in enumerate([0.0, np.arccos(0.9) - 1e-12, -np.arccos(0.9) - 1e-10])]
+    double = op5_embeddings.link_components(spark.createDataFrame(turn, "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in double} == {0: (1, 0), 1: (1, 0), 2: (0, 2)}
 
 
 def test_multi_sequence_order():
