@@ -48,6 +48,25 @@ def reverse_bytes(h: Column, n: int) -> Column:
     return F.concat(*[F.substring(h, 2 * i + 1, 2) for i in reversed(range(n))])
 
 
+def fetched(uri: str | None, folders: tuple[str, ...] = (), seconds: float = 60) -> bytes | None:
+    import os
+    import urllib.parse
+    import urllib.request
+
+    try:
+        parts = urllib.parse.urlsplit(uri or "")
+        if parts.scheme in ("http", "https"):
+            with urllib.request.urlopen(uri, timeout=seconds) as f:
+                return f.read()
+        path = os.path.realpath(urllib.parse.unquote(parts.path))
+        if parts.scheme in ("", "file") and any(path.startswith(os.path.realpath(x) + os.sep) for x in folders):
+            with open(path, "rb") as f:
+                return f.read()
+    except (OSError, ValueError):
+        pass
+    return None
+
+
 class Compiler:
     """Compiles expressions against the columns of ``df`` and, by position, of a state."""
 
@@ -254,6 +273,14 @@ class Compiler:
         good = (begin >= 0) & (begin <= end) & (end <= F.octet_length(b))
         return F.when(good, F.substring(b, begin + 1, end - begin)).otherwise(F.raise_error(F.lit("byte range out of bounds")).cast("binary"))
 
+    def do_downloadblob(self, e):
+        """The bytes at a URI, null if there are none to be had.
+
+        Files are read only below the folders of the session's quernel.blobFolders.
+        """
+        folders = tuple(x for x in (self.df.sparkSession.conf.get("quernel.blobFolders", None) or "").split(",") if x)
+        return F.udf(lambda uri: fetched(uri, folders), "binary", useArrow=False)(self(e["operand"]))
+
     def do_pyudf(self, e):
         f = self.functions.get(e["name"])
         if f is None:

@@ -226,14 +226,46 @@ def aggregators(df: DataFrame, specs: list[dict]) -> list[Column]:
     return out
 
 
+def reads_state(e) -> bool:
+    if isinstance(e, list):
+        return any(map(reads_state, e))
+    return isinstance(e, dict) and (e.get("type") == "STATE" or any(map(reads_state, e.values())))
+
+
+def algebraic(df: DataFrame, i: int, start: Column, update: dict) -> Column | None:
+    """State ``i`` after all rows, as an aggregate, if its update adds to it or keeps an extreme of it."""
+    e = update.get("rootExpressionOperator", update)
+    mine = lambda x: x == {"type": "STATE", "columnIdx": i}
+    if mine(e):
+        return start
+    if e["type"] not in ("PLUS", "GREATER", "LESSER") or mine(e["left"]) == mine(e["right"]):
+        return None
+    x = e["right"] if mine(e["left"]) else e["left"]
+    if reads_state(x):
+        return None
+    c = Compiler(df)(x)
+    if e["type"] == "PLUS":
+        return start + F.coalesce(F.sum(c), F.lit(0))
+    return F.greatest(start, F.max(c)) if e["type"] == "GREATER" else F.least(start, F.min(c))
+
+
 def user_defined(df: DataFrame, spec: dict) -> list[Column]:
-    """An aggregate by initializers, updaters and emitters, folded over a group's rows in column order."""
+    """An aggregate by initializers, updaters and emitters.
+
+    States that are sums, maxima or minima of what a row gives become Spark's own
+    aggregates, with partial sums before the shuffle.  Any other is folded over a
+    group's rows in column order, which brings the group together in one task.
+    """
     initial, update, emit = spec["initializers"], spec["updaters"], spec["emitters"]
     if len(initial) != len(update) or not emit:
         raise PlanError("as many updaters as initializers, and an emitter, are needed")
     start = [Compiler(df)(e) for e in initial]
     probe = Compiler(df, start)
     kinds = [probe.type(probe(e)) for e in update]
+    plain = [algebraic(df, i, s.cast(k), e) for i, (s, k, e) in enumerate(zip(start, kinds, update, strict=True))]
+    if all(c is not None for c in plain):
+        state = Compiler(df, [c.cast(k) for c, k in zip(plain, kinds, strict=True)])
+        return [state(e).alias(e.get("outputName") or f"uda{i}") for i, e in enumerate(emit)]
 
     def step(acc: Column, x: Column) -> Column:
         c = Compiler(df, [acc[f"s{i}"] for i in range(len(kinds))])
@@ -319,25 +351,33 @@ def sampling_distribution(df: DataFrame, size: int | None = None, percent: float
 
     There are as few rows as there are workers; they are allotted on the driver.
     """
-    import random
+    import numpy as np
 
     if (size is None) == (percent is None):
         raise PlanError("either a size or a percentage is needed")
     rows = sorted(df.collect())
-    total = sum(r[1] for r in rows)
+    counts = [int(r[1]) for r in rows]
+    total = sum(counts)
     n = size if size is not None else round(total * percent / 100)
-    if n < 0 or not replace and n > total:
+    if n < 0 or n > (total if not replace else n if total else 0):
         raise PlanError(f"{n} of {total} rows")
-    rng = random.Random(seed)
-    left, sizes = [r[1] for r in rows], [0] * len(rows)
-    for _ in range(n):
-        x = rng.randrange(sum(left)) if sum(left) else 0
-        for i, c in enumerate(left):
-            if x < c:
-                sizes[i] += 1
-                left[i] -= not replace
-                break
-            x -= c
+    rng, sizes, left, rest = np.random.default_rng(seed), [], n, total
+    for c in counts:  # each worker's share, given those before it
+        rest -= c
+        if not left or not c:
+            k = 0
+        elif not rest:
+            k = left
+        elif replace:
+            k = int(rng.binomial(left, c / (c + rest)))
+        elif max(c, rest) < 10**9:
+            k = int(rng.hypergeometric(c, rest, left))
+        else:  # beyond what numpy draws from: the normal limit, kept possible
+            p, all_ = c / (c + rest), c + rest
+            k = round(rng.normal(left * p, (left * p * (1 - p) * (all_ - left) / (all_ - 1)) ** 0.5))
+            k = min(max(k, 0, left - rest), c, left)
+        sizes.append(k)
+        left -= k
     kind = "WithReplacement" if replace else "WithoutReplacement"
     return df.sparkSession.createDataFrame([(int(r[0]), int(r[2] if len(r) > 2 else r[1]), s, kind) for r, s in zip(rows, sizes, strict=True)], "WorkerID int, StreamSize int, SampleSize int, SampleType string")
 
