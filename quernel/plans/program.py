@@ -7,10 +7,12 @@ exchanges; distribute functions of a shuffle become a repartitioning.
 from __future__ import annotations
 
 import base64
+import contextlib
 import csv
 import io
 import itertools
 import json
+import threading
 import time
 from collections.abc import Iterator
 
@@ -24,6 +26,9 @@ from ..sources import formats
 
 PRODUCERS = {"ShuffleProducer", "BroadcastProducer", "CollectProducer", "LocalMultiwayProducer", "HyperCubeShuffleProducer"}
 CONSUMERS = {"ShuffleConsumer", "BroadcastConsumer", "CollectConsumer", "LocalMultiwayConsumer", "HyperCubeShuffleConsumer", "Consumer"}
+#: The relation of profiled roots.
+PROFILE = "public:logs:Profiling"
+PROFILE_SCHEMA = "queryId long, subQueryId int, opId string, opType string, startTime long, endTime long, numTuples long"
 ROOTS = PRODUCERS | {"DbInsert", "TempInsert", "SampledDbInsertTemp", "TupleSink", "EmptySink", "SetGlobal", "EOSController"}
 #: Required fields by operator.
 NEEDS = {
@@ -175,6 +180,12 @@ class Engine:
             csv.writer(out, delimiter="\t" if fmt == "tsv" else ",", lineterminator="").writerow(r)
             yield out.getvalue()
 
+    def ingest_jdbc(self, key, url: str, table: str, overwrite: bool = True, split: tuple[str, int, int, int] | None = None, **properties: str) -> None:
+        self.write(key, formats.read_jdbc(self.spark, url, table, split, **properties), overwrite)
+
+    def export_jdbc(self, key, url: str, table: str, overwrite: bool = False, **properties: str) -> None:
+        formats.write_jdbc(self.read(key), url, table, overwrite, **properties)
+
     # functions
 
     def register_function(self, name: str, f, output: str, multi: bool = False, kind: str = "scalar") -> None:
@@ -194,26 +205,63 @@ class Engine:
 
     def run(self, query: dict) -> int:
         """Runs a query to its end and returns its id; a failure is logged and raised."""
+        n = self.accept(query)
+        self.execute(n, query)
+        return n
+
+    def submit(self, query: dict) -> int:
+        """Starts a query in a thread of its own and returns its id; a failure is logged."""
+        n = self.accept(query)
+
+        def run() -> None:
+            with contextlib.suppress(Exception):
+                self.execute(n, query)
+
+        threading.Thread(target=run, daemon=True).start()
+        return n
+
+    def accept(self, query: dict) -> int:
         validate(query)
         n = next(self.ids)
-        entry = self.log[n] = {"id": n, "rawQuery": query["rawQuery"], "status": "RUNNING", "start": time.time(), "globals": {}, "plans": []}
+        self.log[n] = {"id": n, "rawQuery": query["rawQuery"], "status": "ACCEPTED", "globals": {}, "plans": [], "profile": [] if query.get("profilingMode") else None}
+        return n
+
+    def execute(self, n: int, query: dict) -> None:
+        entry = self.log[n]
+        entry |= {"status": "RUNNING", "start": time.time()}
         self.spark.sparkContext.setJobGroup(f"quernel-{n}", query["rawQuery"][:200], True)
         run = Run(self, n, entry)
         try:
             run.plan(plan_of(query))
+            if entry["profile"]:
+                self.write(PROFILE, self.spark.createDataFrame(entry["profile"], PROFILE_SCHEMA), query=n)
             entry["status"] = "SUCCESS"
         except BaseException as e:
-            entry |= {"status": "ERROR", "message": str(e)}
+            entry |= {"status": entry["status"] if entry["status"] == "KILLED" else "ERROR", "message": str(e)}
             raise
         finally:
             entry |= {"finish": time.time(), "temp": run.temp}
-        return n
 
     def status(self, n: int) -> dict:
         return self.log[n]
 
-    def queries(self, search: str = "") -> list[dict]:
-        return [q for q in self.log.values() if search in q["rawQuery"]]
+    def queries(self, search: str = "", limit: int | None = None, most: int | None = None) -> list[dict]:
+        """The queries whose text holds ``search``, the latest first: up to ``limit``, of ids up to ``most``."""
+        found = [q for n, q in sorted(self.log.items(), reverse=True) if search in q["rawQuery"] and (most is None or n <= most)]
+        return found[:limit]
+
+    def plan_text(self, n: int, subquery: int) -> list[str]:
+        """The plans that a subquery of a query ran."""
+        return [p["text"] for p in self.log[n]["plans"] if p["subquery"] == subquery]
+
+    def profile(self, n: int) -> DataFrame:
+        """What the roots of a profiled query took, in nanoseconds, and the rows that they kept where those are known."""
+        return self.read(PROFILE).where(F.col("queryId") == n)
+
+    def histogram(self, n: int, step: int) -> DataFrame:
+        """(opId, bucket, active): in which spans of ``step`` nanoseconds each root was at work."""
+        first = F.floor(F.col("startTime") / step)
+        return self.profile(n).select("subQueryId", "opId", F.explode(F.sequence(first, F.floor(F.col("endTime") / step))).alias("bucket")).groupBy("opId", "bucket").agg(F.count("*").alias("active"))
 
     def cancel(self, n: int) -> None:
         self.spark.sparkContext.cancelJobGroup(f"quernel-{n}")
@@ -335,8 +383,15 @@ class Run:
         return ops[at]["opType"] != "IDBController" and any(self.reads(ops, c, k) for c in children(ops[at]))
 
     def root(self, op: dict, df: DataFrame) -> None:
-        kind = op["opType"]
-        self.entry["plans"].append(kind)
+        kind, began = op["opType"], time.time_ns()
+        self.entry["plans"].append({"subquery": self.rounds, "opType": kind, "text": df._jdf.queryExecution().toString()})
+        self.write_root(op, kind, df)
+        if self.entry["profile"] is not None:
+            stored = self.temp.get(op.get("table")) if kind == "TempInsert" else None
+            n = stored.count() if stored is not None else self.entry.get("count") if kind == "EmptySink" else None
+            self.entry["profile"].append((self.n, self.rounds, str(op["opId"]), kind, began, time.time_ns(), n))
+
+    def write_root(self, op: dict, kind: str, df: DataFrame) -> None:
         if kind == "DbInsert":
             self.engine.write(op["relationKey"], df, bool(op.get("argOverwriteTable")), op.get("distributeFunction"), self.n)
         elif kind == "TempInsert":
@@ -354,6 +409,9 @@ class Run:
             if not path:
                 raise PlanError("a sink needs a path")
             out = df.write.mode("overwrite")
+            if "POSTGRES" in writer.upper():
+                formats.write_copy(df, path)
+                return
             (out.json(path) if "JSON" in writer.upper() else out.option("header", True).csv(path, sep="\t" if "TSV" in writer.upper() else ","))
 
     def build(self, ops: dict, at, made: dict) -> DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..model import Schema
 
@@ -215,8 +218,110 @@ class NChilada(_One):
             raise ValueError("the group file has another count")
 
 
+#: The start of a binary copy stream (signature, flags, length of the extension), its end, its first moment.
+COPY_START, COPY_END, COPY_EPOCH = b"PGCOPY\n\xff\r\n\x00" + bytes(8), b"\xff\xff", datetime(2000, 1, 1, tzinfo=UTC)
+
+
+def copy_value(value, kind: T.DataType) -> bytes:
+    """A field of a binary copy stream: its length, -1 for null, and its bytes."""
+    if value is None:
+        return b"\xff\xff\xff\xff"
+    if isinstance(kind, T.StringType):
+        raw = value.encode()
+    elif isinstance(kind, T.BinaryType):
+        raw = bytes(value)
+    elif isinstance(kind, T.TimestampType):
+        raw = struct.pack(">q", (value.astimezone(UTC) - COPY_EPOCH) // timedelta(microseconds=1))
+    else:
+        raw = struct.pack(">" + CODES[type(kind)], value)
+    return struct.pack(">i", len(raw)) + raw
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    name: str
+
+
+class CopyFiles(DataSource):
+    """Sink: a folder of binary copy files, one a task, that PostgreSQL's COPY reads.
+
+    A task writes under a name of its own; only files of tasks that were
+    committed get their final names, so a repeated task leaves no rows twice.
+    """
+
+    @classmethod
+    def name(cls):
+        return "quernel_pgcopy"
+
+    def writer(self, schema, overwrite):
+        return _CopyWriter(self.options["path"], schema, overwrite)
+
+
+class _CopyWriter(DataSourceWriter):
+    def __init__(self, path: str, schema: T.StructType, overwrite: bool):
+        self.path, self.kinds, self.overwrite = path, [f.dataType for f in schema], overwrite
+
+    def folder(self):
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+        system.create_dir(at, recursive=True)
+        return system, at
+
+    def write(self, rows) -> WriterCommitMessage:
+        system, at = self.folder()
+        name = f"part-{uuid.uuid4().hex}.pgcopy"
+        with system.open_output_stream(f"{at}/_{name}") as f:
+            f.write(COPY_START)
+            for row in rows:
+                f.write(struct.pack(">h", len(self.kinds)) + b"".join(map(copy_value, row, self.kinds)))
+            f.write(COPY_END)
+        return _Written(name)
+
+    def commit(self, messages) -> None:
+        from pyarrow import fs
+
+        system, at = self.folder()
+        if self.overwrite:
+            for x in system.get_file_info(fs.FileSelector(at)):
+                if x.base_name.startswith("part-"):
+                    system.delete_file(x.path)
+        for m in messages:
+            if m is not None:
+                system.move(f"{at}/_{m.name}", f"{at}/{m.name}")
+        for x in system.get_file_info(fs.FileSelector(at)):  # of tasks that were repeated
+            if x.base_name.startswith("_part-"):
+                system.delete_file(x.path)
+
+    def abort(self, messages) -> None:
+        system, at = self.folder()
+        for m in messages:
+            if m is not None:
+                system.delete_file(f"{at}/_{m.name}")
+
+
+def write_copy(df: DataFrame, path: str) -> None:
+    register(df.sparkSession)
+    df.write.format("quernel_pgcopy").mode("overwrite").save(path)
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, split: tuple[str, int, int, int] | None = None, **properties: str) -> DataFrame:
+    """A table, or a query in brackets with a name, of a database.
+
+    ``split`` is a numeric column, its bounds and the number of parts that are
+    read at the same time; without it one task reads all.
+    """
+    if split:
+        return spark.read.jdbc(url, table, column=split[0], lowerBound=split[1], upperBound=split[2], numPartitions=split[3], properties=properties)
+    return spark.read.jdbc(url, table, properties=properties)
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, overwrite: bool = False, **properties: str) -> None:
+    df.write.jdbc(url, table, "overwrite" if overwrite else "append", properties)
+
+
 def register(spark: SparkSession) -> None:
-    for source in (BinaryRows, Tipsy, SeaFlow, NChilada):
+    for source in (BinaryRows, Tipsy, SeaFlow, NChilada, CopyFiles):
         spark.dataSource.register(source)
 
 

@@ -5,6 +5,7 @@ import math
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from quernel.functions.expressions import Compiler
 from quernel.model import PlanError, RelationKey, Schema
@@ -12,6 +13,7 @@ from quernel.operators import relational as rel
 from quernel.operators.iterate import CountFilter, DupElim, KeepMinValue, SimpleAppender, fixpoint
 from quernel.plans import suite
 from quernel.plans.program import Engine, validate
+from quernel.plans.server import serve
 from quernel.plans.suite import const, emit, one, three, two
 from quernel.sources import formats
 
@@ -176,8 +178,6 @@ def test_readers(spark, tmp_path):
 
 
 def test_sessions(spark):
-    from pyspark.sql import functions as F
-
     from quernel.streaming import windows
 
     df = spark.sql("select timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,i * i,0) as ts, 1 as u from range(5) t(i)")
@@ -197,3 +197,103 @@ def test_suite_matches_sql(spark, sf, name):
     at = [list(r.columns).index(x) for x in cols]
     norm = lambda rows: sorted((tuple(round(x, 5) + 0.0 if isinstance(x, float) else x for x in r) for r in rows), key=repr)
     assert norm(df.select(*[f"`{x}`" for x in cols]).collect()) == norm(tuple(x[i] for i in at) for x in r.fetchall())
+
+
+def test_algebraic_aggregates_equal_folds(spark):
+    df = spark.sql("select id % 3 as g, id as x from range(20) t(id)")
+    s, x = (lambda i: {"type": "STATE", "columnIdx": i}), {"type": "VARIABLE", "columnIdx": 1}
+    zero = const("LONG_TYPE", 0)
+    plain = {"type": "UserDefined", "initializers": emit(n=zero, q=zero, m=zero, l=const("LONG_TYPE", 5)), "updaters": emit(n=two("PLUS", s(0), const("LONG_TYPE", 1)), q=two("PLUS", two("TIMES", x, x), s(1)), m=two("GREATER", s(2), x), l=two("LESSER", s(3), x)), "emitters": emit(n=s(0), q=s(1), m=s(2), l=s(3))}
+    fold = plain | {"initializers": plain["initializers"] + emit(p=zero), "updaters": plain["updaters"] + emit(p=two("PLUS", two("PLUS", s(4), s(0)), zero))}
+    a, b = (rel.aggregate(df, ["g"], [spec]) for spec in (plain, fold))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) == [(0, 7, 819, 18, 0), (1, 7, 952, 19, 1), (2, 6, 699, 17, 2)]
+    assert "collect_list" not in a._jdf.queryExecution().toString() and "collect_list" in b._jdf.queryExecution().toString()
+    assert tuple(rel.aggregate(df.where("false"), [], [plain]).first()) == (0, 0, 0, 5)
+
+
+def test_sampling_distribution_of_many_rows(spark):
+    df = spark.createDataFrame([(1, 3 * 10**12), (2, 10**12), (3, 0)], "w int, c long")
+    for replace in (False, True):
+        rows = rel.sampling_distribution(df.select("w", "c", F.lit(1)), 4 * 10**6, replace=replace).collect()
+        assert sum(r.SampleSize for r in rows) == 4 * 10**6 and abs(rows[0].SampleSize - 3 * 10**6) < 10**4 and rows[2].SampleSize == 0
+    few = spark.createDataFrame([(1, 4), (2, 6)], "w int, c long")
+    assert [r.SampleSize for r in rel.sampling_distribution(few, 10).collect()] == [4, 6]
+    with pytest.raises(PlanError):
+        rel.sampling_distribution(few, 11)
+
+
+def test_download_blob(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x").write_bytes(b"\x00\xff")
+    (tmp_path / "out").write_bytes(b"no")
+    df = spark.createDataFrame([(f"file://{tmp_path}/in/x",), (f"{tmp_path}/in/../out",), (f"{tmp_path}/in/none",), ("ftp://x",)], "u string")
+    e = emit(b={"type": "DOWNLOADBLOB", "operand": {"type": "VARIABLE", "columnIdx": 0}})
+    spark.conf.set("quernel.blobFolders", f"{tmp_path}/in")
+    try:
+        assert [r.b for r in rel.apply(df, e).collect()] == [b"\x00\xff", None, None, None]
+    finally:
+        spark.conf.unset("quernel.blobFolders")
+
+
+def test_binary_copy_files(spark, tmp_path):
+    df = spark.sql("select 7 as i, 8L as l, 'é' as s, true as b, cast(null as double) as d, timestamp'2000-01-01 00:00:01' as t")
+    for _ in range(2):  # the second replaces the first
+        formats.write_copy(df.coalesce(1), str(tmp_path / "c"))
+    (file,) = (tmp_path / "c").iterdir()
+    want = b"PGCOPY\n\xff\r\n\x00" + struct.pack(">ii", 0, 0) + struct.pack(">h", 6) + struct.pack(">iiiq", 4, 7, 8, 8) + struct.pack(">i", 2) + "é".encode() + struct.pack(">i?iiq", 1, True, -1, 8, 10**6) + struct.pack(">h", -1)
+    assert file.name.startswith("part-") and file.read_bytes() == want
+
+
+def test_database_tables(spark):
+    url = "jdbc:derby:memory:quernel;create=true"
+    e = Engine(spark)
+    e.write("public:test:j", spark.range(10).selectExpr("id as A", "cast(id as string) as B"), True)
+    e.export_jdbc("public:test:j", url, "J", True)
+    e.ingest_jdbc("public:test:k", url, "J", split=("A", 0, 10, 3))
+    assert sorted(map(tuple, e.read("public:test:k").collect())) == [(i, str(i)) for i in range(10)]
+
+
+def test_server(spark):
+    import json
+    import threading
+    import time
+    import urllib.error
+    import urllib.request
+
+    server = serve(Engine(spark), 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def call(method, path, body=None):
+        request = urllib.request.Request(f"http://127.0.0.1:{server.server_port}{path}", json.dumps(body).encode() if body else None, method=method)
+        try:
+            with urllib.request.urlopen(request) as r:
+                return r.status, r.read().decode()
+        except urllib.error.HTTPError as x:
+            return x.code, x.read().decode()
+
+    def ask(*args):
+        return json.loads(call(*args)[1])
+
+    try:
+        schema = {"columnTypes": ["LONG_TYPE"], "columnNames": ["a"]}
+        data = {"reader": {"readerType": "CSV", "schema": schema}, "source": {"dataType": "Bytes", "bytes": base64.b64encode(b"1\n2\n").decode()}}
+        assert call("POST", "/dataset", {"relationKey": key("srv"), "overwrite": True, **data})[0] == 201
+        at = "/dataset/user-public/program-test/relation-srv"
+        assert ask("GET", at)["count"] == 2 and sorted(call("GET", at + "/data?format=csv")[1].split()) == ["1", "2", "a"]
+        assert sorted(r["a"] for r in ask("GET", at + "/data?format=json")) == [1, 2]
+        plan = {"rawQuery": "copy", "logicalRa": "", "profilingMode": ["QUERY"], "fragments": sub({"opType": "TableScan", "opId": 1, "relationKey": key("srv")}, {"opType": "TempInsert", "opId": 2, "argChild": 1, "table": "t"})["fragments"]}
+        status, text = call("POST", "/query", plan)
+        n = json.loads(text)["id"]
+        for _ in range(120):
+            if (state := ask("GET", f"/query/query-{n}"))["status"] not in ("ACCEPTED", "RUNNING"):
+                break
+            time.sleep(0.5)
+        assert status == 202 and state["status"] == "SUCCESS"
+        assert "Parsed Logical Plan" in ask("GET", f"/query/query-{n}/subquery-1")[0]
+        assert [r["numTuples"] for r in ask("GET", f"/logs/profiling?queryId={n}")] == [2] and ask("GET", f"/logs/histogram?queryId={n}")
+        assert [q["id"] for q in ask("GET", "/query?q=copy&limit=1")] == [n] and call("GET", "/query/query-99")[0] == 404
+        assert call("POST", "/query/validate", {"rawQuery": 1})[0] == 400 and call("GET", "/nothing")[0] == 404 and call("POST", "/function", {"name": "f", "binary": "x"})[0] == 400
+        assert call("DELETE", at)[0] == 200 and "public:test:srv" not in ask("GET", "/dataset")
+    finally:
+        server.shutdown()
+        server.server_close()
