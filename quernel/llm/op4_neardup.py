@@ -359,5 +359,20 @@ def distinct_documents(documents: DataFrame, text: str = "text", key: str = "doc
     return once.union(kept.where(F.col("__again")).dropDuplicates(["__fp"]).select(names))
 
 
+#: The query's rows from all shared shingles, without MinHash.
+SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct([array_to_string(ws[i : i + 4], ' ') FOR i IN range(1, greatest(len(ws) - 3, 2))])) AS g FROM d WHERE len(ws) > 0),
+r AS (SELECT g, min(doc_id) AS rep, len(g) AS n FROM s GROUP BY g),
+x AS (SELECT rep, n, unnest(g) AS g FROM r),
+p AS (SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.g = b.g AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a),
+c AS (SELECT a, min(b) AS low FROM t GROUP BY a)
+SELECT d.doc_id, coalesce(r.n, 0)::BIGINT AS n_shingles, least(coalesce(r.rep, d.doc_id), c.low) AS component_id, d.doc_id = least(coalesce(r.rep, d.doc_id), c.low) AS kept
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id LEFT JOIN r ON s.g = r.g LEFT JOIN c ON r.rep = c.a
+"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components_of(table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -248,5 +248,17 @@ def link_components(vectors: DataFrame, vector: str = "embedding", key: str = "v
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
+#: The query's rows from all pairs, without an index.
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a),
+t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a),
+c AS (SELECT a, min(b) AS low FROM t GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, c.low) AS component_id, vec_id = least(vec_id, c.low) AS kept
+FROM embeddings LEFT JOIN n ON vec_id = n.a LEFT JOIN c ON vec_id = c.a
+"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "embeddings"))

@@ -435,3 +435,17 @@ def test_html_main_text(spark, sf):
     rows = op8_html.main_text(df).collect()
     assert [r.n_chars for r in rows] == [len(r.text) for r in rows] and len(rows) == 3
     assert op8_html.query(spark, sf).where("n_chars = 0").count() == 0
+
+
+# SQL
+
+
+@pytest.mark.parametrize("module", [op4_neardup, op5_embeddings, op6_decontaminate])
+def test_query_equals_its_sql(spark, sf, module):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = c.sql(module.SQL)
+    assert sorted(map(tuple, module.query(spark, sf).select(want.columns).collect())) == sorted(want.fetchall())
