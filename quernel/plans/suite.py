@@ -92,17 +92,16 @@ def filter_range(spark, d):
 
 @query("""
 SELECT o_orderkey, o_custkey + 7 AS plus_, o_orderkey - o_custkey AS minus_, o_custkey * 3 AS times_,
-       round(o_orderkey::DOUBLE / o_custkey, 4) AS divide_, trunc((o_custkey - 500)::DOUBLE / 7)::BIGINT AS idivide_,
+       round(o_orderkey::DOUBLE / (o_custkey + 7), 4) AS divide_, trunc((o_custkey - 500)::DOUBLE / 7)::BIGINT AS idivide_,
        ((o_custkey - 500) % 7)::BIGINT AS modulo_, abs(o_custkey - 500) AS abs_, -o_custkey AS neg_
-FROM orders WHERE o_orderkey % 2 = 0
+FROM orders
 """)
 def apply_arith(spark, d):
     df = read(spark, d, "orders")
     k, c = var(df, "o_orderkey"), var(df, "o_custkey")
     less = two("MINUS", c, const("LONG_TYPE", 500))
-    df = rel.filter_rows(df, two("EQ", two("MODULO", k, const("LONG_TYPE", 2)), const("LONG_TYPE", 0)))
     seven = const("LONG_TYPE", 7)
-    return rounded(rel.apply(df, emit(o_orderkey=k, plus_=two("PLUS", c, seven), minus_=two("MINUS", k, c), times_=two("TIMES", c, const("LONG_TYPE", 3)), divide_=two("DIVIDE", k, c), idivide_=two("IDIVIDE", less, seven), modulo_=two("MODULO", less, seven), abs_=one("ABS", less), neg_=one("NEG", c))))
+    return rounded(rel.apply(df, emit(o_orderkey=k, plus_=two("PLUS", c, seven), minus_=two("MINUS", k, c), times_=two("TIMES", c, const("LONG_TYPE", 3)), divide_=two("DIVIDE", k, two("PLUS", c, seven)), idivide_=two("IDIVIDE", less, seven), modulo_=two("MODULO", less, seven), abs_=one("ABS", less), neg_=one("NEG", c))))
 
 
 @query("""
@@ -219,28 +218,30 @@ def counting_join(spark, d):
     return rel.counting_join(li, li, ["l_partkey"], ["l_partkey"], "n")
 
 
-EDGES = "(SELECT DISTINCT l_suppkey AS a, (l_partkey * 7 + l_suppkey * 3) % 100 + 1 AS b FROM lineitem WHERE l_orderkey % {0} = 0)"
+TRIANGLE = """FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) r
+JOIN (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) s ON r.l_partkey = s.l_partkey
+JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) t ON s.l_orderkey = t.l_orderkey AND t.l_suppkey = r.l_suppkey"""
 
 
-def edges(spark, d, step: int = 500) -> DataFrame:
-    """A cyclic edge list derived from lineitem."""
-    return read(spark, d, "lineitem").where(f"l_orderkey % {step} = 0").selectExpr("l_suppkey a", "(l_partkey * 7 + l_suppkey * 3) % 100 + 1 b").distinct()
+def sides(spark, d) -> list[DataFrame]:
+    """The three sides of a triangle of suppliers, parts and orders."""
+    li = read(spark, d, "lineitem")
+    return [li.select(a, b).distinct() for a, b in (("l_suppkey", "l_partkey"), ("l_partkey", "l_orderkey"), ("l_orderkey", "l_suppkey"))]
 
 
-@query(f"SELECT r.a AS x, s.a AS y, t.a AS z FROM {EDGES.format(20)} r JOIN {EDGES.format(20)} s ON r.b = s.a JOIN {EDGES.format(20)} t ON s.b = t.a AND t.b = r.a")
+@query("SELECT r.l_suppkey AS x, r.l_partkey AS y, s.l_orderkey AS z " + TRIANGLE)
 def multiway_triangle(spark, d):
-    e = edges(spark, d, 20)
-    return rel.multiway_join([e, e, e], [[(0, 1), (1, 0)], [(1, 1), (2, 0)], [(2, 1), (0, 0)]], [(0, 0), (1, 0), (2, 0)], ["x", "y", "z"])
+    return rel.multiway_join(sides(spark, d), [[(0, 1), (1, 0)], [(1, 1), (2, 0)], [(2, 1), (0, 0)]], [(0, 0), (1, 0), (2, 0)], ["x", "y", "z"])
 
 
-@query(f"SELECT count(*) AS n FROM {EDGES.format(20)} r JOIN {EDGES.format(20)} s ON r.b = s.a JOIN {EDGES.format(20)} t ON s.b = t.a AND t.b = r.a")
+@query("SELECT count(*) AS n " + TRIANGLE)
 def hypercube_triangle(spark, d):
     """The triangle count, each cell of a 2 x 2 x 2 cube joining by itself."""
-    e = edges(spark, d, 20)
+    r, s, t = sides(spark, d)
     cube = [2, 2, 2]
-    r = rel.hypercube(e.toDF("x", "y"), cube, {0: "x", 1: "y"})
-    s = rel.hypercube(e.toDF("y", "z"), cube, {1: "y", 2: "z"})
-    t = rel.hypercube(e.toDF("z", "x"), cube, {2: "z", 0: "x"})
+    r = rel.hypercube(r.toDF("x", "y"), cube, {0: "x", 1: "y"})
+    s = rel.hypercube(s.toDF("y", "z"), cube, {1: "y", 2: "z"})
+    t = rel.hypercube(t.toDF("z", "x"), cube, {2: "z", 0: "x"})
     return r.join(s, ["cell", "y"]).join(t, ["cell", "z", "x"]).agg(F.count("*").alias("n"))
 
 
@@ -294,9 +295,9 @@ def union_all(spark, d):
     return rel.union_all(read(spark, d, "customer").select(F.col("c_nationkey").alias("k")), read(spark, d, "supplier").select("s_nationkey"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 250000")
 def difference(spark, d):
-    return rel.difference(read(spark, d, "customer").select(F.col("c_custkey").alias("k")), read(spark, d, "orders").where("o_orderkey % 2 = 0").select("o_custkey"))
+    return rel.difference(read(spark, d, "customer").select(F.col("c_custkey").alias("k")), read(spark, d, "orders").where("o_totalprice > 250000").select("o_custkey"))
 
 
 @query("SELECT DISTINCT o_custkey, o_orderstatus FROM orders")
@@ -346,35 +347,48 @@ def sigma_clip(spark, d):
 
 # recursion
 
-REACH = "WITH RECURSIVE e AS " + EDGES.format(500) + ", tc(a, b) AS (SELECT a, b FROM e UNION SELECT tc.a, e.b FROM tc JOIN e ON tc.b = e.a) "
+PARENTS = "(SELECT (c_custkey + 1) // 10 AS a, c_custkey + 1 AS b, c_nationkey + 1 AS w FROM customer UNION SELECT (c_custkey + 1) // 7, c_custkey + 1, 3 FROM customer)"
+BLOCKS = "(SELECT c_custkey AS a, c_custkey - c_custkey % 10 AS b FROM customer UNION SELECT c_custkey, c_custkey - c_custkey % 15 FROM customer)"
+PLACES = "(SELECT n_regionkey::BIGINT AS a, n_nationkey::BIGINT + 100 AS b FROM nation UNION SELECT s_nationkey + 100, s_suppkey + 1000 FROM supplier)"
+
 
+def parents(spark, d) -> DataFrame:
+    """Two weighted parents of each customer; paths of different weights meet."""
+    c = read(spark, d, "customer").selectExpr("c_custkey + 1 b", "c_nationkey + 1 w")
+    return c.selectExpr("b div 10 a", "b", "w").union(c.selectExpr("b div 7", "b", "3")).distinct()
 
-@query(REACH + "SELECT a, b FROM tc")
+
+@query("WITH RECURSIVE e AS (SELECT DISTINCT a, b FROM " + PARENTS + "), tc(a, b) AS (SELECT a, b FROM e UNION SELECT tc.a, e.b FROM tc JOIN e ON tc.b = e.a) SELECT a, b FROM tc")
 def tc_reach(spark, d):
-    e = cut(edges(spark, d))
+    e = cut(parents(spark, d).select("a", "b").distinct())
     step = lambda held, delta: {"tc": rel.join(delta["tc"], e, ["b"], ["a"], ["a"], ["b"], ["a", "b"])}
     return fixpoint({"tc": e}, {"tc": DupElim()}, step)["tc"]
 
 
-@query("WITH RECURSIVE e AS (SELECT a, b FROM " + EDGES.format(500) + " UNION SELECT b, a FROM " + EDGES.format(500) + "), tc(a, b) AS (SELECT a, b FROM e UNION SELECT tc.a, e.b FROM tc JOIN e ON tc.b = e.a) SELECT a AS node, least(a, min(b)) AS label FROM tc GROUP BY a")
+@query("WITH RECURSIVE e AS (SELECT a, b FROM " + BLOCKS + " UNION SELECT b, a FROM " + BLOCKS + "), tc(a, b) AS (SELECT a, b FROM e UNION SELECT tc.a, e.b FROM tc JOIN e ON tc.b = e.a) SELECT a AS node, least(a, min(b)) AS label FROM tc GROUP BY a")
 def cc_labels(spark, d):
-    e = cut(edges(spark, d).union(edges(spark, d).select("b", "a")).distinct())
+    """Components of a cyclic graph: customers in overlapping blocks of 10 and 15."""
+    c = read(spark, d, "customer")
+    e = c.selectExpr("c_custkey a", "c_custkey - c_custkey % 10 b").union(c.selectExpr("c_custkey", "c_custkey - c_custkey % 15"))
+    e = cut(e.union(e.select("b", "a")).distinct())
     start = e.selectExpr("a node", "a label").distinct()
     step = lambda held, delta: {"cc": rel.join(delta["cc"], e, ["node"], ["a"], ["label"], ["b"]).select(F.col("b").alias("node"), "label")}
     return fixpoint({"cc": start}, {"cc": KeepMinValue(("node",), ("label",))}, step)["cc"]
 
 
-@query("WITH RECURSIVE e AS " + EDGES.format(500) + ", s(node, dist) AS (SELECT (SELECT min(a) FROM e), 0::BIGINT UNION SELECT e.b, s.dist + 1 FROM s JOIN e ON s.node = e.a WHERE s.dist < 110) SELECT node, min(dist) AS dist FROM s GROUP BY node")
+@query("WITH RECURSIVE e AS " + PARENTS + ", s(node, dist) AS (SELECT 0::BIGINT, 0::BIGINT UNION SELECT e.b, s.dist + e.w FROM s JOIN e ON s.node = e.a) SELECT node, min(dist) AS dist FROM s GROUP BY node")
 def sssp(spark, d):
-    e = cut(edges(spark, d))
-    start = e.agg(F.min("a").alias("node")).withColumn("dist", F.lit(0).cast("long"))
-    step = lambda held, delta: {"s": rel.join(delta["s"], e, ["node"], ["a"], ["dist"], ["b"]).select(F.col("b").alias("node"), (F.col("dist") + 1).alias("dist"))}
+    e = cut(parents(spark, d))
+    start = spark.range(1).selectExpr("id node", "0L dist")
+    step = lambda held, delta: {"s": rel.join(delta["s"], e, ["node"], ["a"], ["dist"], ["b", "w"]).select(F.col("b").alias("node"), (F.col("dist") + F.col("w")).alias("dist"))}
     return fixpoint({"s": start}, {"s": KeepMinValue(("node",), ("dist",))}, step)["s"]
 
 
-@query("WITH RECURSIVE e AS " + EDGES.format(1000) + ", sg(x, y) AS (SELECT p.b, q.b FROM e p JOIN e q ON p.a = q.a WHERE p.b <> q.b UNION SELECT p.b, q.b FROM sg JOIN e p ON p.a = sg.x JOIN e q ON q.a = sg.y) SELECT x, y FROM sg")
+@query("WITH RECURSIVE e AS " + PLACES + ", sg(x, y) AS (SELECT p.b, q.b FROM e p JOIN e q ON p.a = q.a WHERE p.b <> q.b UNION SELECT p.b, q.b FROM sg JOIN e p ON p.a = sg.x JOIN e q ON q.a = sg.y) SELECT x, y FROM sg")
 def same_generation(spark, d):
-    e = cut(edges(spark, d, 1000))
+    """Nations of a region, and suppliers whose nations are the same or of the same generation."""
+    nations = read(spark, d, "nation").selectExpr("cast(n_regionkey as long) a", "cast(n_nationkey as long) + 100 b")
+    e = cut(nations.union(read(spark, d, "supplier").selectExpr("cast(s_nationkey as long) + 100", "s_suppkey + 1000")))
     start = rel.join(e, e, ["a"], ["a"], ["b"], ["b"], ["x", "y"]).where("x <> y")
 
     def step(held, delta):
@@ -384,10 +398,10 @@ def same_generation(spark, d):
     return fixpoint({"sg": start}, {"sg": DupElim()}, step)["sg"]
 
 
-@query("WITH RECURSIVE e AS " + EDGES.format(500) + " SELECT b AS x FROM e GROUP BY b HAVING count(DISTINCT a) >= 2")
+@query("SELECT l_partkey AS x FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) >= 26")
 def count_filter(spark, d):
-    e = edges(spark, d).select(F.col("b").alias("x"), F.col("a").alias("y"))
-    state = CountFilter(("x",), 2)
+    e = read(spark, d, "lineitem").selectExpr("l_partkey x", "l_suppkey y").distinct()
+    state = CountFilter(("x",), 26)
     return state.passed(state.first(e))
 
 
