@@ -8,10 +8,11 @@ lost executor costs nothing but its own tasks.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import PlanError
@@ -27,6 +28,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared(spark: SparkSession) -> str:
+    """A new folder below the session's checkpoint folder (our own where none is set)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quernel-")
+    return f"{base.rstrip('/')}/quernel-{uuid.uuid4().hex}"
+
+
 @dataclass(frozen=True)
 class DupElim:
     """Keeps the first sight of a row; new are the rows not seen."""

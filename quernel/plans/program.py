@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..model import PlanError, RelationKey, Schema
 from ..operators import relational as rel
 from ..operators.iterate import MOST, STATES, cut, fixpoint, single
-from ..sources import formats
+from ..sources import formats, generated
 
 PRODUCERS = {"ShuffleProducer", "BroadcastProducer", "CollectProducer", "LocalMultiwayProducer", "HyperCubeShuffleProducer"}
 CONSUMERS = {"ShuffleConsumer", "BroadcastConsumer", "CollectConsumer", "LocalMultiwayConsumer", "HyperCubeShuffleConsumer", "Consumer"}
@@ -440,9 +440,9 @@ class Run:
             df = e.spark.sql(op["sql"])
             return df.select(*[F.col(f"`{c}`").cast(f.dataType).alias(f.name) for c, f in zip(df.columns, schema.spark, strict=True)])
         if kind == "Empty":
-            return e.spark.createDataFrame([], Schema.parse(op["schema"]).spark)
+            return generated.empty(e.spark, Schema.parse(op["schema"]))
         if kind == "Singleton":
-            return e.spark.range(1).select(F.lit(0).alias("privateSingletonColumn"))
+            return generated.singleton(e.spark)
         if kind in ("TupleSource", "CSVFragmentTupleSource"):
             return e.source(op["reader"], op["source"])
         if kind == "TipsyFileScan":

@@ -13,13 +13,13 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, queries: dict = QUERIES, oracles: dict = ORACLES):
     """Register a function (spark, sf_dir) -> DataFrame under its name, with its SQL."""
 
     def put(f):
-        QUERIES[f.__name__] = f
+        queries[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql
+            oracles[f.__name__] = sql
         return f
 
     return put

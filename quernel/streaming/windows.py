@@ -24,3 +24,18 @@ def run_once(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there, into a memory table."""
     df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
     return df.sparkSession.table(name)
+
+
+def run_to(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there, into Parquet below ``folder``, where its progress is kept too.
+
+    A batch that is repeated after a failure replaces what it wrote before.
+    """
+    spark = df.sparkSession
+    spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{folder}/rows/__batch=-1")
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/__batch={0 if mode == 'complete' else n}")
+
+    df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{folder}/rows").select(*df.columns)

@@ -11,11 +11,11 @@ from quernel.functions.expressions import Compiler
 from quernel.model import PlanError, RelationKey, Schema
 from quernel.operators import relational as rel
 from quernel.operators.iterate import CountFilter, DupElim, KeepMinValue, SimpleAppender, fixpoint
-from quernel.plans import suite
+from quernel.plans import scenarios, suite
 from quernel.plans.program import Engine, validate
 from quernel.plans.server import serve
 from quernel.plans.suite import const, emit, one, three, two
-from quernel.sources import formats
+from quernel.sources import formats, generated
 
 
 def test_schema_and_keys():
@@ -184,16 +184,16 @@ def test_sessions(spark):
     assert sorted(r.n for r in windows.sessions(df, "ts", "4 minutes", ["u"], n=F.count("*")).collect()) == [1, 1, 3]
 
 
-@pytest.mark.parametrize("name", list(suite.QUERIES))
+@pytest.mark.parametrize("name", [*suite.QUERIES, *scenarios.QUERIES])
 def test_suite_matches_sql(spark, sf, name):
     import duckdb
 
     c = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events".split():
         c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    df = suite.QUERIES[name](spark, sf)
+    df = (suite.QUERIES | scenarios.QUERIES)[name](spark, sf)
     cols = sorted(df.columns)
-    r = c.sql(suite.ORACLES[name])
+    r = c.sql((suite.ORACLES | scenarios.ORACLES)[name])
     at = [list(r.columns).index(x) for x in cols]
     norm = lambda rows: sorted((tuple(round(x, 5) + 0.0 if isinstance(x, float) else x for x in r) for r in rows), key=repr)
     assert norm(df.select(*[f"`{x}`" for x in cols]).collect()) == norm(tuple(x[i] for i in at) for x in r.fetchall())
@@ -297,3 +297,25 @@ def test_server(spark):
     finally:
         server.shutdown()
         server.server_close()
+
+
+def test_streams_to_files(spark, sf, tmp_path):
+    from quernel.streaming import windows
+
+    (tmp_path / "in").mkdir()
+    spark.range(5).write.mode("overwrite").parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    assert sorted(r.id for r in windows.run_to(stream(), str(tmp_path / "out")).collect()) == [0, 1, 2, 3, 4]
+    spark.range(5, 7).write.mode("append").parquet(str(tmp_path / "in"))
+    assert sorted(r.id for r in windows.run_to(stream(), str(tmp_path / "out")).collect()) == [0, 1, 2, 3, 4, 5, 6]
+    none = spark.readStream.schema("id long").parquet(str(tmp_path / "in")).where("id < 0")
+    assert windows.run_to(none, str(tmp_path / "none")).count() == 0
+
+
+def test_generated_relations(spark):
+    assert [r.x for r in generated.tuple_range(spark, 3, "STRING_TYPE", "x").collect()] == ["0", "1", "2"]
+    with pytest.raises(PlanError):
+        generated.tuple_range(spark, 3, "BLOB_TYPE")
+    one = generated.batch(spark, [(1, "a")], Schema(("INT_TYPE", "STRING_TYPE"), ("i", "s")))
+    assert [tuple(r) for r in generated.repeated(one, 2).collect()] == [(1, "a"), (1, "a")] and generated.repeated(one, 0).count() == 0
+    assert generated.singleton(spark).collect()[0][0] == 0 and generated.empty(spark, Schema(("INT_TYPE",))).count() == 0
