@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,7 +47,8 @@ def ran(spark: SparkSession, text: str, plan: dict, engine: Engine | None = None
 
 
 def key(name: str) -> dict:
-    return {"userName": "public", "programName": "suite", "relationName": name}
+    """A relation of a run of its own, since a warehouse may outlive the catalog of its tables."""
+    return {"userName": "public", "programName": f"suite_{uuid.uuid4().hex}", "relationName": name}
 
 
 # plans
@@ -126,12 +128,12 @@ def plan_multiway_join(spark, d):
     return ran(spark, "multiway join", plan)["out"]
 
 
-@query("SELECT 'public' AS user_name, 'suite' AS program_name, 'regions' AS relation_name")
+@query("SELECT 'public' AS user_name, 'regions' AS relation_name")
 def plan_catalog_scan(spark, d):
     e = Engine(spark)
     e.write(key("regions"), read(spark, d, "region"), overwrite=True)
-    names = ["user_name", "program_name", "relation_name"]
-    look = op("CatalogScan", 1, schema={"columnTypes": ["STRING_TYPE"] * 3, "columnNames": names}, sql=f"SELECT {', '.join(names)} FROM relations")
+    names = ["user_name", "relation_name"]
+    look = op("CatalogScan", 1, schema={"columnTypes": ["STRING_TYPE"] * 2, "columnNames": names}, sql=f"SELECT {', '.join(names)} FROM relations")
     return ran(spark, "catalog", sub([look, op("TempInsert", 2, argChild=1, table="out")]), e)["out"]
 
 
@@ -159,10 +161,10 @@ def generated_sources(spark, d):
 
 @query("SELECT c_custkey AS k, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")
 def relation_append(spark, d):
-    e = Engine(spark)
-    e.write(key("parties"), read(spark, d, "customer").selectExpr("c_custkey k", "c_name name"), overwrite=True)
-    e.write(key("parties"), read(spark, d, "supplier").selectExpr("s_suppkey k", "s_name name"))
-    return e.read(key("parties"))
+    e, parties = Engine(spark), key("parties")
+    e.write(parties, read(spark, d, "customer").selectExpr("c_custkey k", "c_name name"), overwrite=True)
+    e.write(parties, read(spark, d, "supplier").selectExpr("s_suppkey k", "s_name name"))
+    return e.read(parties)
 
 
 @query("SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal < 0 GROUP BY c_nationkey")
