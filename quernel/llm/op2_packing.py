@@ -19,6 +19,8 @@ only its own tasks.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -39,13 +41,15 @@ GRID = 32
 BUFFER = 1 << 18
 
 
-def encoder(vocabulary: str | None = None):
+def encoder(vocabulary: str | None = None, added: bool = False):
     """The function from a text to its ids, and which ids end a sentence.
 
     ``vocabulary`` is the path of a ``tokenizers`` file.  The file of the same
     name for ``tiktoken``, beside it, gives the same ids in a quarter of the time;
     a test holds them together.  Its pattern matcher gives up on some texts, such
-    as a million spaces; ``tokenizers`` encodes those.
+    as a million spaces; ``tokenizers`` encodes those.  ``added``: whether a name of
+    the file's added tokens in a text is that token, as ``tokenizers`` has it by
+    default, or text like any other; ``tokenizers`` encodes the texts that hold one.
     """
     import public_tokenizers
     import tiktoken
@@ -54,21 +58,26 @@ def encoder(vocabulary: str | None = None):
     with open(vocabulary.removesuffix(".json") + ".tiktoken", "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     coder = tiktoken.Encoding("ids", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    ends = np.zeros(max(ranks.values()) + 2, bool)
+    with open(vocabulary, encoding="utf-8") as f:
+        names = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]} if added else {}
+    holds = re.compile("|".join(map(re.escape, names))).search if names else lambda text: None
+    ends = np.zeros(max(*ranks.values(), *names.values()) + 2, bool)
     for token, rank in ranks.items():
         ends[rank] = token.rstrip()[-1:] in (b".", b"!", b"?") or b"\n" in token
     slow = []
 
     def encode(text: str) -> np.ndarray:
-        try:
-            return np.frombuffer(coder.encode_to_numpy(text, disallowed_special=()), np.uint32)
-        except ValueError:
-            if not slow:
-                import tokenizers
-
-                slow.append(tokenizers.Tokenizer.from_file(vocabulary))
-                slow[0].encode_special_tokens = True  # their names in a text are text
-            return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
+        if not holds(text):
+            try:
+                return np.frombuffer(coder.encode_to_numpy(text, disallowed_special=()), np.uint32)
+            except ValueError:
+                pass
+        if not slow:
+            import tokenizers
+
+            slow.append(tokenizers.Tokenizer.from_file(vocabulary))
+            slow[0].encode_special_tokens = not added  # their names in a text are text, unless asked for
+        return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode, ends
 
@@ -172,7 +181,8 @@ def pack(documents: DataFrame, size: int = SIZE, separator: int = 0, with_ids: b
     if asked for, ``ids``.  A null or empty text is the separator alone; equal
     rows are packed as often as they occur; other columns are not read; an empty
     table gives no rows.  Sequence ids are unique, not gapless.  ``vocabulary`` is
-    a path that every executor can read.
+    a path that every executor can read; the names of its added tokens in a text
+    are those tokens.
     """
     schema = f"{key} {dict(documents.dtypes)[key]}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
 
@@ -180,7 +190,7 @@ def pack(documents: DataFrame, size: int = SIZE, separator: int = 0, with_ids: b
         encode = packer = None
         for batch in parts(batches, 256):
             if packer is None:
-                encode, ends = encoder(vocabulary)
+                encode, ends = encoder(vocabulary, added=True)
                 packer = Packer(ends, size, TaskContext.get().partitionId() << 40, with_ids)
                 kind = batch.schema.field(0).type
             for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -144,6 +144,21 @@ def test_texts_on_which_one_tokenizer_gives_up(text):
     assert encode(text).tolist() == coder.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_knows_added_tokens(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "one.  <|endoftext|><|endoftext|>\n two", "<|endoftext", "x <|endoftext|>" + " " * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = defaultdict(list)
+    for r in sorted(op2_packing.pack(df).collect(), key=lambda r: (r.doc_id, r.start)):
+        assert r.start == len(found[r.doc_id]) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        found[r.doc_id] += r.ids
+    assert found == {i: coder.encode(x).ids + [0] for i, x in enumerate(texts)}
+    assert found[0].count(50256) == 1 and len(found[0]) == 5
+
+
 # 3
 
 
