@@ -22,10 +22,11 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: A name that holds credentials, and the whole value given to it, however long.  A name may go on, but not as
-#: another word would (author, secretary, tokenizer).
+#: A name that holds credentials, and the whole value given to it, both however long.  A name may go on, but not as
+#: another word would (author, secretary, tokenizer).  What follows a name is the same for all words in it, so only
+#: the first is tried, and the time stays linear.
 CONTEXT = re.compile(
-    r"""(?:passphrase|password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)s?(?-i:(?![a-z]))[A-Za-z0-9_-]{0,20}["']?[\x20\t]*(?:[:=]|=>|:=)[\x20\t]*(?:(["'`])([^"'`\r\n]{6,}+)\1|([^\s"'`,;<>(){}\[\]]{6,}+))""",
+    r"""(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?:passphrase|password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)s?(?-i:(?![a-z])))[A-Za-z0-9_-]*+["']?[\x20\t]*(?:[:=]|=>|:=)[\x20\t]*(?:(["'`])([^"'`\r\n]{6,}+)\1|([^\s"'`,;<>(){}\[\]]{6,}+))""",
     re.ASCII | re.IGNORECASE,
 )
 NAMES = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"auth")

@@ -199,6 +199,23 @@ def test_guess_cost():
     assert not op3_secrets.find("author: Featherstonehaugh") and not op3_secrets.find("secretary: Featherstonehaugh")
 
 
+def test_secrets_under_long_names():
+    value = "kX9#vQ2$mZ7!"
+    for name in ("DB_PASSWORD_PRODUCTION_READ_REPLICA: ", "SECRET_KEY_FOR_PRODUCTION_DATABASE=", "token_for_the_staging_cluster = ", f"my-auth-{'x1_' * 1000}=> ", f"{'x1_' * 1000}token: "):
+        assert op3_secrets.find(name + value) == [(len(name), len(name) + len(value), "guess")]
+    assert not op3_secrets.find(f"authoring_guide_for_the_new_editors: {value}")
+    assert not op3_secrets.find("token_" * 100_000 + " " + value)  # far beyond any test's patience if time were quadratic
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["token", "TOKENS", "secretary", "authKey", "api_key", "x", "_", "-", "S", "é", " ", "\t", ":", "=", "=>", "\"", "'", "\n", "kX9#vQ2$", "abcdef1"]), max_size=16).map("".join))
+def test_secrets_context_is_that_of_every_word(text):
+    word = r"(?:passphrase|password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)s?(?-i:(?![a-z]))[A-Za-z0-9_-]*"
+    value = r"""["']?[ \t]*(?:[:=]|=>|:=)[ \t]*(?:(["'`])([^"'`\r\n]{6,}+)\1|([^\s"'`,;<>(){}\[\]]{6,}+))"""
+    plain = re.compile(word + value, re.ASCII | re.IGNORECASE)
+    assert [m.regs[1:] for m in op3_secrets.CONTEXT.finditer(text)] == [m.regs[1:] for m in plain.finditer(text)]
+
+
 def test_guess_cost_of_whole_values():
     low = "password" * 9 + "aaaa" * 5_000  # much of a value costs little; its end decides
     assert op3_secrets.guess_cost(low, 30.0) < 30.0 <= op3_secrets.guess_cost(low + "kX9#vQ2$mZ7!kX9#vQ2$mZ7!", 30.0)
