@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the least id."""
-    return op4_neardup.distinct_documents(docs)
+    """One document of each group of near copies, of similarity 0.8 or more, the one with the least id."""
+    return op4_neardup.distinct_documents(docs, per=80, of=100)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

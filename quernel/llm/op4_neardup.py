@@ -5,7 +5,7 @@ minima, the first give band keys; the low ``BITS`` bits of all are packed in a
 signature of a few longs.  Nodes that share a band key are candidates.  With C
 equal lanes of k, a share 2**-b of which are chance collisions, the similarity
 is (C / k - 2**-b) / (1 - 2**-b); C is counted by bit operations.  Candidates
-whose estimate is within ``MARGIN`` of the limit are confirmed on full sets.
+whose estimate is within ``margin`` of the limit are confirmed on full sets.
 
 No step emits all pairs of a bucket.  First each member is held against the
 bucket's least member.  Pairs are then only of interest across the components
@@ -16,6 +16,8 @@ their full sets, block by block, and confirmed there, so no link is lost.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,10 +28,10 @@ from .common import Workspace, arrow_map, keys_join, map_arrow, parts, table, ut
 from .graph import components
 
 SHINGLE, PER, OF = 5, 85, 100
-#: 16 bands of 4 minima miss a pair of similarity 0.85 once in 130,000 times.
-BANDS, ROWS, HASHES, BITS = 16, 4, 256, 2
-#: 4.5 standard deviations of the estimate at 0.85.
-MARGIN = 0.12
+#: Bands of 4 minima; how often they may miss a pair at the limit, as far as there are minima.
+ROWS, HASHES, BITS, MISS = 4, 256, 2, 1e-5
+#: Standard deviations of the estimate at the limit, and the least margin.
+DEVIATIONS, MARGIN = 4.5, 0.12
 #: Nodes of a bucket in a block, at least and at most.
 BLOCK, BLOCK_MOST = 256, 4096
 #: Neighbours of a row in other components that are tried before all.
@@ -83,8 +85,21 @@ def minima(found: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(m: np.ndarray) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(m[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64)
+def bands_for(per: int, of: int) -> int:
+    """The bands that miss a pair at the limit at most ``MISS`` times: 16 at 0.85, 22 at 0.8."""
+    one = (per / of) ** ROWS
+    return HASHES // ROWS if one <= 0 else 1 if one >= 1 else min(HASHES // ROWS, math.ceil(math.log(MISS) / math.log1p(-one)))
+
+
+def margin(per: int, of: int) -> float:
+    """How far below the limit the estimate of a pair may be."""
+    c = 2.0**-BITS
+    equal = c + (1 - c) * per / of
+    return max(MARGIN, DEVIATIONS * math.sqrt(equal * (1 - equal) / HASHES) / (1 - c))
+
+
+def band_keys(m: np.ndarray, bands: int) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(m[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(bands)], np.uint64).view(np.int64)
 
 
 def packed(m: np.ndarray) -> np.ndarray:
@@ -93,8 +108,8 @@ def packed(m: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(low, axis=1).view(np.int64)
 
 
-def signatures(documents: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, n, fp, bands, sig) of each row; fp, bands and sig are null for empty texts."""
+def signatures(documents: DataFrame, text: str, key: str, width: int) -> DataFrame:
+    """(key, n, fp, bands, sig) of each row, with ``width`` bands; fp, bands and sig are null for empty texts."""
 
     def make():
         known, seen = Words(), {}
@@ -114,7 +129,7 @@ def signatures(documents: DataFrame, text: str, key: str) -> DataFrame:
                     if len(seen) > 10_000:
                         seen.clear()
                     m = minima(s)
-                    seen[f] = band_keys(m), packed(m)
+                    seen[f] = band_keys(m, width), packed(m)
                 fp.append(f)
                 bands.append(seen[f][0])
                 sig.append(seen[f][1])
@@ -197,7 +212,7 @@ def across(members: DataFrame, mode: str, per: int, of: int) -> DataFrame:
     rows = rows.withColumn("q", F.explode(F.expr("sequence(0, m - 1)")))
     rows = rows.withColumns({"i": F.least("p", "q"), "j": F.greatest("p", "q")}).drop("q", "m")
     names = ("bk", "fp") if mode == "open" else ("a", "b")
-    mask, one, least = np.uint64(int("5" * 16, 16)), np.uint64(1), per / of - MARGIN
+    mask, one, least = np.uint64(int("5" * 16, 16)), np.uint64(1), per / of - margin(per, of)
 
     def longs(column, width: int) -> np.ndarray:
         return column.combine_chunks().flatten().to_numpy().reshape(-1, width)
@@ -208,7 +223,7 @@ def across(members: DataFrame, mode: str, per: int, of: int) -> DataFrame:
         if label.max() == 0:
             return []
         n, p, bk = g.column("n").to_numpy(), g.column("p").to_numpy(), g.column("bk")[0].as_py()
-        sig, bands = longs(g.column("sig"), LONGS).view(np.uint64), longs(g.column("bands"), BANDS)
+        sig, bands = longs(g.column("sig"), LONGS).view(np.uint64), longs(g.column("bands"), bands_for(per, of))
         band = int(np.flatnonzero(bands[0] == bk)[0])
         two = g.column("i")[0].as_py() != g.column("j")[0].as_py()
         out, pairs = [], []
@@ -279,8 +294,8 @@ def groups(documents: DataFrame, work: Workspace, text: str = "text", key: str =
     ``component`` is the least key of the component, ``again`` whether several
     rows hold that key.  Fingerprints that are alone are not in the second table.
     """
-    least = per / of - MARGIN
-    rows = work.save(signatures(documents, text, key), "signatures")
+    least = per / of - margin(per, of)
+    rows = work.save(signatures(documents, text, key, bands_for(per, of)), "signatures")
     some = rows.where(F.col("fp").isNotNull())
     nodes = work.save(some.groupBy("fp").agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
     in_bands = nodes.select(F.explode("bands").alias("bk"), "fp")

@@ -1,7 +1,7 @@
 """The pipeline against plain versions of its stages."""
 
 import corpus_pipeline
-from quernel.llm import op3_secrets, op9_quality
+from quernel.llm import op3_secrets, op4_neardup, op9_quality
 from test_operators import plain_components, plain_hits  # noqa: F401
 
 from quernel.llm.op6_decontaminate import words
@@ -38,6 +38,23 @@ def test_stages(spark, sf):
         before = after
 
 
+def test_near_duplicates_from_a_similarity_of_four_fifths(spark, sf):
+    base = [f"w{i}" for i in range(90)]
+    rows = [(1, " ".join(base))]
+    for i, changed in enumerate(((40, 41, 42, 43, 44), (50, 51, 52, 53, 54, 55)), 2):
+        rows.append((i, " ".join(f"x{i}_{k}" if k in changed else w for k, w in enumerate(base))))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(86)} for i, t in rows}
+    assert [round(len(sets[1] & sets[i]) / len(sets[1] | sets[i]), 2) for i in (2, 3)] == [0.81, 0.79]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_bands_and_margin_follow_the_limit():
+    for per in (85, 80, 70):
+        assert (1 - (per / 100) ** op4_neardup.ROWS) ** op4_neardup.bands_for(per, 100) <= 1e-5
+    assert op4_neardup.bands_for(85, 100) == 16 and op4_neardup.margin(85, 100) == 0.12 < op4_neardup.margin(80, 100)
+
+
 def test_run_and_registry(spark, sf):
     import __spark_entry__
 
