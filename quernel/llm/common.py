@@ -36,7 +36,12 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """mapInArrow with batches of bounded size; a task gives its memory back as it ends."""
+    """mapInArrow on batches of bounded size; a task gives its memory back as it ends.
+
+    Spark reads the two settings of a batch's size as it plans a query, so where
+    the session has larger ones, or none, they are lowered once, and stay so: a
+    table that is planned later needs them as well.
+    """
     conf = df.sparkSession.conf
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS * 4), ("maxBytesPerBatch", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{name}"
@@ -76,12 +81,16 @@ class Workspace:
     """Tables written to the folder that the cluster names in spark.checkpoint.dir.
 
     A table written there cuts the lineage and outlives any executor.  Where the
-    setting is absent (tests on one machine), a folder of our own is used.
+    setting is absent, a local master gets a folder of our own (as in tests); on a
+    cluster that is an error, since machines would not see each other's files.
     """
 
     def __init__(self, spark: SparkSession):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
             base = "file://" + tempfile.mkdtemp(prefix="quernel-")
         self.spark, self.root = spark, f"{base.rstrip('/')}/quernel-{uuid.uuid4().hex}"
 
@@ -100,10 +109,45 @@ class Workspace:
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def keys_join(df: DataFrame, keys: DataFrame, on: str, how: str = "inner", limit: int = 500_000) -> DataFrame:
-    """Join ``keys`` (narrow rows) to ``df``; broadcast them only if a count shows at most ``limit`` rows."""
-    n = keys.limit(limit + 1).count()
-    return df.join(F.broadcast(keys) if n <= limit else keys, on, how)
+#: Bytes and rows of a side up to which it is broadcast.
+BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 500_000
+
+
+def width(df: DataFrame) -> str:
+    """A SQL expression of the bytes of a row, near enough: of long values, their length."""
+    out = []
+    for f in df.schema.fields:
+        kind, c = f.dataType.typeName(), f"`{f.name}`"
+        out.append(f"coalesce(octet_length({c}), 0) + 16" if kind in ("string", "binary") else f"coalesce(size({c}), 0) * 16 + 16" if kind == "array" else "8")
+    return " + ".join(out)
+
+
+def keys_join(df: DataFrame, keys: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join ``keys`` to ``df``; they are broadcast only if they are measured to be few and small, in rows and in bytes.
+
+    Else the join shuffles, and Spark may split hot keys.
+    """
+    n, size = keys.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.expr(f"coalesce(sum({width(keys)}), 0)")).first()
+    return df.join(F.broadcast(keys) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else keys, on, how)
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, or others like them that the table has not, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        k, new = 0, n
+        while new.lower() in taken:
+            k += 1
+            new = f"{n}_{k}"
+        taken.add(new.lower())
+        out.append(new)
+    return out
+
+
+def dealt(df: DataFrame, rows: int, by: list[str], each: int) -> DataFrame:
+    """The rows by their keys, in as many partitions as ``rows`` of them need, ``each`` in one."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each))
+    return df.repartition(n, *by).sortWithinPartitions(*by)
 
 
 def labelled_ids(labels: DataFrame, column: str, bound: int) -> DataFrame:
