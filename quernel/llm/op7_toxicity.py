@@ -1,14 +1,19 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences.  Each sentence has a probability
-p = sigmoid(b + sum of the weights of its distinct words and their beginnings,
-which inflected forms share); the document's is the noisy-or 1 - prod(1 - p).  The weights are fitted to document labels alone, by
-gradient ascent on their likelihood through the noisy-or, so the model learns by
-itself which sentences carry a label; ``locate`` returns them.
+A document is a bag of sentences: the distinct word sets of its lines and
+sentences that have words.  Each has a probability p = sigmoid(b + sum of the
+weights of its words and of their beginnings, which inflected forms share); the
+document's is the noisy-or 1 - prod(1 - p).  The weights are fitted to document
+labels alone, by gradient ascent on their likelihood through the noisy-or, so
+the model learns by itself which sentences carry a label; those are returned.
+
+A harmless sentence still has a small p, and many of them must not add up: once
+the model is fitted, a sentence of p under ``FLOOR`` is no evidence and counts 0.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -19,8 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, held_out, table, training_rows
 
-#: Labelled documents that the classifier is fitted on, and their words, at most.
-BOUND, BOUND_WORDS = 4_000, 5_000_000
+#: Labelled documents that the classifier is fitted on, and their characters in all, at most.
+BOUND, BOUND_CHARS = 4_000, 40_000_000
+#: Probability from which a sentence is evidence.
+FLOOR = 0.02
 #: Features that the model knows at most, in how many sampled documents one must
 #: be, and by how many standard deviations it must favour the labelled ones.
 VOCABULARY, LEAST, STRENGTH = 2_000, 5, 4.0
@@ -46,9 +53,10 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def bags(text: str, known: dict[str, str] | None = None) -> list[tuple[str, ...]]:
-    """The distinct words of each sentence; ``known`` keeps one copy of each word."""
+    """The distinct word sets of a text's sentences, those without words left out; ``known`` keeps one copy of each word."""
     known = {} if known is None else known
-    return [tuple(known.setdefault(w, w) for w in s) for a in SENTENCE.split(text.lower()) if (s := set(WORD.findall(a)))]
+    found = dict.fromkeys(frozenset(WORD.findall(a)) for a in SENTENCE.split(text.lower()))
+    return [tuple(sorted(known.setdefault(w, w) for w in s)) for s in found if s]
 
 
 def terms(word: str) -> list[str]:
@@ -79,7 +87,7 @@ def fit(rows: list[tuple[list[tuple[str, ...]], int]], steps: int = 250, rate: f
     cache: dict[str, list[int]] = {}
     s = 0
     for d, (bag, _) in enumerate(rows):
-        for b in bag or [()]:
+        for b in bag:
             codes = set()
             for w in b:
                 if (c := cache.get(w)) is None:
@@ -89,6 +97,8 @@ def fit(rows: list[tuple[list[tuple[str, ...]], int]], steps: int = 250, rate: f
             word += codes
             doc.append(d)
             s += 1
+    if not doc:
+        return {}, -9.0
     doc, sent, word = np.array(doc), np.array(sent, int), np.array(word, int)
     y = np.array([y for _, y in rows], float)
     w, b = np.zeros(len(known)), -np.log(len(doc) / n / share)
@@ -109,11 +119,11 @@ class Model:
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias, self.cache = weights, bias, {}
 
-    def sentence(self, low: str) -> float:
-        """The log odds of a lower-cased sentence."""
+    def log_odds(self, words) -> float:
+        """Of a sentence of these distinct lower-case words."""
         seen: set[str] = set()
         cache = self.cache
-        for w in set(WORD.findall(low)):
+        for w in words:
             if (found := cache.get(w)) is None:
                 if len(cache) >= CACHE:
                     cache.clear()
@@ -122,41 +132,48 @@ class Model:
                 seen.update(found)
         return self.bias + sum(map(self.weights.__getitem__, sorted(seen)))
 
-    def parts(self, low: str) -> list[float]:
-        return [self.sentence(s) for s in SENTENCE.split(low) if s]
-
     def score(self, text: str | None) -> float:
-        """The noisy-or of the sentences; an empty text scores 0."""
-        if not text:
-            return 0.0
-        z = np.array(self.parts(text.lower()) or [-30.0])
-        return float(-np.expm1(-np.logaddexp(0, z).sum()))
+        """The noisy-or of the distinct sentences that are evidence; a text without any scores 0."""
+        clean = 1.0
+        for s in dict.fromkeys(frozenset(WORD.findall(a)) for a in SENTENCE.split((text or "").lower())):
+            if s and (p := chance(self.log_odds(s))) >= FLOOR:
+                clean *= 1 - p
+        return 1 - clean
 
     def offending(self, text: str | None, least: float) -> list[dict]:
         out = []
         for a, b in sentences(text or ""):
-            if (p := 1 / (1 + np.exp(-self.sentence(text[a:b].lower())))) >= least:
-                out.append({"start": a, "end": b, "p": float(p)})
+            words = set(WORD.findall(text[a:b].lower()))
+            if words and (p := chance(self.log_odds(words))) >= least:
+                out.append({"start": a, "end": b, "p": p})
         return out
 
 
-def train(documents: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
-    """Fit on the labelled sample; null texts are empty bags."""
-    rows, size, known = [], 0, {}
-    for r in training_rows(documents, labels, "toxic", bound).toLocalIterator():
-        bag = bags(r.text or "", known)
-        size += sum(map(len, bag))
-        if rows and size > BOUND_WORDS:
-            break
-        rows.append((bag, int(r.y > 0)))
+def chance(z: float) -> float:
+    return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
+
+
+def train(documents: DataFrame, labels: DataFrame, bound: int = BOUND, chars: int = BOUND_CHARS) -> Model:
+    """Fit on the labelled sample; null texts are empty bags.
+
+    The sample is taken in an order by hash; a text that would bring it beyond
+    ``chars`` is left out, and those after it are still learned from.
+    """
+    size, known, rows = 0, {}, []
+    some = training_rows(documents, labels, "toxic", bound).where(F.coalesce(F.length("text"), F.lit(0)) <= chars)
+    for r in some.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
+        if size + len(r.text or "") <= chars:
+            size += len(r.text or "")
+            rows.append((bags(r.text or "", known), int(r.y > 0)))
     return Model(*fit(rows))
 
 
 def score(documents: DataFrame, model: Model, text: str = "text", key: str = "doc_id", least: float = CUT) -> DataFrame:
     """The key, ``score`` and ``sentences`` (start, end and p of those at ``least``) of each row.
 
-    Null and empty texts score 0; equal rows score equally; no other column is
-    read.
+    Null and empty texts, and texts without words, score 0; equal rows score
+    equally; a text's score depends on its distinct sentences, not on how often
+    they come or how long it is; no other column is read.
     """
     sent = documents.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
