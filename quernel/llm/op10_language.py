@@ -3,8 +3,9 @@
 Each language has a distribution of byte n-grams (of words, with their ends),
 counted over all labelled training documents.  A document is a mixture of
 languages; expectation-maximisation estimates its proportions from the n-gram
-likelihoods, for the most likely one, two and three languages, and a penalised
-likelihood selects the set.  The prediction is the largest part of that set.
+likelihoods, for the most likely one, two, three languages and so on while a
+further one pays its penalty in likelihood; that selects the set.  The
+prediction is the largest part of that set.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from .common import arrow_map, held_out, map_arrow, parts, table
 
 #: Hashed n-grams of three and four bytes.
 BINS = 1 << 15
-#: Languages in a document at most, and languages that can be learned at most.
-SET, LANGUAGES = 3, 500
+#: Languages that can be learned at most; more raise an error.
+LANGUAGES = 200
 STEPS, PSEUDO = 12, 0.5
 #: Log likelihood that a further language must bring, per log of the n-grams.
 PENALTY = 6.0
@@ -76,6 +77,14 @@ class Model:
         self.p = (p / p.sum(1, keepdims=True)).T.copy() if len(names) else np.zeros((BINS, 0))
         self.log = np.log(self.p)
 
+    def __getstate__(self):
+        """What is sent: half the digits, and no logarithms."""
+        return self.names, self.p.astype(np.float32)
+
+    def __setstate__(self, state):
+        self.names, self.p = state[0], state[1].astype(float)
+        self.log = np.log(self.p)
+
     def infer(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Prediction, its proportion, and all proportions, of each text."""
         k, n = len(self.names), len(texts)
@@ -113,36 +122,40 @@ def select(p: np.ndarray, log: np.ndarray, c: np.ndarray) -> np.ndarray:
     best, value = np.zeros(k), single[one]
     best[one] = 1.0
     order = np.argsort(-em(p, c, total), kind="stable")
-    for m in range(2, min(SET, k) + 1):
+    for m in range(2, k + 1):
         mine = np.ascontiguousarray(p[:, order[:m]])
         mix = em(mine, c, total)
         fit = c @ np.log(mine @ mix) - PENALTY * (m - 1) * np.log1p(total)
-        if fit > value:
-            best, value = np.zeros(k), fit
-            best[order[:m]] = mix
+        if fit <= value:
+            break
+        best, value = np.zeros(k), fit
+        best[order[:m]] = mix
     return best
 
 
 def train(documents: DataFrame) -> Model:
-    """Counts of all training documents; the driver gets at most LANGUAGES times BINS sums."""
-    table_ = counts(documents).where(F.col("lang").isNotNull())
-    rows = table_.collect()
-    names = sorted({r.lang for r in rows})
-    if len(names) > LANGUAGES:
-        raise ValueError(f"{len(names)} languages; at most {LANGUAGES} can be learned")
-    code = {x: i for i, x in enumerate(names)}
-    n = np.zeros((len(names), BINS))
-    for r in rows:
-        n[code[r.lang], r.bin] = r.n
-    return Model(names, n)
+    """Counts of all training documents.
+
+    The driver takes one row a language, of at most BINS sums, and stops at the
+    first beyond LANGUAGES, so it never holds more than it can learn from.
+    """
+    each = counts(documents).where(F.col("lang").isNotNull()).groupBy("lang").agg(F.collect_list("bin").alias("bins"), F.collect_list("n").alias("ns"))
+    found: dict[str, np.ndarray] = {}
+    for r in each.limit(LANGUAGES + 1).toLocalIterator():
+        found[r.lang] = np.bincount(r.bins, np.array(r.ns, float), BINS)
+    if len(found) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages can't be learned")
+    names = sorted(found)
+    return Model(names, np.array([found[x] for x in names]).reshape(len(names), BINS))
 
 
 def identify(documents: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The key, ``lang_pred``, ``score`` and ``languages`` (lang, share of the selected set) of each row.
 
     A text that is null or has no letter is ``und`` with score 0 and no
-    languages, as is every text if nothing was learned; other columns are not
-    read.
+    languages, as is every text if nothing was learned.  Of languages that are
+    equally likely the one first by name is taken; whole texts are read, however
+    long; other columns are not.
     """
     sent = documents.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
