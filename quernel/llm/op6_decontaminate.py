@@ -7,13 +7,16 @@ item shorter than a window counts as one window.  The words inside any window
 are hit.
 
 The automaton is built from a bounded block of items.  A benchmark of more words
-than ``BLOCK`` is walked in several blocks, one after the other over the same
-rows, so nothing larger is ever sent to an executor and no row is shuffled.
+than ``BLOCK`` is dealt into several blocks by hash and walked in as many passes,
+one after the other: each pass is a table in the shared folder before the next
+block is read.  So neither the driver nor an executor ever holds more than one
+block, and no row is shuffled.  A single item of more words is a block of its own.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from itertools import repeat
 
 import numpy as np
@@ -23,17 +26,17 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from .common import map_arrow, table, utf8
+from .common import Workspace, free, map_arrow, table, utf8
 
 WINDOW = 13
 #: A document is contaminated if 1 in this many words, at least, is hit.
 SHARE = 20
-#: Words of benchmark items in one automaton; about 300 bytes of memory a word.
-BLOCK = 500_000
+#: Words of benchmark items in one automaton, as expected; it takes up to about 600 bytes of memory a word.
+BLOCK = 200_000
 #: Lower-cases A-Z and turns all other ASCII but digits and letters into spaces.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-#: What a scan adds to a row: its words, the hit word ranges, the items.
-FOUND = StructType().add("__n", LongType()).add("__spans", ArrayType(ArrayType(LongType()))).add("__items", ArrayType(StringType()))
+#: What a scan adds to a row, unless its table has such names: its words, the hit word ranges, the items.
+FOUND, KINDS = ("__n", "__spans", "__items"), (LongType(), ArrayType(ArrayType(LongType())), ArrayType(StringType()))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
@@ -153,55 +156,68 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, item: str, text: str, block: int) -> list[list[tuple[str, bytes]]]:
-    """The items in blocks of at most ``block`` words each, or of one item."""
-    out: list[list[tuple[str, bytes]]] = [[]]
-    size = 0
-    for r in benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).cast("binary").alias("t")).toLocalIterator():
-        if r.t is None or r.i is None:
-            continue
-        n = len(words(bytes(r.t)))
-        if size + n > block and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append((r.i, bytes(r.t)))
-        size += n
-    return out
+def blocks(benchmark: DataFrame, item: str, text: str, block: int) -> list[DataFrame]:
+    """(i, t) of the items that have words, in blocks of about ``block`` words."""
+    rows = benchmark.select(F.col(f"`{item}`").cast("string").alias("i"), F.col(f"`{text}`").cast("binary").alias("t")).where("i is not null and t is not null")
+    # the words of ASCII texts, and about those of others, without bringing a text to the driver
+    size = F.size(F.expr("regexp_extract_all(cast(t as string), '[^\\\\x00-\\\\x2F\\\\x3A-\\\\x40\\\\x5B-\\\\x60\\\\x7B-\\\\x7F]+', 0)"))
+    n = rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    k = max(1, -(-n // block))
+    return [rows.where(F.expr(f"pmod(xxhash64(i, t), {k}) = {b}")) if k > 1 else rows for b in range(k)]
+
+
+#: The automaton that a Python worker built last, by the name of its block.
+_built: dict[str, Automaton] = {}
+
 
+def automaton(name: str, items: list[tuple[str, bytes]], window: int) -> Automaton:
+    if name not in _built:
+        _built.clear()
+        _built[name] = Automaton([(i, words(t)) for i, t in items], window)
+    return _built[name]
 
-def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id", block: int = BLOCK) -> DataFrame:
-    """The rows with ``__n`` (words), ``__spans`` (hit word ranges) and ``__items`` (item ids) added.
+
+def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id", block: int = BLOCK, out: tuple[str, ...] = ()) -> DataFrame:
+    """The rows with their words, hit word ranges and item ids added, as ``out`` (``__n``, ``__spans`` and ``__items``, if the table has no such names).
 
     Null texts have no words.  Items that are null, or have no words, are in no
-    document.  Rows with equal keys are each scanned.
+    document.  Rows with equal keys are each scanned, whole, however long.
     """
-    df = documents
+    df, at = documents, documents.columns.index(text)
+    count, ranges, names = out = out or tuple(free(documents, *FOUND))
     pair = pa.list_(pa.list_(pa.int64()))
-    for k, items in enumerate(blocks(benchmark, item, text, block)):
-        sent = df.sparkSession.sparkContext.broadcast(items)
-        at = df.columns.index(text)
-        schema = StructType([*df.schema.fields, *([] if k else FOUND.fields)])
-
-        def run(batches, sent=sent, at=at, k=k):
-            automaton = None
+    schema = StructType([*documents.schema.fields])
+    for n, kind in zip(out, KINDS, strict=True):
+        schema = schema.add(n, kind)
+    work, all_ = Workspace(df.sparkSession), blocks(benchmark, item, text, block)
+    for k, some in enumerate(all_):
+        items = sorted((r.i, bytes(r.t)) for r in some.collect())
+        sent = df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, items))
+
+        def run(batches, sent=sent, k=k):
             for batch in batches:
-                automaton = automaton or Automaton([(n, words(t)) for n, t in sent.value], window)
-                size, spans, names = [], [], []
+                a = automaton(*sent.value, window)
+                size, spans, found = [], [], []
                 for x in utf8(batch.column(at)):
                     ws = words(x)
-                    a, b = automaton.scan(ws)
+                    s, f = a.scan(ws)
                     size.append(len(ws))
-                    spans.append(a)
-                    names.append(b)
+                    spans.append(s)
+                    found.append(f)
                 if k:
-                    old, seen = batch.column("__spans").to_pylist(), batch.column("__items").to_pylist()
+                    old, seen = batch.column(ranges).to_pylist(), batch.column(names).to_pylist()
                     spans = [merged([*a, *map(tuple, b)]) for a, b in zip(spans, old, strict=True)]
-                    names = [a | set(b) for a, b in zip(names, seen, strict=True)]
-                columns = {n: batch.column(n) for n in batch.schema.names if n not in ("__n", "__spans", "__items")}
-                columns |= {"__n": pa.array(size, pa.int64()), "__spans": pa.array([[list(s) for s in x] for x in spans], pair), "__items": pa.array([sorted(x) for x in names], pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_pydict(columns)
-
-        df = map_arrow(df, run, schema)
+                    found = [a | set(b) for a, b in zip(found, seen, strict=True)]
+                own = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in out]
+                own += [(count, pa.array(size, pa.int64())), (ranges, pa.array([[list(s) for s in x] for x in spans], pair)), (names, pa.array([sorted(x) for x in found], pa.list_(pa.string())))]
+                yield pa.RecordBatch.from_arrays([c for _, c in own], [n for n, _ in own])
+
+        new = map_arrow(df, run, schema)
+        if k + 1 < len(all_):
+            new = work.save(new, "pass")
+            sent.unpersist()
+            work.drop(df)
+        df = new
     return df
 
 
@@ -212,14 +228,14 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     make up 1 in ``share`` words.  A row that keeps no word goes; rows without a
     removed span stay as they are, empty and null texts too.
     """
-    names = documents.columns
-    df = hits(documents, benchmark, window, text)
+    names, added = documents.columns, tuple(free(documents, *FOUND))
+    df = hits(documents, benchmark, window, text, out=added)
     at = df.columns.index(text)
 
     def run(batches):
         for batch in batches:
             rows, keep = [], []
-            for x, n, spans in zip(batch.column(at).to_pylist(), batch.column("__n").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+            for x, n, spans in zip(batch.column(at).to_pylist(), batch.column(added[0]).to_pylist(), batch.column(added[1]).to_pylist(), strict=True):
                 hit = sum(b - a for a, b in spans)
                 gone = [(a, b) for a, b in spans if b - a >= window or share * hit >= n]
                 if gone:
@@ -236,7 +252,7 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
                     keep.append(True)
                 rows.append(x)
             batch = batch.set_column(at, batch.schema.field(at), pa.array(rows, batch.schema.field(at).type))
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in names}).filter(pa.array(keep))
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
     return map_arrow(df, run, documents.schema)
 
