@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, arrow_map, keys_join, map_arrow, parts, table, utf8
+from .common import Workspace, arrow_map, dealt, free, keys_join, map_arrow, parts, table, utf8
 from .graph import components
 
 SHINGLE, PER, OF = 5, 85, 100
@@ -32,8 +32,9 @@ SHINGLE, PER, OF = 5, 85, 100
 ROWS, HASHES, BITS, MISS = 4, 256, 2, 1e-5
 #: Standard deviations of the estimate at the limit, and the least margin.
 DEVIATIONS, MARGIN = 4.5, 0.12
-#: Nodes of a bucket in a block, at least and at most.
-BLOCK, BLOCK_MOST = 256, 4096
+#: A bucket has so many blocks, if that gives each so many nodes at least and at most; pairs of blocks that a task compares.
+BLOCKS, BLOCK, BLOCK_MOST = 16, 128, 4096
+TASK_ROWS = 4096
 #: Neighbours of a row in other components that are tried before all.
 NEAREST = 3
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -196,7 +197,7 @@ def confirm(pairs: DataFrame, full: DataFrame, per: int, of: int, work: Workspac
     return work.save(map_arrow(joined, run, "a binary, b binary"), "links")
 
 
-def across(members: DataFrame, mode: str, per: int, of: int) -> DataFrame:
+def across(members: DataFrame, mode: str, per: int, of: int, work: Workspace) -> DataFrame:
     """What is open between different components within a bucket, compared in blocks.
 
     ``members``: bk, fp, n, sig, bands, label.  Candidates are pairs of different
@@ -207,8 +208,10 @@ def across(members: DataFrame, mode: str, per: int, of: int) -> DataFrame:
     that join the components of a block.  All return about as many rows as they
     read, however many candidates there are.
     """
-    open_ = members.groupBy("bk").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bk", F.expr(f"cast(ceil(size / greatest({BLOCK}, least({BLOCK_MOST}, size / 8))) as int)").alias("m"))
-    rows = keys_join(members, open_, "bk").withColumn("p", F.expr("cast(pmod(xxhash64(fp, bk), m) as int)"))
+    open_ = members.groupBy("bk").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    open_ = work.save(open_.select("bk", "size", F.expr(f"cast(ceil(size / greatest({BLOCK}, least({BLOCK_MOST}, size / {BLOCKS}))) as int)").alias("m")), "buckets")
+    total = open_.agg(F.coalesce(F.sum(F.col("size") * F.col("m")), F.lit(0))).first()[0]
+    rows = keys_join(members, open_.drop("size"), "bk").withColumn("p", F.expr("cast(pmod(xxhash64(fp, bk), m) as int)"))
     rows = rows.withColumn("q", F.explode(F.expr("sequence(0, m - 1)")))
     rows = rows.withColumns({"i": F.least("p", "q"), "j": F.greatest("p", "q")}).drop("q", "m")
     names = ("bk", "fp") if mode == "open" else ("a", "b")
@@ -284,8 +287,7 @@ def across(members: DataFrame, mode: str, per: int, of: int) -> DataFrame:
         if rest is not None:
             yield made(found(rest))
 
-    dealt = rows.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "bk", "i", "j").sortWithinPartitions("bk", "i", "j")
-    return map_arrow(dealt, run, "bk long, fp binary" if mode == "open" else "a binary, b binary").distinct()
+    return map_arrow(dealt(rows, total, ["bk", "i", "j"], TASK_ROWS), run, "bk long, fp binary" if mode == "open" else "a binary, b binary").distinct()
 
 
 def groups(documents: DataFrame, work: Workspace, text: str = "text", key: str = "doc_id", per: int = PER, of: int = OF) -> tuple[DataFrame, DataFrame]:
@@ -307,7 +309,7 @@ def groups(documents: DataFrame, work: Workspace, text: str = "text", key: str =
     full = work.save(full.groupBy("fp").agg(F.first("shingles").alias("shingles")), "sets")
 
     stars = members.where("fp <> a").select("a", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")).distinct()
-    stars = keys_join(stars, used.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a", limit=100_000)
+    stars = keys_join(stars, used.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
     stars = stars.where(sized("na", "nb", per, of) & (estimate(equal_lanes("sa", "sb")) >= least)).select("a", "b")
     tried = work.save(stars, "pairs")
     links = confirm(tried, full, per, of, work)
@@ -317,14 +319,14 @@ def groups(documents: DataFrame, work: Workspace, text: str = "text", key: str =
         return keys_join(members.drop("a"), label.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
     both = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = work.save(keys_join(across(named(), "nearest", per, of), both, ["a", "b"], "left_anti"), "pairs")
+    more = work.save(keys_join(across(named(), "nearest", per, of, work), both, ["a", "b"], "left_anti"), "pairs")
     links = links.union(confirm(more, full, per, of, work))
     rows_ = named()
-    open_ = work.save(across(rows_, "open", per, of), "open")
+    open_ = work.save(across(rows_, "open", per, of, work), "open")
     if not open_.isEmpty():
         some_ = keys_join(rows_, open_, ["bk", "fp"], "left_semi")
         sets_ = keys_join(full, open_.select("fp").distinct(), "fp", "left_semi")
-        links = links.union(work.save(across(some_.join(sets_, "fp"), "links", per, of), "links"))
+        links = links.union(work.save(across(some_.join(sets_, "fp"), "links", per, of, work), "links"))
     label = components(links, work).withColumnRenamed("node", "fp")
     linked = label.join(used.select("fp", "rep"), "fp")
     least_key = linked.groupBy("label").agg(F.min("rep").alias("component"))
@@ -352,26 +354,28 @@ def components_of(documents: DataFrame, text: str = "text", key: str = "doc_id",
 
 
 def distinct_documents(documents: DataFrame, text: str = "text", key: str = "doc_id", per: int = PER, of: int = OF) -> DataFrame:
-    """The rows of which one of each component stays, the one with the least key, in their own columns."""
+    """The rows of which one of each component stays, the one with the least key, in their own columns, whatever their names."""
     _, found = groups(documents, Workspace(documents.sparkSession), text, key, per, of)
     names = documents.columns
     at = names.index(text)
+    print_, component, again = free(documents, "__fp", "__component", "__again")
 
     def run(batches):
         known = Words()
         for batch in parts(batches):
             s = [shingles(raw, known) for raw in utf8(batch.column(at))]
-            yield batch.append_column("__fp", pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in s], pa.binary()))
+            yield batch.append_column(print_, pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in s], pa.binary()))
 
     from pyspark.sql.types import BinaryType, StructType
 
-    marked = map_arrow(documents, run, StructType([*documents.schema.fields]).add("__fp", BinaryType()))
-    mine = found.select(F.col("fp").alias("__fp"), F.col("component").alias("__component"), F.col("again").alias("__again"))
-    kept = keys_join(marked, mine, "__fp", "left").where(F.col("__fp").isNull() | F.col("__again").isNull() | F.col(key).eqNullSafe(F.col("__component")))
-    once = kept.where(~F.coalesce("__again", F.lit(False))).select(names)
+    marked = map_arrow(documents, run, StructType([*documents.schema.fields]).add(print_, BinaryType()))
+    mine = found.select(F.col("fp").alias(print_), F.col("component").alias(component), F.col("again").alias(again))
+    kept = keys_join(marked, mine, print_, "left").where(F.col(print_).isNull() | F.col(again).isNull() | F.col(f"`{key}`").eqNullSafe(F.col(component)))
+    own = [F.col(f"`{c}`") for c in names]
+    once = kept.where(~F.coalesce(again, F.lit(False))).select(own)
     if found.where("again").isEmpty():
         return once
-    return once.union(kept.where(F.col("__again")).dropDuplicates(["__fp"]).select(names))
+    return once.union(kept.where(F.col(again)).dropDuplicates([print_]).select(own))
 
 
 #: The query's rows from all shared shingles, without MinHash.
