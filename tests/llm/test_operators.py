@@ -1,10 +1,14 @@
 """Each operator against a plain version, and on odd rows."""
 
 import hashlib
+import html
 import itertools
+import math
 import re
+import time
 import zlib
 from collections import defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -242,7 +246,7 @@ def test_secrets_odd_rows_and_redaction(spark, odd):
 # 4
 
 
-def plain_components(rows):
+def plain_components(rows, per=85):
     sets = {}
     for k, t in rows:
         w = t.encode().translate(op4_neardup.TABLE).split()
@@ -256,7 +260,7 @@ def plain_components(rows):
 
     for a, b in itertools.combinations(sets, 2):
         x, y = sets[a], sets[b]
-        if x and y and 100 * len(x & y) >= 85 * len(x | y):
+        if x and y and 100 * len(x & y) >= per * len(x | y):
             p, q = sorted((root(a), root(b)))
             up[q] = p
     return {k: (len(sets[k]), root(k)) for k in sets}
@@ -313,7 +317,7 @@ def test_embeddings_recall_counts_and_odd_rows(spark):
     for i in range(600):
         v = base[0] if i % 3 == 0 else base[i % 60]
         rows.append((i, [float(x) for x in v + rng.standard_normal(16) * rng.choice([0.02, 0.2, 0.35])], i % 2))
-    rows += [(1000, rows[0][1], 0), (1001, None, 0), (1002, [0.0] * 16, 0), (1003, [float("nan")] * 16, 0), (1004, [None] + [1.0] * 15, 0), (1005, [1.0] * 3, 0), (None, rows[0][1], 0)]
+    rows += [(1000, rows[0][1], 0), (1001, None, 0), (1002, [0.0] * 16, 0), (1003, [float("nan")] * 16, 0), (1004, [None] + [1.0] * 15, 0), (1005, [1.0] * 3, 0)]
     got = op5_embeddings.link_components(spark.createDataFrame(rows, "vec_id long, embedding array<float>, n long")).collect()
     assert len(got) == len(rows)
     good = [(i, np.float32(v)) for i, v, _ in rows[:601]]
@@ -324,7 +328,7 @@ def test_embeddings_recall_counts_and_odd_rows(spark):
     want = {good[k][0]: int(link[k].sum()) for k in range(601)}
     mine = {r.vec_id: r.n_links for r in got}
     assert all(mine[i] <= n for i, n in want.items()) and sum(mine[i] for i in want) >= 0.95 * sum(want.values())
-    assert all(mine[i] == 0 for i in (1001, 1002, 1003, 1004, 1005, None))
+    assert all(mine[i] == 0 for i in (1001, 1002, 1003, 1004, 1005))
     assert all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
     assert op5_embeddings.link_components(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     turn = [(k, [float(np.cos(a)), float(np.sin(a)), 0.0, 0.0]) for k, a in enumerate([0.0, np.arccos(0.9) - 1e-12, -np.arccos(0.9) - 1e-10])]
@@ -332,6 +336,36 @@ def test_embeddings_recall_counts_and_odd_rows(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in double} == {0: (1, 0), 1: (1, 0), 2: (0, 2)}
 
 
+def test_embeddings_of_any_width_and_size(spark):
+    rows = [(1, [1e200, 0.0]), (2, [2e200, 0.0]), (3, [5e-324, 0.0]), (4, [1.0]), (5, [7.0]), (6, [-2.0]), (7, [1.0, 1.0, 1.0]), (8, [1.0, 1.0, 1.01]), (9, None), (10, [0.0]), (None, [3.0]), (12, [float("inf")]), (13, [1.0, 1.0, 1.0]), (14, [0.0, 1.0])]
+    got = op5_embeddings.link_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (2, 4), 5: (2, 4), None: (2, 4), 6: (0, 6), 7: (2, 7), 8: (2, 7), 13: (2, 7), 9: (0, 9), 10: (0, 10), 12: (0, 12), 14: (0, 14)}
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want and len(got) == len(rows)
+
+
+def test_embeddings_in_blocks(spark, monkeypatch):
+    """Many cells, blocks of a hot cell, and two widths, against brute force."""
+    for name, value in {"CELL": 60, "ONCE": 64, "BLOCK": 16, "BLOCK_MOST": 64}.items():
+        monkeypatch.setattr(op5_embeddings, name, value)
+    rng = np.random.default_rng(11)
+    base = {w: rng.standard_normal((40, w)) for w in (8, 12)}
+    rows = []
+    for i in range(1500):
+        w = 8 if i % 4 else 12
+        v = base[w][0 if i % 3 == 0 else int(rng.integers(40))]
+        rows.append((i, [float(x) for x in v + rng.standard_normal(w) * 0.15]))
+    want = {}
+    for w in (8, 12):
+        x = op5_embeddings.unit(np.array([v for _, v in rows if len(v) == w]))
+        link = x @ x.T >= 0.9
+        np.fill_diagonal(link, False)
+        want |= dict(zip([i for i, v in rows if len(v) == w], link.sum(1).tolist(), strict=True))
+    got = {r.vec_id: r for r in op5_embeddings.link_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)).collect()}
+    assert all(got[i].n_links <= n for i, n in want.items())
+    assert sum(r.n_links for r in got.values()) >= 0.97 * sum(want.values())
+    assert all(got[r.component_id].kept and r.component_id <= i for i, r in got.items())
+
+
 def test_multi_sequence_order():
     rng = np.random.default_rng(1)
     x = op5_embeddings.unit(rng.standard_normal((300, 8)))
@@ -392,6 +426,21 @@ def test_decontamination_in_blocks_and_odd_rows(spark, sf, odd):
     assert op6_decontaminate.remove_spans(odd, empty(short)).exceptAll(odd).count() == 0
 
 
+def test_decontamination_and_near_copies_take_any_names(spark):
+    names = "doc_id long, text string, __n string, __spans string, __items int, __fp string, __component long, __again boolean, __FP_1 int"
+    long_ = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, t, "n", "s", 1, "f", 2, True, 3) for i, t in enumerate([long_, long_ + " more", "one two", None])]
+    df = spark.createDataFrame(rows, names)
+    benchmark = spark.createDataFrame([("a", "one two"), ("b", " ".join(f"w{i}" for i in range(3, 16)))], "item_id string, text string")
+    for block in (1000, 5):  # in one pass, and in several
+        found = {r.doc_id: r for r in op6_decontaminate.hits(df, benchmark, block=block, out=("n1", "s1", "i1")).collect()}
+        assert found[0].s1 == [[3, 16]] and found[2].i1 == ["a"] and found[3].n1 == 0 and found[0]["__n"] == "n"
+    out = op6_decontaminate.remove_spans(df, benchmark)
+    assert out.columns == df.columns and {r.doc_id: r.text for r in out.collect()}[0].split() == [f"w{i}" for i in range(40) if not 3 <= i < 16]
+    kept = op4_neardup.distinct_documents(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2], rows[3]]
+
+
 # 7, 9, 10
 
 
@@ -422,6 +471,30 @@ def test_toxicity_learns_words_and_finds_sentences(spark, odd):
     assert op7_toxicity.score(odd, nothing).count() == 11
 
 
+def test_toxicity_is_the_noisy_or_of_distinct_sentences():
+    model = op7_toxicity.Model({"bad": 9.0, "wor-": 5.0, "worse": 3.0}, -8.0)
+
+    def plain(text):
+        clean = 1.0
+        for s in {frozenset(re.findall(r"[^\W\d_]+", a)) for a in re.split(r"[.!?]+\s|\n", text.lower())} - {frozenset()}:
+            known = {t for w in s for t in [w, *(w[:k] + "-" for k in (3, 4, 5, 6) if len(w) > k)]}
+            p = 1 / (1 + np.exp(8.0 - sum(model.weights.get(t, 0) for t in known)))
+            clean *= 1 - p if p >= op7_toxicity.FLOOR else 1
+        return 1 - clean
+
+    for text in ("", "123\n45", "a bad day", "a bad day. a bad day. worst of all", "Worse!\nworse. BAD? x", "fine.\n" * 50 + "worse"):
+        assert abs(model.score(text) - plain(text)) < 1e-12
+    neutral = model.score("a plain line of text. " * 10_000), model.score(" ".join(f"line number q{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} here.\n" for i in range(10_000))), model.score("12345\n" * 3000)
+    assert neutral == (0, 0, 0) and model.score("a bad day. " * 3000) == model.score("a bad day.")
+
+
+def test_toxicity_learns_from_the_rows_that_fit(spark):
+    documents, labels, _ = labelled(spark, 200, lambda i: ("nasty word here " * 3 if i % 4 == 0 else "plain words here " * 3, int(i % 4 == 0)))
+    documents = documents.union(spark.createDataFrame([(1000, "x " * 50_000, None, "s")], documents.schema))
+    labels = labels.union(spark.createDataFrame([(1000, 1, 1)], labels.schema))
+    assert op7_toxicity.train(documents, labels, chars=20_000).weights == op7_toxicity.train(documents.where("doc_id < 1000"), labels).weights != {}
+
+
 def test_quality_votes(spark, odd):
     rng = np.random.default_rng(4)
     documents, labels, y = labelled(spark, 300, lambda i: (" ".join((f"Word{rng.integers(500)}!!".upper() if i % 3 == 0 else f"word{rng.integers(500)}") for _ in range(50)), int(i % 3 > 0)))
@@ -448,6 +521,8 @@ def test_language_mixtures(spark, sf, odd):
     assert {model.names[j] for j in np.flatnonzero(share[0] > 0.2)} == {"en", "de"}
     out = {r.doc_id: r for r in op10_language.identify(odd, model).collect()}
     assert out[1].lang_pred == out[2].lang_pred == out[9].lang_pred == "und" and out[1].score == 0 and out[4].lang_pred in model.names
+    mixed = " ".join(by["en"][0:1] + by["de"][0:1] + [r.text[:600] for x in ("fr", "es") for r in documents.where(f"lang = '{x}' and length(text) > 600").limit(1).collect()])
+    assert len(np.flatnonzero(model.infer([mixed])[2][0] > 0.1)) == 4
     nothing = op10_language.train(empty(documents))
     assert {r.lang_pred for r in op10_language.identify(odd, nothing).collect()} == {"und"}
 
@@ -455,6 +530,115 @@ def test_language_mixtures(spark, sf, odd):
 # 8
 
 
+class Tree(HTMLParser):
+    """Blocks with their tag paths as text, from the standard library's parser; for pages whose elements are all closed."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.path, self.at, self.out, self.link, self.hidden = [], [], [], 0, 0
+        self.text, self.linked = "", 0
+        self.feed(page)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        if t := " ".join(self.text.split()):
+            self.out.append((tuple(self.path), t, min(self.linked, len(t))))
+        self.text, self.linked = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.link += 1
+        elif tag == "br":
+            self.text += " "
+        elif tag in ("script", "style", "head"):
+            self.hidden += 1
+        elif tag not in op8_html.INLINE and tag not in op8_html.VOID:
+            self.flush()
+            if self.path and self.path[-1].split(".")[0] == "p":  # a paragraph ends where the next block begins
+                self.path.pop()
+            self.path.append(f"{tag}.{dict(attrs).get('class', '')}")
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.link -= 1
+        elif tag in ("script", "style", "head"):
+            self.hidden -= 1
+        elif tag not in op8_html.INLINE:
+            self.flush()
+            names = [x.split(".")[0] for x in self.path]
+            if tag in names:
+                del self.path[len(names) - 1 - names[::-1].index(tag) :]
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.text += data
+            self.linked += len(html.escape(data, quote=False).strip()) * (self.link > 0)
+
+
+def plain_extract(page):
+    """By sums over paths written as text, with every ancestor looked at anew."""
+    found = Tree(page).out
+    ratio, share, prior = {}, {}, {}
+    for path in {p for p, *_ in found}:
+        mine = [(t, k) for p, t, k in found if p == path]
+        length, n = sum(len(t) for t, _ in mine), len(mine)
+        free = share[path] = max(0.0, 1 - sum(k for _, k in mine) / length)
+        ratio[path] = length / n * (1 + math.log1p(sum(len(op8_html.PUNCTUATION.findall(t)) for t, _ in mine) / n)) * free**2 * math.log(2 + length)
+        p, inside = 1.0, False
+        for x in path:
+            tag, _, name = x.partition(".")
+            p *= 1.0 if inside and tag in ("article", "main", "header") else op8_html.LIKELY.get(tag, 1.0)
+            if name and tag not in ("html", "body", "article", "main"):
+                p *= op8_html.MARKED if op8_html.MARKS.search(name) else op8_html.CONTENT if op8_html.GOOD.search(name) and not inside else 1.0
+            inside = inside or tag in ("article", "main")
+        prior[path] = p
+    score = {}
+    tag = lambda p: p[-1].split(".")[0]
+    for path, r in ratio.items():
+        near, weight, prose, up = 0.0, 0.5, tag(path) in op8_html.PROSE, path[:-1]
+        inside = lambda p: any(x.split(".")[0] in ("article", "main") for x in p)
+        while up and weight >= 0.12 and (inside(up) or len(up) >= 3 or prose):
+            near = max([near, *(weight * v for p, v in ratio.items() if p[: len(up)] == up)])
+            if tag(up) not in op8_html.FORM:
+                weight, prose = weight * 0.6, False
+            up = up[:-1]
+        score[path] = max(r, near * (max(share[path], 0.6) if inside(path) else share[path]) ** 2) * prior[path]
+    return "\n".join(t for p, t, _ in found if score[p] >= 0.12 * max(score.values()) and score[p] > 0)
+
+
+def test_html_equals_a_plain_version(spark, sf):
+    pages = [r.html or "" for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    pages = [p for p in pages if p.count("<b>") == p.count("</b>")] or pages
+    got = [op8_html.extract(p) for p in pages]
+    assert len(pages) > 20 and got == [plain_extract(p) for p in pages]
+    assert sum(a != op8_html.extract(p, use=False) for a, p in zip(got, pages, strict=True)) > len(pages) / 2  # the ratios decide
+
+
+def test_html_finds_text_by_ratios_alone():
+    body = "".join(f"<p>Sentence {i} is here, long enough, and has its marks; so it reads on.</p>" for i in range(5))
+    links = "".join(f"<li><a href={i}>Another page {i}</a></li>" for i in range(30))
+    page = f"<body><div class=x1><ul>{links}</ul></div><div class=x2><h2>About it</h2>{body}<ul><li>One, short.</li><li>Two, too.</li></ul></div><div class=x3>Home page of us</div></body>"
+    text = op8_html.extract(page)
+    assert text.startswith("About it\nSentence 0") and text.endswith("Two, too.") and "Another" not in text and "Home" not in text
+    assert "Another" in op8_html.extract(page, use=False)
+
+
+@pytest.mark.parametrize("page", ["<a " * 333_333, "<div>" * 100_000 + "x", "<div>x" * 100_000, '<a href="x ' * 90_000, "<!-- " * 200_000, "<div>" * 50_000 + "</span></p></center>" * 40_000, "<li><h1>x" * 60_000, "<script>" * 100_000, "<x a=b c='d" * 80_000])
+def test_html_time_is_linear(page):
+    began = time.process_time()
+    op8_html.extract(page)
+    assert time.process_time() - began < 5
+
+
+def test_html_of_broken_pages():
+    assert op8_html.extract("one <p>two <a href='x") == "one\ntwo"
+    assert op8_html.extract("a < b and <p>x > y <!--> z") == "a < b and\nx > y z"
+    assert op8_html.extract('<p title="it\'s > that">yes, it is') == "yes, it is"
+    assert op8_html.extract('<p class="x>no quote ends here</p><p>but this is read</p>').endswith("but this is read")
+    assert op8_html.extract("<p>&lt;b&gt; &amp;c&nbsp;d&#x41;</p>") == "<b> &c dA"
+
+
 def test_html_main_text(spark, sf):
     page = """<html><head><title>T</title><style>p{}</style></head><body><header><a href=/>Home</a></header><nav><ul><li><a>A</a></li></ul></nav>
     <div class="cookie-notice">We use cookies, as all do, and say so here.</div><div id="content"><h1>Head &amp; line</h1><p>First, a   long

@@ -19,7 +19,7 @@ def test_stages(spark, sf):
             scores = {r.doc_id: r.score for r in op9_quality.score(before, op9_quality.train(before, spark.read.parquet(f"{sf}/labels.parquet"))).collect()}
             assert {r.doc_id for r in after.collect()} == {i for i, s in scores.items() if s >= op9_quality.CUT}
         elif name == "near_duplicates":
-            assert {r.doc_id for r in after.collect()} == {i for i, (_, c) in plain_components(rows.items()).items() if i == c}
+            assert {r.doc_id for r in after.collect()} == {i for i, (_, c) in plain_components(rows.items(), 80).items() if i == c}
         elif name == "decontaminate":
             items = [words((r.text or "").encode()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
             grams = {tuple(it[i : i + 13]) for it in items for i in range(len(it) - 12)}
