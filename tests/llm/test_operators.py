@@ -215,11 +215,71 @@ def test_secrets_under_long_names():
 @given(st.lists(st.sampled_from(["token", "TOKENS", "secretary", "authKey", "api_key", "x", "_", "-", "S", "é", " ", "\t", ":", "=", "=>", "\"", "'", "\n", "kX9#vQ2$", "abcdef1"]), max_size=16).map("".join))
 def test_secrets_context_is_that_of_every_word(text):
     word = r"(?:passphrase|password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)s?(?-i:(?![a-z]))[A-Za-z0-9_-]*"
-    value = r"""["']?[ \t]*(?:[:=]|=>|:=)[ \t]*(?:(["'`])([^"'`\r\n]{6,}+)\1|([^\s"'`,;<>(){}\[\]]{6,}+))"""
+    value = r"""["']?[ \t]*(?:[:=]|=>|:=)[ \t]*(?:"([^"\r\n]+)"|'([^'\r\n]+)'|`([^`\r\n]+)`|([^\s"'`,;<>]+))"""
     plain = re.compile(word + value, re.ASCII | re.IGNORECASE)
     assert [m.regs[1:] for m in op3_secrets.CONTEXT.finditer(text)] == [m.regs[1:] for m in plain.finditer(text)]
 
 
+def plain_cost(s):
+    """The least over all segmentations, each segment by its own definition."""
+    low, plain, n = s.lower(), s.lower().translate(op3_secrets.LEET), len(s)
+    size = sum(k for r, k in op3_secrets.BRUTE if r.search(s)) + 33 * bool(re.search(r"[^0-9A-Za-z]", s))
+    char = math.log10(max(size, 10))
+
+    def segments(i, j):
+        part, first = s[i:j], math.log10(2) * (i > 0)
+        if j == i + 1:
+            yield 0.5 if part in " _-." else char
+        if low[i:j] in op3_secrets.RANK:
+            yield first + op3_secrets.RANK[low[i:j]] + 0.3 * (part != low[i:j])
+        elif plain[i:j] in op3_secrets.RANK:
+            yield first + op3_secrets.RANK[plain[i:j]] + 0.6
+        if (m := op3_secrets.DATE.match(s, i)) and m.end() == j:
+            yield first + (math.log10(36500) if j - i > 4 else 2.0)
+        for unit in range(1, min(64, (j - i) // 2) + 1):
+            if j - i >= 3 and part == part[:unit] * ((j - i) // unit) and (j + unit > n or s[j : j + unit] != part[:unit]):
+                yield first + unit * char + math.log10((j - i) // unit)
+        steps = [(b[0] - a[0], b[1] - a[1]) if op3_secrets.near(x, y) else None for x, y in itertools.pairwise(low[i:j]) for a, b in [(op3_secrets.PLACE.get(x), op3_secrets.PLACE.get(y))]]
+        if 3 <= j - i <= len(op3_secrets.PLACE) and None not in steps:
+            turns = 1 + sum(a != b for a, b in itertools.pairwise(steps))
+            yield first + math.log10(len(op3_secrets.PLACE) * (j - i)) + turns * math.log10(4)
+        ups = {ord(y) - ord(x) for x, y in itertools.pairwise(part)}
+        if j - i >= 3 and ups in ({1}, {-1}) and (j == n or ord(s[j]) - ord(s[j - 1]) not in ups):
+            yield first + math.log10(124 * (j - i))
+
+    best = [0.0]
+    for j in range(1, n + 1):
+        best.append(min(best[i] + c for i in range(j) for c in segments(i, j)))
+    return best[n]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "qwe", "2024-01-02", "1999", "password", "P@ss", "zz", "X", "abcd", "9876", "-", " ", "x7q", "x7q"]), max_size=8).map("".join))
+def test_guess_cost_is_the_least(value):
+    assert abs(op3_secrets.guess_cost(value) - plain_cost(value)) < 1e-9
+
+
+def test_secrets_of_any_writing_and_by_a_dictionary(spark):
+    for text, value in [
+        ("password = \"it's!kX9#vQ2$mZ7\"", "it's!kX9#vQ2$mZ7"),
+        ("password=kX9(vQ2)mZ7!aa", "kX9(vQ2)mZ7!aa"),
+        ("(pwd: kX9#vQ2$mZ7!)", "kX9#vQ2$mZ7!"),
+        ("pwd=aB3$x", "aB3$x"),
+        ("auth: `x\"y'zK9#vQ2$`", "x\"y'zK9#vQ2$"),
+    ]:
+        assert [text[a:b] for a, b, k in op3_secrets.find(text) if k == "guess"] == [value]
+    for text in ("auth = getAuth(arg)", "pwd: ${VAULT_KEY}", "pwd = config[1]", "pwd=$HOME", "pwd: x7kq"):
+        assert not op3_secrets.find(text)
+    assert op3_secrets.guess_cost("x7!kq" * 3) < 11
+    text = "auth: required-for-everyone"
+    df = spark.createDataFrame([(i, f"it is required for work {i}, by everyone") for i in range(9)] + [(9, text), (10, None)], "doc_id long, text string")
+    words = op3_secrets.dictionary(df)
+    assert {r.word: r.n for r in words.collect()}["everyone"] == 10
+    found = {r.doc_id: r.found for r in op3_secrets.scan(df, words=words).collect()}
+    assert not found[9] and op3_secrets.scan(df).where("size(found) > 0").count() == 1
+    assert op3_secrets.redact(df, words=words).exceptAll(df).count() == 0 and op3_secrets.dictionary(empty(df)).count() == 0
+
+
 def test_guess_cost_of_whole_values():
     low = "password" * 9 + "aaaa" * 5_000  # much of a value costs little; its end decides
     assert op3_secrets.guess_cost(low, 30.0) < 30.0 <= op3_secrets.guess_cost(low + "kX9#vQ2$mZ7!kX9#vQ2$mZ7!", 30.0)
