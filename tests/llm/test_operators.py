@@ -75,6 +75,26 @@ def test_license_spans_long_templates_and_odd_rows(spark, odd):
     assert op1_license.scan(empty(odd)).count() == 0
 
 
+def test_license_of_whole_license_texts(spark, tmp_path):
+    """Templates of thousands of words, from files, against plain containment; the expression's operators stay as they are."""
+    rng = np.random.default_rng(8)
+    makes = {f"L{k}": " ".join(f"w{x}" for x in rng.integers(0, 900, 3000)) for k in range(4)}
+    for name, text in makes.items():
+        (tmp_path / f"{name}.txt").write_text(text)
+    templates = op1_license.read_templates(spark, str(tmp_path))
+    assert templates == {k: [v] for k, v in makes.items()}
+    w = makes["L1"].split()
+    texts = {1: makes["L0"], 2: "head " * 50 + " ".join(x for i, x in enumerate(w) if i % 60), 3: " ".join(w[:2000]), 4: makes["L2"] + " between " * 9 + makes["L3"], 5: " ".join(w[:1500] + ["new"] * 200 + w[1500:])}
+    want = {}
+    for i, t in texts.items():
+        s = set(op1_license.shingles(op1_license.words(t)))
+        want[i] = {n for n, x in makes.items() for k in [set(op1_license.shingles(op1_license.words(x)))] if len(s & k) >= 0.8 * len(k)}
+    found = {r.doc_id: r.matches for r in op1_license.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), templates).collect()}
+    assert {i: {m.license for m in ms} for i, ms in found.items()} == want == {1: {"L0"}, 2: {"L1"}, 3: set(), 4: {"L2", "L3"}, 5: {"L1"}}
+    assert (found[2][0].start, found[4][1].start, found[4][1].end) == (50, 3009, 6009)
+    assert op1_license.matches(makes, "text").count("transform(") == op1_license.matches(dict(list(makes.items())[:1]), "text").count("transform(")
+
+
 # 2
 
 
