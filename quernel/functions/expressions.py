@@ -48,7 +48,11 @@ def reverse_bytes(h: Column, n: int) -> Column:
     return F.concat(*[F.substring(h, 2 * i + 1, 2) for i in reversed(range(n))])
 
 
-def fetched(uri: str | None, folders: tuple[str, ...] = (), seconds: float = 60) -> bytes | None:
+#: Bytes of a blob that is fetched, at most; a larger one counts as not to be had.
+BLOB = 64 << 20
+
+
+def fetched(uri: str | None, folders: tuple[str, ...] = (), seconds: float = 60, most: int = BLOB) -> bytes | None:
     import os
     import urllib.parse
     import urllib.request
@@ -57,11 +61,13 @@ def fetched(uri: str | None, folders: tuple[str, ...] = (), seconds: float = 60)
         parts = urllib.parse.urlsplit(uri or "")
         if parts.scheme in ("http", "https"):
             with urllib.request.urlopen(uri, timeout=seconds) as f:
-                return f.read()
+                found = f.read(most + 1)
+            return found if len(found) <= most else None
         path = os.path.realpath(urllib.parse.unquote(parts.path))
         if parts.scheme in ("", "file") and any(path.startswith(os.path.realpath(x) + os.sep) for x in folders):
             with open(path, "rb") as f:
-                return f.read()
+                found = f.read(most + 1)
+            return found if len(found) <= most else None
     except (OSError, ValueError):
         pass
     return None
@@ -189,7 +195,10 @@ class Compiler:
         p = e["right"]
         if p["type"] == "CONSTANT":
             return like(self(e["left"]), p["value"])
-        raise PlanError("LIKE needs a constant pattern")
+        # a pattern of a row: its letters quoted one by one, but % and ?
+        quoted = F.regexp_replace(F.lower(self(p)), r"([^\p{L}\p{N}\s%?])", r"\\$1")
+        pattern = F.concat(F.lit("(?s)^"), F.replace(F.replace(quoted, F.lit("%"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+        return F.rlike(F.lower(self(e["left"])), pattern)
 
     def do_and(self, e):
         return self(e["left"]) & self(e["right"])
@@ -274,15 +283,53 @@ class Compiler:
         return F.when(good, F.substring(b, begin + 1, end - begin)).otherwise(F.raise_error(F.lit("byte range out of bounds")).cast("binary"))
 
     def do_downloadblob(self, e):
-        """The bytes at a URI, null if there are none to be had.
+        """The bytes at a URI, null if there are none to be had, or more than quernel.blobBytes (64 MB unless set).
 
         Files are read only below the folders of the session's quernel.blobFolders.
+        A batch's blobs are fetched at the same time, eight at once.
         """
-        folders = tuple(x for x in (self.df.sparkSession.conf.get("quernel.blobFolders", None) or "").split(",") if x)
-        return F.udf(lambda uri: fetched(uri, folders), "binary", useArrow=False)(self(e["operand"]))
+        conf = self.df.sparkSession.conf
+        folders = tuple(x for x in (conf.get("quernel.blobFolders", None) or "").split(",") if x)
+        most = int(conf.get("quernel.blobBytes", None) or BLOB)
+
+        def blobs(uris):
+            from concurrent.futures import ThreadPoolExecutor
+
+            import pandas as pd
+
+            with ThreadPoolExecutor(8) as pool:
+                return pd.Series(list(pool.map(lambda u: fetched(u, folders, most=most), uris)), dtype=object)
+
+        return F.pandas_udf(blobs, "binary", F.PandasUDFType.SCALAR)(self(e["operand"]))
 
     def do_pyudf(self, e):
         f = self.functions.get(e["name"])
         if f is None:
             raise PlanError(f"no function {e['name']!r}")
         return f(*[self(x) for x in e["children"]])
+
+
+class Typed(Compiler):
+    """Compiles expressions whose variables and states are parts of other columns, with the types that they have on a row.
+
+    ``row`` gives the column of a variable's name; ``kinds`` are the state's types.
+    """
+
+    def __init__(self, df: DataFrame, row, state: list[Column] | None, kinds: list[T.DataType], functions: dict | None = None):
+        super().__init__(df, state, functions)
+        self.row, self.known = row, {}
+        self.probe = Compiler(df, [F.lit(None).cast(k) for k in kinds], functions)
+
+    def __call__(self, e: dict) -> Column:
+        c = super().__call__(e)
+        self.known[id(c)] = (c, e.get("rootExpressionOperator", e))  # held, so that no other column gets its id
+        return c
+
+    def type(self, c: Column) -> T.DataType:
+        return self.probe.type(self.probe(self.known[id(c)][1]) if id(c) in self.known else c)
+
+    def do_variable(self, e):
+        super().do_variable(e)
+        if self.row is None:
+            raise PlanError("there is no row here")
+        return self.row(self.df.columns[e["columnIdx"]])

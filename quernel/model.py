@@ -97,7 +97,21 @@ class RelationKey:
 
     @property
     def table(self) -> str:
-        return f"{self.user}__{self.program}__{self.relation}".lower()
+        """A table name of its own for each key, in lower-case letters, digits and underscores.
+
+        An underscore becomes _0, a capital _ and its small letter, anything else its
+        number between _1 and z; the parts stand between two underscores.
+        """
+        one = lambda c: "_0" if c == "_" else c if "a" <= c <= "z" or "0" <= c <= "9" else f"_{c.lower()}" if "A" <= c <= "Z" else f"_1{ord(c)}z"
+        return "__".join("".join(map(one, x)) for x in (self.user, self.program, self.relation))
+
+    @staticmethod
+    def of_table(name: str) -> RelationKey:
+        """The key whose table this is."""
+        parts = []
+        for part in re.findall(r"((?:[a-z0-9]|_0|_1\d+z|_[a-z])+)(?:__|$)", name):
+            parts.append(re.sub(r"_(?:(0)|1(\d+)z|([a-z]))", lambda m: "_" if m[1] else chr(int(m[2])) if m[2] else m[3].upper(), part))
+        return RelationKey(*parts)
 
     def __str__(self) -> str:
         return f"{self.user}:{self.program}:{self.relation}"

@@ -1,8 +1,9 @@
 """Recursive relations to a fix-point, with pluggable states, and loops.
 
-Each round joins only what is new (the delta) with the rest.  A round's result
-is a reliable checkpoint in the shared folder, so the plan stays short and a
-lost executor costs nothing but its own tasks.
+Each round joins only what is new (the delta) with the rest, and appends only
+that: a delta is a reliable checkpoint in the shared folder, so the plan stays
+short, a lost executor costs nothing but its own tasks, and what was held before
+is not written again.  Now and then the deltas are compacted into one.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,58 +20,100 @@ from pyspark.sql import functions as F
 from ..model import PlanError
 
 MOST = 1000
+#: Deltas of a relation that are kept before they become one.
+DELTAS = 12
+
+
+def folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder.  Where none is set, a local master gets one of its own; a cluster must name one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise PlanError("spark.checkpoint.dir must name a folder that all machines share")
+    return "file://" + tempfile.mkdtemp(prefix="quernel-")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The DataFrame, written to the checkpoint folder of the session (our own where none is set)."""
+    """The DataFrame, written to the checkpoint folder of the session."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quernel-"))
+        sc.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint()
 
 
 def shared(spark: SparkSession) -> str:
-    """A new folder below the session's checkpoint folder (our own where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quernel-")
-    return f"{base.rstrip('/')}/quernel-{uuid.uuid4().hex}"
+    """A new folder below the session's checkpoint folder."""
+    return f"{folder(spark)}/quernel-{uuid.uuid4().hex}"
+
+
+class State:
+    """How a recursive relation takes up candidate rows.
+
+    ``first`` gives the rows to begin with; ``fresh`` those of ``new`` that are to
+    be appended to ``held``, the rows appended so far; ``view`` what the relation
+    is, made from them; ``told`` what others see of it.
+    """
+
+    def first(self, df: DataFrame) -> DataFrame:
+        return df
+
+    def view(self, held: DataFrame) -> DataFrame:
+        return held
+
+    def told(self, df: DataFrame) -> DataFrame:
+        return df
+
+    def merge(self, held: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The relation with ``new`` taken up, and what that changed."""
+        delta = cut(self.fresh(held, new))
+        return self.view(held.union(delta)), delta
 
 
 @dataclass(frozen=True)
-class DupElim:
+class DupElim(State):
     """Keeps the first sight of a row; new are the rows not seen."""
 
-    def merge(self, held: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-        delta = cut(new.distinct().join(held, new.columns, "left_anti").select(*new.columns))
-        return cut(held.union(delta)), delta
+    def fresh(self, held: DataFrame, new: DataFrame) -> DataFrame:
+        return new.subtract(held)
 
     def first(self, df: DataFrame) -> DataFrame:
         return df.distinct()
 
 
 @dataclass(frozen=True)
-class KeepMinValue:
-    """Keeps, for each key, the row of the least values; new are rows of new keys or lesser values."""
+class KeepMinValue(State):
+    """Keeps, for each key, the row of the least values; new are rows of new keys or lesser values.
+
+    With ``ordered`` the relation comes in the order of its values.
+    """
 
     keys: tuple[str, ...]
     values: tuple[str, ...]
     ordered: bool = False
 
-    def first(self, df: DataFrame) -> DataFrame:
+    def least(self, df: DataFrame) -> DataFrame:
         rest = [c for c in df.columns if c not in self.keys and c not in self.values]
         best = df.groupBy(*self.keys).agg(F.min(F.struct(*self.values, *rest)).alias("m"))
-        best = best.select(*[F.col(c) if c in self.keys else F.col(f"m.{c}").alias(c) for c in df.columns])
-        return best.orderBy(*self.values) if self.ordered else best
+        return best.select(*[F.col(c) if c in self.keys else F.col(f"m.{c}").alias(c) for c in df.columns])
 
-    def merge(self, held: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-        best = self.first(new)
-        old = held.select(*self.keys, F.struct(*self.values).alias("__old"))
-        delta = cut(best.join(old, list(self.keys), "left").where(F.col("__old").isNull() | (F.struct(*self.values) < F.col("__old"))).select(*new.columns))
-        kept = held.join(delta.select(*self.keys), list(self.keys), "left_anti").select(*held.columns)
-        return cut(kept.union(delta)), delta
+    def first(self, df: DataFrame) -> DataFrame:
+        return self.sorted(self.least(df))
+
+    def sorted(self, df: DataFrame) -> DataFrame:
+        return df.orderBy(*self.values, *self.keys) if self.ordered else df
+
+    def view(self, held: DataFrame) -> DataFrame:
+        return self.sorted(self.least(held))
+
+    def fresh(self, held: DataFrame, new: DataFrame) -> DataFrame:
+        old = held.groupBy(*self.keys).agg(F.min(F.struct(*self.values)).alias("__old"))
+        return self.least(new).join(old, list(self.keys), "left").where(F.col("__old").isNull() | (F.struct(*self.values) < F.col("__old"))).select(*new.columns)
 
 
 @dataclass(frozen=True)
-class CountFilter:
+class CountFilter(State):
     """Holds distinct rows; a key is out once it has ``threshold`` of them."""
 
     keys: tuple[str, ...]
@@ -78,52 +122,78 @@ class CountFilter:
     def first(self, df: DataFrame) -> DataFrame:
         return df.distinct()
 
+    def fresh(self, held: DataFrame, new: DataFrame) -> DataFrame:
+        return DupElim().fresh(held, new)
+
     def merge(self, held: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-        fresh = cut(new.distinct().join(held, new.columns, "left_anti").select(*new.columns))
-        both = cut(held.union(fresh))
-        before = self.passed(held)
-        return both, cut(self.passed(both).join(before, list(self.keys), "left_anti"))
+        fresh = cut(self.fresh(held, new))
+        return held.union(fresh), cut(self.out(held, fresh))
+
+    def out(self, held: DataFrame, fresh: DataFrame) -> DataFrame:
+        """The keys that have passed with ``fresh`` and had not before."""
+        return self.passed(held.union(fresh)).join(self.passed(held), list(self.keys), "left_anti")
+
+    def told(self, df: DataFrame) -> DataFrame:
+        return self.passed(df)
 
     def passed(self, df: DataFrame) -> DataFrame:
         return df.groupBy(*self.keys).agg(F.count("*").alias("__n")).where(F.col("__n") >= self.threshold).select(*self.keys)
 
 
 @dataclass(frozen=True)
-class SimpleAppender:
+class SimpleAppender(State):
     """Keeps all; everything is new."""
 
-    def first(self, df: DataFrame) -> DataFrame:
-        return df
+    def fresh(self, held: DataFrame, new: DataFrame) -> DataFrame:
+        return new
 
-    def merge(self, held: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-        delta = cut(new)
-        return cut(held.union(delta)), delta
+
+class Held(dict):
+    """The relations so far, by name; ``old``: as they were before the last round's rows."""
+
+    def __init__(self, now: dict, old: dict):
+        super().__init__(now)
+        self.old = old
 
 
 STATES = {"DupElim": DupElim, "KeepMinValue": KeepMinValue, "KeepAndSortOnMinValue": lambda k, v: KeepMinValue(k, v, True), "CountFilter": CountFilter, "SimpleAppender": SimpleAppender}
 
 
-def fixpoint(initial: dict[str, DataFrame], states: dict, rules: Callable[[dict, dict], dict[str, DataFrame]], most: int = MOST) -> dict[str, DataFrame]:
+def fixpoint(initial: dict[str, DataFrame], states: dict, rules: Callable[[Held, dict], dict[str, DataFrame]], most: int = MOST) -> dict[str, DataFrame]:
     """Mutually recursive relations.
 
     ``rules(all, delta)`` gives the candidate rows of each relation, from the
-    relations so far and what the last round added.  It ends when nothing is new
-    anywhere.
+    relations so far and what the last round added; ``all.old`` are the relations
+    without that.  All relations take up their rows at the end of a round; it ends
+    when nothing is new anywhere.
     """
-    held, delta = {}, {}
+    parts: dict[str, list[DataFrame]] = {}
+    old, delta = {}, {}
+    now = lambda n: reduce(DataFrame.union, parts[n])
+    view = lambda n: states[n].view(now(n))
     for name, df in initial.items():
-        state = states[name]
-        held[name] = cut(state.first(df))
-        delta[name] = cut(state.passed(held[name])) if isinstance(state, CountFilter) else held[name]
+        parts[name] = [cut(states[name].first(df))]
+        old[name] = initial[name].limit(0)
+        delta[name] = cut(states[name].told(parts[name][0])) if isinstance(states[name], CountFilter) else parts[name][0]
+
+    def take(name: str, new: DataFrame) -> None:
+        held, state = now(name), states[name]
+        fresh = cut(state.fresh(held, new))
+        old[name] = state.view(held)
+        delta[name] = cut(state.out(held, fresh)) if isinstance(state, CountFilter) else fresh
+        parts[name].append(fresh)
+        if len(parts[name]) > DELTAS:
+            parts[name] = [cut(state.view(now(name)))]
+
     for _ in range(most):
         if all(d.isEmpty() for d in delta.values()):
-            return held
-        new = rules(held, delta)
+            return {n: view(n) for n in initial}
+        new = rules(Held({n: view(n) for n in initial}, dict(old)), dict(delta))
         for name in initial:
             if name in new:
-                held[name], delta[name] = states[name].merge(held[name], new[name])
+                take(name, new[name])
             else:
-                delta[name] = delta[name].limit(0)
+                old[name], delta[name] = view(name), delta[name].limit(0)
     raise PlanError(f"no fix-point in {most} rounds")
 
 

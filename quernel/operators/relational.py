@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expressions import Compiler, is_multi
+from ..functions.expressions import Compiler, Typed, is_multi
+from ..functions.rows import Rows
 from ..model import PlanError, merged_names
 
 
@@ -54,8 +55,10 @@ def stateful_apply(df: DataFrame, partition_by: list, order_by: list, initial: l
     """A scan with a state, in an explicit order within each partition.
 
     The state is updated before a row is emitted, all parts from the old state.
-    The fold runs over each partition's rows as one array, in the JVM; a
-    partition must fit in a task, so give one that splits the rows.
+    States that are sums, maxima or minima of what a row gives, or counts, are
+    Spark's running aggregates.  Any other goes through the sorted rows of a task
+    one after the other, a batch at a time: time is linear in the rows, memory
+    that of a batch, however long a partition is.
     """
     if not len(initial) == len(update):
         raise PlanError("as many updaters as initializers are needed")
@@ -64,32 +67,61 @@ def stateful_apply(df: DataFrame, partition_by: list, order_by: list, initial: l
     for e in [*update, *emit]:
         if is_multi(e["rootExpressionOperator"]):
             raise PlanError("a stateful expression has one value")
-    row = F.struct(*[at(c) for c in df.columns])
     keys, order = names(df, partition_by), names(df, order_by)
-    grouped = df.groupBy(*[at(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.array_sort(F.collect_list(F.struct(*[at(c).alias(f"o{i}") for i, c in enumerate(order)], row.alias("row")))).alias("rows"))
     start = [Compiler(df)(e) for e in initial]
     # the types of the state are those that the updaters give
     probe = Compiler(df, start)
     kinds = [probe.type(probe(e)) for e in update]
-
-    def bound(x: Column, state: Column | None):
-        c = Compiler(df, [state[f"s{i}"] for i in range(len(kinds))] if state is not None else None)
-        c.do_variable = lambda e: x["row"][df.columns[e["columnIdx"]]]
-        c.type = lambda col: T.DoubleType()  # types were checked on the row
-        return c
-
-    def step(acc: Column, x: Column) -> Column:
-        old = bound(x, acc["state"])
-        new = F.struct(*[old(e).cast(k).alias(f"s{i}") for i, (e, k) in enumerate(zip(update, kinds, strict=True))])
-        return F.struct(new.alias("state"), F.concat(acc["out"], F.array(F.struct(*[emitted(x, new, e, k).alias(f"e{i}") for i, (e, k) in enumerate(zip(emit, out_kinds, strict=True))]))).alias("out"))
-
-    def emitted(x, state, e, kind):
-        return bound(x, state)(e).cast(kind)
-
+    probe = Compiler(df, [F.lit(None).cast(k) for k in kinds])
     out_kinds = [probe.type(probe(e)) for e in emit]
-    first = F.struct(F.struct(*[s.cast(k).alias(f"s{i}") for i, (s, k) in enumerate(zip(start, kinds, strict=True))]).alias("state"), F.array().cast("array<struct<" + ",".join(f"e{i}:{k.simpleString()}" for i, k in enumerate(out_kinds)) + ">>").alias("out"))
-    folded = grouped.select(F.explode(F.aggregate("rows", first, step)["out"]).alias("r"))
-    return folded.select(*[F.col(f"r.e{i}").alias(e.get("outputName") or f"col{i}") for i, e in enumerate(emit)])
+    shown = [e.get("outputName") or f"col{i}" for i, e in enumerate(emit)]
+    w = Window.partitionBy(*[at(k) for k in keys]).orderBy(*[at(c) for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plain = [algebraic(df, i, s.cast(k), e, w) for i, (s, k, e) in enumerate(zip(start, kinds, update, strict=True))]
+    if all(c is not None for c in plain):
+        own = [f"__s{i}" for i in range(len(kinds))]
+        held = df.select("*", *[c.cast(k).alias(n) for c, k, n in zip(plain, kinds, own, strict=True)])
+        state = Compiler(held, [F.col(n) for n in own])
+        return held.select(*[state(e).alias(n) for e, n in zip(emit, shown, strict=True)])
+    first = df.sparkSession.range(1).select(*[s.cast(k).alias(f"s{i}") for i, (s, k) in enumerate(zip(start, kinds, strict=True))]).first()
+    rows = Rows(probe)
+    return folded(df, keys, order, tuple(first), [rows(e) for e in update], kinds, [rows(e) for e in emit], T.StructType([T.StructField(n, k) for n, k in zip(shown, out_kinds, strict=True)]), True)
+
+
+def folded(df: DataFrame, keys: list[str], order: list[str], first: tuple, update: list, kinds: list, emit: list, schema: T.StructType, each: bool) -> DataFrame:
+    """The sorted rows of each key through a state; what is emitted for each row, or after the last one, with the key before it."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    at_keys = [df.columns.index(k) for k in keys]
+    dealt = df.repartition(*[at(k) for k in keys]) if keys else df.coalesce(1) if df.isEmpty() else df.repartition(1)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        from quernel.functions.rows import fit
+
+        state, now, some = None, None, []
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                columns = [c.to_pylist() for c in batch.slice(a, 4096).columns]
+                for row in zip(*columns, strict=True):
+                    key = tuple(row[i] for i in at_keys)
+                    if state is None or key != now:
+                        if state is not None and not each:
+                            some.append((*now, *[f((), state) for f in emit]))
+                        state, now = first, key
+                    state = tuple(fit(f(row, state), k) for f, k in zip(update, kinds, strict=True))
+                    if each:
+                        some.append(tuple(f(row, state) for f in emit))
+                if some:
+                    yield made(some)
+                    some = []
+        if state is not None and not each:
+            yield made([(*now, *[f((), state) for f in emit])])
+
+    def made(some):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), arrow, strict=True)], schema=arrow)
+
+    return dealt.sortWithinPartitions(*[at(c) for c in [*keys, *order]]).mapInArrow(run, schema)
 
 
 def running(df: DataFrame, partition_by: list[str], order_by: list[str], **columns: Column) -> DataFrame:
@@ -136,7 +168,8 @@ def join(left: DataFrame, right: DataFrame, on1, on2, select1=None, select2=None
     """Equi-join on columns of identical types, with the selected columns of both sides.
 
     A set side keeps one row a key.  ``hint``: shuffle_hash, merge or broadcast,
-    for the right side.  ``residual``: a function of both sides' column finders.
+    for the right side, which is broadcast only where its estimated size allows it.
+    ``residual``: a function of both sides' column finders.
     """
     on1, on2 = names(left, on1), names(right, on2)
     if len(on1) != len(on2):
@@ -152,7 +185,11 @@ def join(left: DataFrame, right: DataFrame, on1, on2, select1=None, select2=None
     test = reduce(lambda a, b: a & b, [at(f"l__{a}") == at(f"r__{b}") for a, b in zip(on1, on2, strict=True)])
     if residual is not None:
         test &= residual(lambda c: at(f"l__{c}"), lambda c: at(f"r__{c}"))
-    joined = l.join(r.hint(hint) if hint else r, test, how)
+    if hint == "broadcast":
+        r = small(r)
+    elif hint:
+        r = r.hint(hint)
+    joined = l.join(r, test, how)
     chosen = [at(f"l__{c}") for c in select1] + ([] if how in ("left_semi", "left_anti") else [at(f"r__{c}") for c in select2])
     shown = out or (select1 if how in ("left_semi", "left_anti") else merged_names(select1, select2))
     return joined.select(*chosen).toDF(*shown)
@@ -203,7 +240,7 @@ OPS = {
 }
 
 
-def aggregators(df: DataFrame, specs: list[dict]) -> list[Column]:
+def aggregators(df: DataFrame, specs: list[dict], functions: dict | None = None) -> list[Column]:
     out = []
     for spec in specs:
         kind = spec["type"]
@@ -221,6 +258,8 @@ def aggregators(df: DataFrame, specs: list[dict]) -> list[Column]:
                 out.append(OPS[op](at(c), dtype).alias(f"{op.lower()}_{c}"))
         elif kind == "UserDefined":
             out += user_defined(df, spec)
+        elif kind == "Python":
+            out += python_aggregate(df, spec, functions)
         else:
             raise PlanError(f"unknown aggregator {kind!r}")
     return out
@@ -232,10 +271,14 @@ def reads_state(e) -> bool:
     return isinstance(e, dict) and (e.get("type") == "STATE" or any(map(reads_state, e.values())))
 
 
-def algebraic(df: DataFrame, i: int, start: Column, update: dict) -> Column | None:
-    """State ``i`` after all rows, as an aggregate, if its update adds to it or keeps an extreme of it."""
+def algebraic(df: DataFrame, i: int, start: Column, update: dict, window=None) -> Column | None:
+    """State ``i`` after all rows (or those of a window up to each), as an aggregate, if its update adds to it or keeps an extreme of it.
+
+    A sum passes a null on, as adding it to a state would.
+    """
     e = update.get("rootExpressionOperator", update)
     mine = lambda x: x == {"type": "STATE", "columnIdx": i}
+    over = (lambda c: c.over(window)) if window is not None else lambda c: c
     if mine(e):
         return start
     if e["type"] not in ("PLUS", "GREATER", "LESSER") or mine(e["left"]) == mine(e["right"]):
@@ -245,8 +288,9 @@ def algebraic(df: DataFrame, i: int, start: Column, update: dict) -> Column | No
         return None
     c = Compiler(df)(x)
     if e["type"] == "PLUS":
-        return start + F.coalesce(F.sum(c), F.lit(0))
-    return F.greatest(start, F.max(c)) if e["type"] == "GREATER" else F.least(start, F.min(c))
+        whole = over(F.count(F.lit(1))) == over(F.count(c))
+        return F.when(whole, start + F.coalesce(over(F.sum(c)), F.lit(0)))
+    return F.greatest(start, over(F.max(c))) if e["type"] == "GREATER" else F.least(start, over(F.min(c)))
 
 
 def user_defined(df: DataFrame, spec: dict) -> list[Column]:
@@ -254,7 +298,8 @@ def user_defined(df: DataFrame, spec: dict) -> list[Column]:
 
     States that are sums, maxima or minima of what a row gives become Spark's own
     aggregates, with partial sums before the shuffle.  Any other is folded over a
-    group's rows in column order, which brings the group together in one task.
+    group's rows in column order, in a task, as one array, with the types that
+    rows and states have.
     """
     initial, update, emit = spec["initializers"], spec["updaters"], spec["emitters"]
     if len(initial) != len(update) or not emit:
@@ -268,28 +313,29 @@ def user_defined(df: DataFrame, spec: dict) -> list[Column]:
         return [state(e).alias(e.get("outputName") or f"uda{i}") for i, e in enumerate(emit)]
 
     def step(acc: Column, x: Column) -> Column:
-        c = Compiler(df, [acc[f"s{i}"] for i in range(len(kinds))])
-        c.do_variable = lambda e: x[df.columns[e["columnIdx"]]]
-        c.type = lambda col: T.DoubleType()
+        c = Typed(df, lambda n: x[n], [acc[f"s{i}"] for i in range(len(kinds))], kinds)
         return F.struct(*[c(e).cast(k).alias(f"s{i}") for i, (e, k) in enumerate(zip(update, kinds, strict=True))])
 
     rows = F.array_sort(F.collect_list(F.struct(*[at(c) for c in df.columns])))
     first = F.struct(*[s.cast(k).alias(f"s{i}") for i, (s, k) in enumerate(zip(start, kinds, strict=True))])
 
     def finish(e: dict):
-        def f(state: Column) -> Column:
-            c = Compiler(df, [state[f"s{i}"] for i in range(len(kinds))])
-            c.type = lambda col: T.DoubleType()
-            return c(e)
-
-        return f
+        return lambda state: Typed(df, None, [state[f"s{i}"] for i in range(len(kinds))], kinds)(e)
 
     return [F.aggregate(rows, first, step, finish(e)).alias(e.get("outputName") or f"uda{i}") for i, e in enumerate(emit)]
 
 
-def aggregate(df: DataFrame, group: list, specs: list[dict], empty_compat: bool = False) -> DataFrame:
+def python_aggregate(df: DataFrame, spec: dict, functions: dict | None) -> list[Column]:
+    """Registered Python aggregates: ``function`` of the columns ``columns``, each group in batches of Arrow."""
+    f = (functions or {}).get(spec["function"])
+    if f is None:
+        raise PlanError(f"no function {spec['function']!r}")
+    return [f(*[at(c) for c in names(df, spec["columns"])]).alias(spec.get("outputName") or spec["function"])]
+
+
+def aggregate(df: DataFrame, group: list, specs: list[dict], empty_compat: bool = False, functions: dict | None = None) -> DataFrame:
     """Group columns, then aggregates.  ``empty_compat``: a global aggregate of nothing has no row, but a lone COUNT."""
-    cols = aggregators(df, specs)
+    cols = aggregators(df, specs, functions)
     keys = names(df, group)
     if keys:
         return df.groupBy(*[at(k) for k in keys]).agg(*cols)
@@ -331,21 +377,51 @@ def merge(dfs: list[DataFrame], columns: list, ascending: list[bool] | None = No
 # samples
 
 
-def sample_exact(df: DataFrame, k: int, seed: int = 0, order: list | None = None) -> DataFrame:
-    """Exactly k rows without replacement, those of the least hash; more than there are raises."""
+def sample_exact(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """Exactly k rows without replacement, each set of k rows as likely; more than there are raises."""
     if df.limit(k).count() < k:
         raise PlanError(f"fewer than {k} rows")
-    h = F.xxhash64(*[at(c) for c in (names(df, order) if order else df.columns)], F.lit(seed))
-    return df.orderBy(h, *[at(c) for c in df.columns]).limit(k)
+    return df.withColumn("__r", F.rand(seed)).orderBy("__r").limit(k).drop("__r")
 
 
 def sample_with_replacement(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """Exactly k rows with replacement: k drawn row numbers, joined to the numbered rows."""
     total = df.count()
+    if k and not total:
+        raise PlanError("no rows to draw from")
     draws = df.sparkSession.range(k).select(F.floor(F.rand(seed) * total).cast("long").alias("__i"))
     return counter(df, "__i", order_by=df.columns).join(draws, "__i").drop("__i")
 
 
+def sample_workers(df: DataFrame, distribution: DataFrame, seed: int = 0) -> DataFrame:
+    """Of each worker's rows as many as the distribution allots it, with or without replacement as it says.
+
+    ``distribution``: (WorkerID, StreamSize, SampleSize, SampleType) rows, one a
+    worker, which are few.  A worker's rows are those of its partition, from 1.
+    Repeated or non-positive ids raise, and so does a worker with too few rows.
+    """
+    from .iterate import cut
+
+    sizes = {r.WorkerID: r for r in distribution.collect()}
+    if len(sizes) < distribution.count() or any(w is None or w < 1 for w in sizes):
+        raise PlanError("each worker's id must be positive, and come once")
+    kinds = {r.SampleType for r in sizes.values()}
+    if len(kinds) > 1:
+        raise PlanError("samples of one kind are needed")
+    rows = cut(df.select("*", (F.spark_partition_id() + 1).alias("__w"), (F.monotonically_increasing_id() % (1 << 33)).alias("__i"), F.rand(seed).alias("__r")))
+    held = dict(map(tuple, rows.groupBy("__w").agg(F.count("*").alias("n")).collect()))
+    want = [(w, int(r.SampleSize), held.get(w, 0)) for w, r in sizes.items() if r.SampleSize]
+    replace = kinds == {"WithReplacement"}
+    if short := [w for w, k, n in want if not n or k > n and not replace]:
+        raise PlanError(f"worker {short[0]} has too few rows")
+    wanted = df.sparkSession.createDataFrame(want, "__w int, __k long, __n long")
+    if replace:
+        draws = wanted.select("__w", F.explode(F.sequence(F.lit(1), "__k")).alias("__d"), "__n").select("__w", F.floor(F.rand(seed + 1) * F.col("__n")).cast("long").alias("__i"))
+        return rows.join(draws, ["__w", "__i"]).select(*df.columns)
+    ranks = rows.join(F.broadcast(wanted), "__w").withColumn("__at", F.row_number().over(Window.partitionBy("__w").orderBy("__r")))
+    return ranks.where("__at <= __k").select(*df.columns)
+
+
 def sampling_distribution(df: DataFrame, size: int | None = None, percent: float | None = None, replace: bool = False, seed: int = 0) -> DataFrame:
     """(WorkerID, StreamSize, SampleSize, SampleType) from (WorkerID, count[, actual count]) rows.
 
@@ -356,6 +432,8 @@ def sampling_distribution(df: DataFrame, size: int | None = None, percent: float
     if (size is None) == (percent is None):
         raise PlanError("either a size or a percentage is needed")
     rows = sorted(df.collect())
+    if len({r[0] for r in rows}) < len(rows) or any(r[0] is None or r[0] < 1 for r in rows):
+        raise PlanError("each worker's id must be positive, and come once")
     counts = [int(r[1]) for r in rows]
     total = sum(counts)
     n = size if size is not None else round(total * percent / 100)
@@ -383,34 +461,50 @@ def sampling_distribution(df: DataFrame, size: int | None = None, percent: float
 
 
 def reservoir(df: DataFrame, k: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """k rows of each partition, and (WorkerID, PartitionSize, PartitionSampleSize)."""
+    """k rows of each partition, which stay in it, and (WorkerID, PartitionSize, PartitionSampleSize)."""
     from .iterate import cut
 
     rows = cut(df.withColumns({"__w": F.spark_partition_id() + 1, "__r": F.rand(seed)}))
+    n = rows._jdf.rdd().getNumPartitions()
     kept = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__w").orderBy("__r"))).where(F.col("__n") <= k)
     size = rows.groupBy(F.col("__w").alias("WorkerID")).agg(F.count("*").cast("int").alias("PartitionSize"))
-    return kept.drop("__w", "__r", "__n"), size.withColumn("PartitionSampleSize", F.least("PartitionSize", F.lit(k)))
+    kept = kept.repartitionById(max(n, 1), F.col("__w") - 1)
+    return cut(kept.drop("__w", "__r", "__n")), size.withColumn("PartitionSampleSize", F.least("PartitionSize", F.lit(k)))
 
 
 # distribution
 
 
 def distribute(df: DataFrame, how: str, n: int | None = None, columns: list | None = None) -> DataFrame:
-    """Hash, RoundRobin, Broadcast, Identity (the column names the partition) or Single."""
+    """Hash, RoundRobin, Broadcast, Identity (the column names the partition) or Single.
+
+    Broadcast asks for a broadcast where Spark's own estimate of the size allows it.
+    """
     if how == "Hash":
         cols = [at(c) for c in names(df, columns or [])]
         return df.repartition(n, *cols) if n else df.repartition(*cols)
     if how == "RoundRobin":
         return df.repartition(n) if n else df.repartition()
     if how == "Broadcast":
-        return df
+        return small(df)
     if how == "Identity":
+        n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return df.repartitionById(n, at(names(df, columns)[0]).cast("int") - 1)
     if how == "Single":
         return df.coalesce(1)
     raise PlanError(f"unknown distribution {how!r}")
 
 
+#: Bytes, as Spark estimates them, of a side that is broadcast when asked for.
+BROADCAST = 64 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The rows, marked for a broadcast if they are estimated to be small enough."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return F.broadcast(df) if size <= BROADCAST else df
+
+
 def hypercube(df: DataFrame, dimensions: list[int], hashed: dict[int, str]) -> DataFrame:
     """The rows with ``cell``, once for each cell of the cube to which they belong.
 
