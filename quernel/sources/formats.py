@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,100 +17,237 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from ..model import Schema
 
 
+def csv_options(delimiter: str = ",", quote: str | None = '"', escape: str | None = None) -> dict[str, str]:
+    return {"mode": "FAILFAST", "sep": delimiter, "quote": quote or '"', "escape": escape or "\\"}
+
+
 def read_csv(spark: SparkSession, path: str, schema: Schema, delimiter: str = ",", quote: str = '"', escape: str | None = None, skip: int = 0) -> DataFrame:
     """Delimited text of a declared schema; a bad cell or another number of cells raises.
 
     ``skip`` lines at the start of each file are left out.
     """
-    reader = spark.read.schema(schema.spark).option("mode", "FAILFAST").option("sep", delimiter).option("quote", quote).option("escape", escape or "\\").option("enforceSchema", True)
+    options = csv_options(delimiter, quote, escape)
     if skip <= 1:
-        return reader.option("header", skip == 1).csv(path)
+        return spark.read.schema(schema.spark).options(**options, enforceSchema=True, header=skip == 1).csv(path)
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
     first = lines.where("b = 0").groupBy("f").agg(F.min("i").alias("m"))
-    kept = lines.join(F.broadcast(first), "f", "left").where((F.col("b") > 0) | (F.col("i") >= F.col("m") + skip))
-    parsed = F.from_csv("value", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.spark), {"sep": delimiter, "quote": quote, "mode": "FAILFAST"})
-    return kept.select(parsed.alias("r")).select("r.*")
+    kept = lines.join(first, "f", "left").where((F.col("b") > 0) | (F.col("i") >= F.col("m") + skip))
+    return parsed_csv(kept, schema, options)
+
+
+def parsed_csv(lines: DataFrame, schema: Schema, options: dict[str, str]) -> DataFrame:
+    parsed = F.from_csv("value", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.spark), options)
+    return lines.where("value <> ''").select(parsed.alias("r")).select("r.*")
+
+
+def records(text: str, quote: str = '"', escape: str = "\\") -> list[str]:
+    """The records of delimited text: its lines, but that a line end within quotes does not end one."""
+    out, start, inside, i = [], 0, False, 0
+    while i < len(text):
+        c = text[i]
+        if c == escape and escape != quote:
+            i += 1
+        elif c == quote:
+            inside = not inside
+        elif c in "\r\n" and not inside:
+            out.append(text[start:i])
+            if c == "\r" and text[i + 1 : i + 2] == "\n":
+                i += 1
+            start = i + 1
+        i += 1
+    return out + [text[start:]] if start < len(text) else out
+
+
+def csv_bytes(spark: SparkSession, data: bytes, schema: Schema, delimiter: str = ",", quote: str = '"', escape: str | None = None, skip: int = 0) -> DataFrame:
+    """Delimited text that came with a plan, read as a file of it would be."""
+    options = csv_options(delimiter, quote, escape)
+    rows = [(x,) for x in records(data.decode(), options["quote"], options["escape"])[skip:]]
+    return parsed_csv(spark.createDataFrame(rows, "value string"), schema, options)
 
 
-def opened(path: str):
-    """A file for reading, by any path that pyarrow's filesystems know, or a local one."""
+#: Rows of a partition of a file whose rows have one size, and of a batch.
+RANGE, BATCH = 1 << 20, 1 << 16
+
+
+def place(path: str):
+    """The filesystem of a path, by any scheme that pyarrow knows, or the local one, and the path there."""
     from pyarrow import fs
 
-    if "://" in path:
-        system, rest = fs.FileSystem.from_uri(path)
-        return system.open_input_stream(rest)
-    return open(path, "rb")  # noqa: SIM115
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def size_of(path: str) -> int:
+    system, at = place(path)
+    info = system.get_file_info(at)
+    if info.type.name != "File":
+        raise FileNotFoundError(path)
+    return info.size
+
+
+def cut_out(path: str, at: int, n: int) -> bytes:
+    """``n`` bytes of a file, from ``at`` on."""
+    system, rest = place(path)
+    with system.open_input_file(rest) as f:
+        f.seek(at)
+        out = f.read(n)
+    if len(out) < n:
+        raise ValueError(f"{path} is cut short")
+    return out
+
+
+def integers(path: str, start: int, n: int) -> np.ndarray:
+    """Of a text file of a count and as many integers, ``n`` from number ``start`` on."""
+    system, rest = place(path)
+    out, at, tail = [], -1, b""  # the count is number -1
+    with system.open_input_stream(rest) as f:
+        while (chunk := f.read(1 << 22)) or tail:
+            words = (tail + chunk).split()
+            tail = words.pop() if chunk and words and not chunk[-1:].isspace() else b""
+            out += words[max(0, start - at) : max(0, start + n - at)]
+            at += len(words)
+            if at >= start + n or not chunk:
+                break
+    if len(out) < n:
+        raise ValueError(f"{path}: {start + n} values are needed")
+    return np.array(out, np.int64)
+
+
+def count_in(path: str) -> int:
+    system, rest = place(path)
+    with system.open_input_stream(rest) as f:
+        words = f.read(4096).split(None, 1)
+    if not words:
+        raise ValueError(f"{path} is empty")
+    return int(words[0])
+
+
+@dataclass
+class Part(InputPartition):
+    """Rows of a file: of a kind, from a number on, and the number of its first row among all."""
 
+    path: str
+    kind: str = ""
+    start: int = 0
+    n: int = 0
+    before: int = 0
 
-def whole(path: str) -> bytes:
-    with opened(path) as f:
-        return f.read()
 
+def ranges(path: str, kind: str, n: int, before: int = 0) -> list[Part]:
+    return [Part(path, kind, a, min(RANGE, n - a), before + a) for a in range(0, n, RANGE)]
 
-class _One(DataSource):
-    """A source of one partition per path, whose rows ``decode(options)`` yields."""
+
+class _Source(DataSource):
+    """A source of byte ranges: ``plan(options)`` on the driver, ``decode(part, options, fields)`` gives columns of numpy arrays."""
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _Reader(self, schema)
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, source: _One, schema: T.StructType):
+    def __init__(self, source: _Source, schema: T.StructType):
         self.source, self.fields = source, schema
 
     def partitions(self):
-        paths = (self.source.options.get("path") or "").split(",")
-        return [InputPartition(p) for p in paths]
+        return self.source.plan({k.lower(): v for k, v in self.source.options.items()}, self.fields) or [Part("")]
+
+    def read(self, partition) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        if not partition.path:
+            return
+        schema = to_arrow_schema(self.fields)
+        options = {k.lower(): v for k, v in self.source.options.items()}
+        for columns in self.source.decode(partition, options, self.fields):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    def read(self, partition) -> Iterator[tuple]:
-        return self.source.decode(partition.value, self.source.options, self.fields)
+
+def paths(options: dict) -> list[str]:
+    return (options.get("path") or "").split(",")
 
 
 #: struct codes of the types in binary rows; strings have a two-byte length first.
 CODES = {T.IntegerType: "i", T.LongType: "q", T.FloatType: "f", T.DoubleType: "d", T.BooleanType: "?"}
 
 
-class BinaryRows(_One):
-    """Rows of fixed layout, big-endian unless ``littleEndian`` is true; a row cut short raises."""
+class BinaryRows(_Source):
+    """Rows of fixed layout, big-endian unless ``littleEndian`` is true; a row cut short raises.
+
+    Rows without strings have one size, and a file is read in ranges of them;
+    with strings a row is found only after the one before it.
+    """
 
     @classmethod
     def name(cls):
         return "quernel_binary"
 
     @staticmethod
-    def decode(path, options, schema):
-        data, at = whole(path), 0
+    def layout(options, schema) -> np.dtype | None:
+        order = "<" if options.get("littleendian", "false").lower() == "true" else ">"
+        if any(isinstance(f.dataType, T.StringType) for f in schema):
+            return None
+        return np.dtype([(f"f{i}", ("" if isinstance(f.dataType, T.BooleanType) else order) + CODES[type(f.dataType)]) for i, f in enumerate(schema)])
+
+    @classmethod
+    def plan(cls, options, schema) -> list[Part]:
+        out, row = [], cls.layout(options, schema)
+        for path in paths(options):
+            if row is None:
+                out.append(Part(path, "strings"))
+                continue
+            size = size_of(path)
+            if size % row.itemsize:
+                raise ValueError(f"{path}: a row is cut short")
+            out += ranges(path, "rows", size // row.itemsize)
+        return out
+
+    @classmethod
+    def decode(cls, part, options, schema):
+        if row := cls.layout(options, schema):
+            for a in range(part.start, part.start + part.n, BATCH):
+                n = min(BATCH, part.start + part.n - a)
+                found = np.frombuffer(cut_out(part.path, a * row.itemsize, n * row.itemsize), row)
+                yield [found[f"f{i}"].astype(found[f"f{i}"].dtype.newbyteorder("=")) for i in range(len(schema))]
+            return
         order = "<" if options.get("littleendian", "false").lower() == "true" else ">"
-        while at < len(data):
-            row = []
-            for f in schema:
-                if isinstance(f.dataType, T.StringType):
-                    (n,) = struct.unpack_from(order + "H", data, at)
-                    at += 2
-                    if at + n > len(data):
-                        raise ValueError("a row is cut short")
-                    row.append(data[at : at + n].decode())
-                    at += n
-                else:
-                    code = order + CODES[type(f.dataType)]
-                    row.append(struct.unpack_from(code, data, at)[0])
-                    at += struct.calcsize(code)
-            yield tuple(row)
+        kinds = [None if isinstance(f.dataType, T.StringType) else struct.Struct(order + CODES[type(f.dataType)]) for f in schema]
+        length = struct.Struct(order + "H")
+        system, rest = place(part.path)
+        with system.open_input_stream(rest) as f:
+
+            def take(n: int) -> bytes:
+                if len(out := f.read(n)) < n:
+                    raise ValueError("a row is cut short")
+                return out
+
+            rows: list[list] = []
+            while first := f.read(1):
+                row = []
+                for kind in kinds:
+                    head = first + take((kind or length).size - len(first))
+                    (value,) = (kind or length).unpack(head)
+                    row.append(value if kind else take(value).decode())
+                    first = b""
+                rows.append(row)
+                if len(rows) == BATCH:
+                    yield list(zip(*rows, strict=True))
+                    rows = []
+            if rows:
+                yield list(zip(*rows, strict=True))
 
 
 #: The columns of the three formats.
 TIPSY = "iOrder long, mass float, x float, y float, z float, vx float, vy float, vz float, rho float, temp float, hsmooth float, metals float, tform float, eps float, phi float, grp int, type string"
 SEAFLOW = "time int, pulse_width int, D1 int, D2 int, fsc_small int, fsc_perp int, fsc_big int, pe int, chl_small int, chl_big int"
+#: Which of the columns from mass to phi the records of each kind hold, in their order.
+TIPSY_KINDS = {
+    "gas": "mass x y z vx vy vz rho temp hsmooth metals phi".split(),
+    "dark": "mass x y z vx vy vz eps phi".split(),
+    "star": "mass x y z vx vy vz metals tform eps phi".split(),
+}
 
 
-def integers(path: str, n: int) -> list[int]:
-    lines = whole(path).split()
-    if not lines or int(lines[0]) != n or len(lines) < n + 1:
-        raise ValueError(f"{path}: {n} values are needed")
-    return [int(x) for x in lines[1 : n + 1]]
-
-
-class Tipsy(_One):
+class Tipsy(_Source):
     """Particles: gas, dark and star records, with order and group files of one integer a line."""
 
     @classmethod
@@ -120,31 +258,43 @@ class Tipsy(_One):
         return TIPSY
 
     @staticmethod
-    def decode(path, options, schema):
-        data = whole(path)
-        _, total, _, gas, dark, star, _ = struct.unpack_from(">diiiiii", data)
-        if total != gas + dark + star or len(data) != 32 + 48 * gas + 36 * dark + 44 * star:
+    def plan(options, schema) -> list[Part]:
+        (path,) = paths(options)
+        _, total, _, *counts, _ = struct.unpack(">diiiiii", cut_out(path, 0, 32))
+        sizes = [4 * len(c) for c in TIPSY_KINDS.values()]
+        if total != sum(counts) or size_of(path) != 32 + sum(n * k for n, k in zip(counts, sizes, strict=True)):
             raise ValueError("the counts of a Tipsy file don't fit its size")
-        order, group = integers(options["iorder"], total), integers(options["grp"], total)
-        at, i = 32, 0
-        for kind, n in (("gas", gas), ("dark", dark), ("star", star)):
-            for _ in range(n):
-                k = {"gas": 12, "dark": 9, "star": 11}[kind]
-                v = struct.unpack_from(f">{k}f", data, at)
-                at += 4 * k
-                if kind == "gas":  # mass to vz, rho, temp, hsmooth, metals, phi
-                    row = (*v[:11], 0.0, 0.0, v[11])
-                elif kind == "dark":  # mass to vz, eps, phi
-                    row = (*v[:7], 0.0, 0.0, 0.0, 0.0, 0.0, *v[7:])
-                else:  # mass to vz, metals, tform, eps, phi
-                    row = (*v[:7], 0.0, 0.0, 0.0, *v[7:])
-                yield (order[i], *row, group[i], kind)
-                i += 1
-
+        for k in ("iorder", "grp"):
+            if count_in(options[k]) != total:
+                raise ValueError(f"{options[k]}: {total} values are needed")
+        out, before = [], 0
+        for kind, n in zip(TIPSY_KINDS, counts, strict=True):
+            out += ranges(path, kind, n, before)
+            before += n
+        return out
 
-class SeaFlow(_One):
+    @staticmethod
+    def decode(part, options, schema):
+        header = struct.unpack(">diiiiii", cut_out(part.path, 0, 32))
+        skip = 32
+        for (kind, columns), n in zip(TIPSY_KINDS.items(), header[3:6], strict=True):
+            if kind == part.kind:
+                break
+            skip += 4 * len(columns) * n
+        row = np.dtype([(c, ">f4") for c in columns])
+        order, group = (integers(options[k], part.before, part.n) for k in ("iorder", "grp"))
+        for a in range(0, part.n, BATCH):
+            n = min(BATCH, part.n - a)
+            found = np.frombuffer(cut_out(part.path, skip + (part.start + a) * row.itemsize, n * row.itemsize), row)
+            floats = [found[f.name].astype(np.float32) if f.name in columns else np.zeros(n, np.float32) for f in schema[1:15]]
+            yield [order[a : a + n], *floats, group[a : a + n], [part.kind] * n]
+
+
+class SeaFlow(_Source):
     """Flow cytometry: a little-endian count, then an end-of-line mark of 10 and ten unsigned shorts a row."""
 
+    ROW = np.dtype([("mark", "<i4"), ("v", "<u2", 10)])
+
     @classmethod
     def name(cls):
         return "quernel_seaflow"
@@ -152,38 +302,44 @@ class SeaFlow(_One):
     def schema(self):
         return SEAFLOW
 
-    @staticmethod
-    def decode(path, options, schema):
-        data = whole(path)
-        (n,) = struct.unpack_from("<i", data)
-        if len(data) != 4 + 24 * n:
-            raise ValueError("the count of an EVT file doesn't fit its size")
-        for i in range(n):
-            mark, *row = struct.unpack_from("<i10H", data, 4 + 24 * i)
-            if mark != 10:
+    @classmethod
+    def plan(cls, options, schema) -> list[Part]:
+        out = []
+        for path in paths(options):
+            (n,) = struct.unpack("<i", cut_out(path, 0, 4))
+            if size_of(path) != 4 + cls.ROW.itemsize * n:
+                raise ValueError("the count of an EVT file doesn't fit its size")
+            out += ranges(path, "rows", n)
+        return out
+
+    @classmethod
+    def decode(cls, part, options, schema):
+        for a in range(part.start, part.start + part.n, BATCH):
+            n = min(BATCH, part.start + part.n - a)
+            found = np.frombuffer(cut_out(part.path, 4 + a * cls.ROW.itemsize, n * cls.ROW.itemsize), cls.ROW)
+            if (found["mark"] != 10).any():
                 raise ValueError("an end-of-line mark is missing")
-            yield tuple(row)
+            yield list(found["v"].astype(np.int32).T)
 
 
-#: Attributes of the particle-directory format that are read, after the two orders.
-NCHILADA_FLOATS = "ESNRate FeMassFrac HI HeI HeII OxMassFrac coolontime den eps hsmooth massHot metals pot soft tform timeform uHot mass x y z vx vy vz temperature rho".split()
+#: The columns of the particle-directory format between the two orders and the group.
+NCHILADA_FLOATS = "ESNRate FeMassFrac FeMassFracDot GasDensity HI HeI HeII Metalsdot OxMassFrac OxMassFracdot coolontime den mass metals x y z pot smoothlength soft vx vy vz massform tform temperature".split()
 NCHILADA = "iord int, igasord int, " + ", ".join(f"{n} float" for n in NCHILADA_FLOATS) + ", grp int, type string"
-MAGIC = 1062053
+#: The mark of an attribute file, the codes of its types, and the attributes of three numbers.
+MAGIC, INT_CODE, FLOAT_CODE = 1062053, 5, 9
+TRIPLES = {"pos": ("x", "y", "z"), "vel": ("vx", "vy", "vz")}
 
 
-def attribute(path: str) -> tuple[int, int, list]:
-    """The number of bodies, the width and the values of an attribute file."""
-    data = whole(path)
-    magic, _, high, bodies, width, code = struct.unpack_from(">idiiii", data)
-    if magic != MAGIC or high or code not in (5, 9):
+def attribute(path: str) -> tuple[int, int, str]:
+    """The number of bodies, the width and the numpy type of an attribute file."""
+    magic, _, high, bodies, width, code = struct.unpack(">idiiii", cut_out(path, 0, 28))
+    if magic != MAGIC or high or code not in (INT_CODE, FLOAT_CODE):
         raise ValueError(f"{path} is not an attribute file")
-    kind = "i" if code == 5 else "f"
-    values = struct.unpack_from(f">{bodies * width}{kind}", data, 28 + 8 * width)
-    return bodies, width, list(values)
+    return bodies, width, ">i4" if code == INT_CODE else ">f4"
 
 
-class NChilada(_One):
-    """Particles in one folder a type, one file an attribute; absent attributes are 0."""
+class NChilada(_Source):
+    """Particles in one folder a type, one file an attribute; absent attributes are 0, unknown ones are left out."""
 
     @classmethod
     def name(cls):
@@ -193,29 +349,47 @@ class NChilada(_One):
         return NCHILADA
 
     @staticmethod
-    def decode(path, options, schema):
-        import os
+    def files(path: str, kind: str) -> dict[str, str]:
+        from pyarrow import fs
+
+        system, at = place(path)
+        found = system.get_file_info(fs.FileSelector(f"{at}/{kind}", allow_not_found=True))
+        return {x.base_name: f"{path}/{kind}/{x.base_name}" for x in found if x.type.name == "File"}
 
-        at, group = 0, [int(x) for x in whole(options["grp"]).split()]
+    @classmethod
+    def plan(cls, options, schema) -> list[Part]:
+        (path,), out, before = paths(options), [], 0
         for kind in ("gas", "dark", "star"):
-            folder, columns, total = f"{path}/{kind}", {}, None
-            if not os.path.isdir(folder):
-                continue
-            for name in sorted(os.listdir(folder)):
-                bodies, width, values = attribute(f"{folder}/{name}")
-                if total not in (None, bodies):
-                    raise ValueError(f"{folder}: the files differ in their number of bodies")
-                total = bodies
-                parts = {"pos": ("x", "y", "z"), "vel": ("vx", "vy", "vz")}.get(name, (name,))
-                for k, part in enumerate(parts):
-                    columns[part] = values[k::width]
-            for i in range(total or 0):
-                at += 1
-                row = [columns[n][i] if n in columns else 0 for n in ("iord", "igasord")]
-                row += [float(columns[n][i]) if n in columns else 0.0 for n in NCHILADA_FLOATS]
-                yield (*row, group[at], kind)
-        if at != group[0]:
+            counts = {attribute(p)[0] for p in cls.files(path, kind).values()}
+            if len(counts) > 1:
+                raise ValueError(f"{path}/{kind}: the files differ in their number of bodies")
+            if counts:
+                out += ranges(path, kind, *counts, before)
+                before += counts.pop()
+        if count_in(options["grp"]) != before:
             raise ValueError("the group file has another count")
+        return out
+
+    @classmethod
+    def decode(cls, part, options, schema):
+        held = {}
+        for name, path in cls.files(part.path, part.kind).items():
+            _, width, kind = attribute(path)
+            for k, column in enumerate(TRIPLES.get(name, (name,))):
+                held[column] = path, width, kind, k
+        group = integers(options["grp"], part.before, part.n)
+        for a in range(0, part.n, BATCH):
+            n = min(BATCH, part.n - a)
+            columns = []
+            for f in schema[:28]:
+                out = np.int32 if isinstance(f.dataType, T.IntegerType) else np.float32
+                if f.name not in held:
+                    columns.append(np.zeros(n, out))
+                    continue
+                path, width, kind, k = held[f.name]
+                values = np.frombuffer(cut_out(path, 28 + 8 * width + 4 * width * (part.start + a), 4 * width * n), kind)
+                columns.append(values[k::width].astype(out))
+            yield [*columns, group[a : a + n], [part.kind] * n]
 
 
 #: The start of a binary copy stream (signature, flags, length of the extension), its end, its first moment.
