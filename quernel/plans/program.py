@@ -1,7 +1,10 @@
 """An engine for JSON plans: validation, loading, control flow, relations, export.
 
 Producers and consumers in a plan collapse to edges, since Spark places its own
-exchanges; distribute functions of a shuffle become a repartitioning.
+exchanges.  The distribute function of a shuffle becomes a repartitioning, and a
+broadcast a hint where the size allows it.  A collect, and the copies that a
+hypercube shuffle makes for workers that join by themselves, change no result
+here and are left to Spark; ``relational.hypercube`` has the latter as an operator.
 """
 
 from __future__ import annotations
@@ -19,17 +22,23 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import PlanError, RelationKey, Schema
+from ..model import NAME, PlanError, RelationKey, Schema
 from ..operators import relational as rel
-from ..operators.iterate import MOST, STATES, cut, fixpoint, single
+from ..operators.iterate import MOST, STATES, Held, cut, fixpoint, single
 from ..sources import formats, generated
+from .catalog import Catalog, read, shown
+
+#: Bytes that a plan's rows may have as text in memory.
+TEXT = 64 << 20
 
 PRODUCERS = {"ShuffleProducer", "BroadcastProducer", "CollectProducer", "LocalMultiwayProducer", "HyperCubeShuffleProducer"}
 CONSUMERS = {"ShuffleConsumer", "BroadcastConsumer", "CollectConsumer", "LocalMultiwayConsumer", "HyperCubeShuffleConsumer", "Consumer"}
 #: The relation of profiled roots.
 PROFILE = "public:logs:Profiling"
 PROFILE_SCHEMA = "queryId long, subQueryId int, opId string, opType string, startTime long, endTime long, numTuples long"
-ROOTS = PRODUCERS | {"DbInsert", "TempInsert", "SampledDbInsertTemp", "TupleSink", "EmptySink", "SetGlobal", "EOSController"}
+#: Roots without a child.
+ACTIONS = {"DbCreateIndex": ("relationKey", "indexes"), "DbCreateView": ("viewName", "viewDefinition"), "DbCreateFunction": ("name", "outputType"), "DbExecute": ("sqlQuery",), "DbDelete": ("relationKey",)}
+ROOTS = PRODUCERS | set(ACTIONS) | {"DbInsert", "TempInsert", "SampledDbInsertTemp", "TupleSink", "EmptySink", "SetGlobal", "EOSController"}
 #: Required fields by operator.
 NEEDS = {
     "Aggregate": ("argChild", "argGroupFields", "aggregators"), "Apply": ("argChild", "emitExpressions"), "CatalogScan": ("schema", "sql"),
@@ -45,7 +54,7 @@ NEEDS = {
     "SymmetricHashCountingJoin": ("argChild1", "argChild2", "argColumns1", "argColumns2"), "SymmetricHashJoin": ("argChild1", "argChild2", "argColumns1", "argColumns2", "argSelect1", "argSelect2"),
     "TableScan": ("relationKey",), "TempInsert": ("argChild", "table"), "TempTableScan": ("table",), "TipsyFileScan": ("tipsyFilename", "grpFilename", "iorderFilename"),
     "TupleSink": ("argChild",), "TupleSource": ("reader", "source"), "CSVFragmentTupleSource": ("reader", "source"), "UnionAll": ("argChildren",),
-} | {p: ("argChild",) for p in PRODUCERS} | {c: ("argOperatorId",) for c in CONSUMERS}
+} | ACTIONS | {p: ("argChild",) for p in PRODUCERS} | {c: ("argOperatorId",) for c in CONSUMERS}
 
 
 def children(op: dict) -> list:
@@ -101,13 +110,22 @@ def sub_queries(plan: dict) -> Iterator[list]:
 class Engine:
     """Relations by key, functions, queries and their states."""
 
-    def __init__(self, spark: SparkSession, database: str = "default"):
-        self.spark, self.database = spark, database
+    def __init__(self, spark: SparkSession, database: str = "default", folder: str | None = None):
+        """``folder``: where the catalog is kept; what an earlier engine left there is known again."""
+        self.spark, self.database, self.store = spark, database, Catalog(spark, folder)
         self.functions: dict = {}
-        self.log: dict[int, dict] = {}
+        self.log: dict[int, dict] = {int(n): q | {"plans": q.get("plans", []), "profile": None} for n, q in self.store.all("queries").items()}
         self.relations: dict[str, dict] = {}
         self.indexes: dict[str, list] = {}
-        self.ids = itertools.count(1)
+        self.ids = itertools.count(max(self.log, default=0) + 1)
+        for table, about in self.store.all("relations").items():
+            key = RelationKey.of_table(table)
+            self.indexes[str(key)] = about.pop("indexes", [])
+            if not self.spark.catalog.tableExists(self.name(key)):
+                self.spark.catalog.createTable(self.name(key), about["location"], "parquet")
+            self.relations[str(key)] = read(about)
+        for name, about in self.store.all("functions").items():
+            self.register_function(name, about["sql"], about.get("output", ""))
 
     # relations
 
@@ -115,17 +133,37 @@ class Engine:
         return f"{self.database}.{RelationKey.parse(key).table}"
 
     def write(self, key, df: DataFrame, overwrite: bool = False, distribution: dict | None = None, query: int | None = None) -> None:
-        """Appends, or replaces through a new table, so that a query may read what it replaces."""
+        """Appends, or replaces through a new table, so that a query may read what it replaces.
+
+        A relation that is distributed by a hash of columns is stored in buckets of
+        them, so that joins on these columns need no exchange.
+        """
         key = RelationKey.parse(key)
-        if overwrite or not self.spark.catalog.tableExists(self.name(key)):
-            df = cut(df) if overwrite and self.spark.catalog.tableExists(self.name(key)) else df
-            df.write.mode("overwrite").saveAsTable(self.name(key))
+        there = self.spark.catalog.tableExists(self.name(key))
+        if overwrite or not there:
+            df = cut(df) if overwrite and there else df
+            columns = rel.names(df, hashed(distribution))
+            out = df.write
+            if columns:
+                n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+                out = df.repartition(n, *map(rel.at, columns)).write.bucketBy(n, *columns)
+            out.mode("overwrite").saveAsTable(self.name(key))
         else:
             old = Schema.of(self.spark.table(self.name(key)).schema)
             if not old.compatible(Schema.of(df.schema)):
                 raise PlanError(f"{key} has other types")
-            df.toDF(*old.names).write.mode("append").saveAsTable(self.name(key))
-        self.relations[str(key)] = {"schema": Schema.of(df.schema), "distribution": distribution or {"type": "RoundRobin"}, "query": query, "created": time.time()}
+            distribution = self.relations.get(str(key), {}).get("distribution") or distribution
+            columns = rel.names(df, hashed(distribution))
+            df = df.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *map(rel.at, columns)) if columns else df
+            df.toDF(*old.names).write.insertInto(self.name(key))
+        self.noted(key, {"schema": Schema.of(df.schema), "distribution": distribution or {"type": "RoundRobin"}, "query": query, "created": time.time()})
+
+    def noted(self, key, about: dict) -> None:
+        key = RelationKey.parse(key)
+        self.relations[str(key)] = about
+        if self.store.folder:
+            where = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name(key)}").where("col_name = 'Location'").first()
+            self.store.put("relations", key.table, shown(about) | {"indexes": self.indexes.get(str(key), []), "location": where.data_type})
 
     def read(self, key) -> DataFrame:
         if not self.spark.catalog.tableExists(self.name(key)):
@@ -135,12 +173,20 @@ class Engine:
     def drop(self, key) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name(key)}")
         self.relations.pop(str(RelationKey.parse(key)), None)
+        self.store.drop("relations", RelationKey.parse(key).table)
 
     def register_existing(self, key, schema: Schema | None = None) -> None:
-        self.relations[str(RelationKey.parse(key))] = {"schema": schema or Schema.of(self.read(key).schema), "distribution": {"type": "Unknown"}, "query": None, "created": time.time()}
+        self.noted(key, {"schema": schema or Schema.of(self.read(key).schema), "distribution": {"type": "Unknown"}, "query": None, "created": time.time()})
 
     def describe(self, key) -> dict:
-        return {"key": str(RelationKey.parse(key)), "count": self.read(key).count(), **self.relations.get(str(RelationKey.parse(key)), {"schema": Schema.of(self.read(key).schema)})}
+        """What is known of a relation; its rows are counted once after each change."""
+        key = RelationKey.parse(key)
+        about = self.relations.get(str(key), {"schema": Schema.of(self.read(key).schema)})
+        if "count" not in about:
+            about["count"] = self.read(key).count()
+            if str(key) in self.relations:
+                self.noted(key, about)
+        return {"key": str(key), **about}
 
     def list(self, search: str = "", user: str | None = None, program: str | None = None) -> list[str]:
         keys = [RelationKey.parse(k) for k in sorted(self.relations)]
@@ -148,9 +194,14 @@ class Engine:
 
     def create_index(self, key, columns: list) -> None:
         self.read(key)
-        self.indexes.setdefault(str(RelationKey.parse(key)), []).append(columns)
+        key = RelationKey.parse(key)
+        self.indexes.setdefault(str(key), []).append(columns)
+        if str(key) in self.relations:
+            self.noted(key, self.relations[str(key)])
 
     def create_view(self, name: str, sql: str, materialized: bool = False) -> None:
+        if not NAME.match(name):
+            raise PlanError(f"bad name {name!r} of a view")
         if materialized:
             self.spark.sql(sql).write.mode("overwrite").saveAsTable(f"{self.database}.{name}")
         else:
@@ -164,11 +215,13 @@ class Engine:
         if distribution:
             df = self.distributed(df, distribution)
         self.write(key, df, overwrite, distribution)
-        return self.read(key).count()
+        return self.describe(key)["count"]
 
     def export(self, key, fmt: str = "csv") -> Iterator[str]:
         """Lines of csv, tsv or a JSON array; rows stream through the driver."""
-        df = self.read(key)
+        yield from self.lines(self.read(key), fmt)
+
+    def lines(self, df: DataFrame, fmt: str = "csv") -> Iterator[str]:
         if fmt == "json":
             yield "["
             for i, r in enumerate(df.toJSON().toLocalIterator()):
@@ -189,12 +242,19 @@ class Engine:
     # functions
 
     def register_function(self, name: str, f, output: str, multi: bool = False, kind: str = "scalar") -> None:
-        """A Python callable (never pickled bytes), or SQL text, as a function of columns."""
+        """A Python callable (never pickled bytes), or SQL text, as a function of columns.
+
+        An aggregate takes a series for each column, and gives the group's value.
+        Only those in SQL are kept in the catalog's folder.
+        """
+        if not NAME.match(name):
+            raise PlanError(f"bad name {name!r} of a function")
         if isinstance(f, str):
             self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{f}")
             self.functions[name] = lambda *cs: F.call_function(name, *cs)
+            self.store.put("functions", name, {"sql": f, "output": output})
         elif kind == "aggregate":
-            self.functions[name] = F.pandas_udf(f, output)
+            self.functions[name] = F.pandas_udf(f, output, F.PandasUDFType.GROUPED_AGG)
         else:
             self.functions[name] = F.udf(f, f"array<{output}>" if multi else output, useArrow=True)
 
@@ -241,6 +301,7 @@ class Engine:
             raise
         finally:
             entry |= {"finish": time.time(), "temp": run.temp}
+            self.store.put("queries", str(n), {k: entry.get(k) for k in ("id", "rawQuery", "status", "message", "start", "finish", "globals", "plans")})
 
     def status(self, n: int) -> dict:
         return self.log[n]
@@ -256,23 +317,39 @@ class Engine:
 
     def profile(self, n: int) -> DataFrame:
         """What the roots of a profiled query took, in nanoseconds, and the rows that they kept where those are known."""
-        return self.read(PROFILE).where(F.col("queryId") == n)
+        began = int(self.log[n]["start"] * 1e9)  # an engine before this one may have used the number
+        return self.read(PROFILE).where((F.col("queryId") == n) & (F.col("startTime") >= began))
 
     def histogram(self, n: int, step: int) -> DataFrame:
         """(opId, bucket, active): in which spans of ``step`` nanoseconds each root was at work."""
         first = F.floor(F.col("startTime") / step)
         return self.profile(n).select("subQueryId", "opId", F.explode(F.sequence(first, F.floor(F.col("endTime") / step))).alias("bucket")).groupBy("opId", "bucket").agg(F.count("*").alias("active"))
 
+    def span(self, n: int) -> DataFrame:
+        """(startTime, endTime) of a profiled query."""
+        return self.profile(n).agg(F.min("startTime").alias("startTime"), F.max("endTime").alias("endTime"))
+
+    def contribution(self, n: int) -> DataFrame:
+        """(opId, nanoTime): how long each root of a profiled query was at work."""
+        return self.profile(n).groupBy("opId").agg(F.sum(F.col("endTime") - F.col("startTime")).alias("nanoTime"))
+
+    def operator_log(self, n: int, start: int = 0, end: int = (1 << 63) - 1, least: int = 0) -> DataFrame:
+        """The spans of a profiled query's roots that touch a time and last ``least`` nanoseconds, in order."""
+        return self.profile(n).where((F.col("endTime") >= start) & (F.col("startTime") <= end) & (F.col("endTime") - F.col("startTime") >= least)).select("opId", "startTime", "endTime", "numTuples").orderBy("startTime")
+
     def cancel(self, n: int) -> None:
         self.spark.sparkContext.cancelJobGroup(f"quernel-{n}")
         self.log[n]["status"] = "KILLED"
 
     def catalog(self) -> None:
         """Views over the catalog, for CatalogScan."""
-        rows = [(q["id"], q["rawQuery"], q["status"]) for q in self.log.values()]
-        self.spark.createDataFrame(rows, "query_id long, raw_query string, status string").createOrReplaceTempView("queries")
-        rows = [tuple(k.split(":")) + (json.dumps(r["distribution"]),) for k, r in self.relations.items()]
-        self.spark.createDataFrame(rows, "user_name string, program_name string, relation_name string, how_distributed string").createOrReplaceTempView("relations")
+        put = lambda rows, schema, name: self.spark.createDataFrame(rows, schema).createOrReplaceTempView(name)
+        put([(q["id"], q["rawQuery"], q["status"], q.get("start"), q.get("finish"), q.get("message")) for q in self.log.values()], "query_id long, raw_query string, status string, start_time double, finish_time double, message string", "queries")
+        put([(n, p["subquery"], p["opType"], p["text"]) for n, q in self.log.items() for p in q["plans"]], "query_id long, subquery_id int, op_type string, plan string", "query_plans")
+        relations = [(*k.split(":"), r) for k, r in self.relations.items()]
+        put([(u, p, n, json.dumps(r["distribution"]), r.get("query"), r.get("count")) for u, p, n, r in relations], "user_name string, program_name string, relation_name string, how_distributed string, query_id long, num_tuples long", "relations")
+        put([(u, p, n, i, c, t, i in places(self.indexes.get(f"{u}:{p}:{n}", []))) for u, p, n, r in relations for i, (c, t) in enumerate(zip(r["schema"].names, r["schema"].types, strict=True))], "user_name string, program_name string, relation_name string, col_index int, col_name string, col_type string, is_indexed boolean", "relation_schema")
+        put([(n,) for n in self.functions], "function_name string", "registered_functions")
 
     # readers
 
@@ -282,14 +359,12 @@ class Engine:
         if kind == "Empty":
             return self.spark.createDataFrame([], schema.spark)
         path = source.get("filename") or source.get("uri") or source.get("s3Uri")
+        options = (reader.get("delimiter") or ",", reader.get("quote") or '"', reader.get("escape"), reader.get("skip") or 0)
         if kind == "Bytes":
-            # the bytes came with the plan; their lines go to the executors as a table
-            lines = [(x,) for x in base64.b64decode(source["bytes"]).decode().splitlines()[reader.get("skip") or 0 :]]
-            parsed = F.from_csv("value", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.spark), {"sep": reader.get("delimiter") or ",", "mode": "FAILFAST"})
-            return self.spark.createDataFrame(lines, "value string").select(parsed.alias("r")).select("r.*")
+            return formats.csv_bytes(self.spark, base64.b64decode(source["bytes"]), schema, *options)
         path = path.replace("s3://", "s3a://", 1)
         if reader["readerType"] == "CSV":
-            return formats.read_csv(self.spark, path, schema, reader.get("delimiter") or ",", reader.get("quote") or '"', reader.get("escape"), reader.get("skip") or 0)
+            return formats.read_csv(self.spark, path, schema, *options)
         if reader["readerType"] == "Binary":
             return formats.binary_rows(self.spark, path, schema, bool(reader.get("isLittleEndian")))
         raise PlanError(f"unknown reader {reader['readerType']!r}")
@@ -298,7 +373,36 @@ class Engine:
         f = f or {"type": "RoundRobin"}
         columns = f.get("indexes") or f.get("index")
         columns = [columns] if isinstance(columns, int) else columns
-        return rel.distribute(df, f["type"], f.get("numPartitions"), columns) if f["type"] in ("Hash", "RoundRobin") else df
+        return rel.distribute(df, f["type"], f.get("numPartitions"), columns) if f["type"] in ("Hash", "RoundRobin", "Identity", "Broadcast", "Single") else df
+
+
+def places(indexes) -> set[int]:
+    """The columns that any of the indexes, however nested, has."""
+    if isinstance(indexes, list):
+        return set().union(*map(places, indexes))
+    return {indexes["index"] if isinstance(indexes, dict) else indexes}
+
+
+def hashed(distribution: dict | None) -> list:
+    """The columns that a relation is distributed by a hash of."""
+    return list(distribution.get("indexes") or []) if distribution and distribution.get("type") == "Hash" else []
+
+
+class Occurrence(dict):
+    """What a rule reads where it reads a recursive relation for the time ``target``: there what is new.
+
+    At the times before it, the relation with what is new; at those after it,
+    without: so each combination of rows is seen once.  What does not read such a
+    relation is built once and shared.
+    """
+
+    def __init__(self, shared: dict, recursive: set, held, delta: dict, target: int):
+        super().__init__()
+        self.shared, self.recursive, self.held, self.delta, self.target, self.n = shared, recursive, held, delta, target, -1
+
+    def take(self, k) -> DataFrame:
+        self.n += 1
+        return self.delta[k] if self.n == self.target else self.held[k] if self.n < self.target else self.held.old[k]
 
 
 class Run:
@@ -330,14 +434,17 @@ class Run:
         if idbs:
             made |= self.recursion(ops, idbs)
         for op in ops.values():
-            if op["opType"] in ROOTS and op["opType"] not in PRODUCERS and op["opType"] != "EOSController":
+            if op["opType"] in ACTIONS:
+                self.action(op)
+            elif op["opType"] in ROOTS and op["opType"] not in PRODUCERS and op["opType"] != "EOSController":
                 self.root(op, self.build(ops, op["argChild"], made))
 
     def recursion(self, ops: dict, idbs: list[dict]) -> dict:
         """All recursive relations of a subquery, to their common fix-point.
 
-        A rule that reads several of them is taken once for each, with that one's
-        new rows and the others' rows so far.
+        A rule is taken once for each time that it reads one of them, with the new
+        rows there; a round ends for all at once, with ``sync`` or without, which
+        gives the same relations.
         """
         states, initial = {}, {}
         for op in idbs:
@@ -352,13 +459,15 @@ class Run:
             else:
                 states[op["opId"]] = STATES[kind]()
 
+        recursive = {k for k in ops if self.times(ops, k, set(initial))}
+        shared: dict = {}
+
         def rules(held, delta):
+            now = Held({k: self.seen(ops, k, v) for k, v in held.items()}, {k: self.seen(ops, k, v) for k, v in held.old.items()})
             new = {}
             for op in idbs:
-                terms = []
-                for k in initial:
-                    if self.reads(ops, op["argIterationInput"], k):
-                        terms.append(self.build(ops, op["argIterationInput"], {i: delta[i] if i == k else self.seen(ops, i, held[i]) for i in initial}))
+                at = op["argIterationInput"]
+                terms = [self.build(ops, at, Occurrence(shared, recursive, now, delta, i)) for i in range(self.times(ops, at, set(initial)))]
                 if terms:
                     new[op["opId"]] = rel.union_all(*terms).toDF(*initial[op["opId"]].columns)
             return new
@@ -367,9 +476,9 @@ class Run:
         for op in idbs:
             if "relationKey" in op and op["relationKey"]:
                 self.engine.write(op["relationKey"], held[op["opId"]], True, query=self.n)
-        return {k: self.seen(ops, k, v, states) for k, v in held.items()}
+        return {k: self.seen(ops, k, v) for k, v in held.items()}
 
-    def seen(self, ops: dict, k, df: DataFrame, states: dict | None = None) -> DataFrame:
+    def seen(self, ops: dict, k, df: DataFrame) -> DataFrame:
         """What others see of a relation: of a count filter, the keys that have passed."""
         state = ops[k]["argState"]
         if state["type"] == "CountFilter":
@@ -377,10 +486,27 @@ class Run:
             return STATES["CountFilter"](tuple(keys), state["threshold"]).passed(df)
         return df
 
-    def reads(self, ops: dict, at, k) -> bool:
-        if at == k:
-            return True
-        return ops[at]["opType"] != "IDBController" and any(self.reads(ops, c, k) for c in children(ops[at]))
+    def times(self, ops: dict, at, idbs: set) -> int:
+        """How often an operator reads recursive relations, by any way."""
+        if at in idbs:
+            return 1
+        return sum(self.times(ops, c, idbs) for c in children(ops[at]))
+
+    def action(self, op: dict) -> None:
+        e, kind = self.engine, op["opType"]
+        self.entry["plans"].append({"subquery": self.rounds, "opType": kind, "text": json.dumps(op, default=str)})
+        if kind == "DbCreateIndex":
+            e.create_index(op["relationKey"], op["indexes"])
+        elif kind == "DbCreateView":
+            e.create_view(op["viewName"], op["viewDefinition"], bool(op.get("isMaterialized") or op.get("materialized")))
+        elif kind == "DbCreateFunction":
+            if "sql" not in op:
+                raise PlanError("a function in a plan is SQL; Python functions are registered in the process")
+            e.register_function(op["name"], op["sql"], op["outputType"])
+        elif kind == "DbDelete":
+            e.drop(op["relationKey"])
+        else:
+            e.spark.sql(op["sqlQuery"])
 
     def root(self, op: dict, df: DataFrame) -> None:
         kind, began = op["opType"], time.time_ns()
@@ -404,18 +530,40 @@ class Run:
         elif kind == "EmptySink":
             self.entry["count"] = (df.limit(op["argLimit"]) if op.get("argLimit") else df).count()
         elif kind == "TupleSink":
-            sink, writer = op.get("dataSink") or {}, (op.get("tupleWriter") or {}).get("writerType", "CSV")
+            sink, writer = op.get("dataSink") or {}, (op.get("tupleWriter") or {}).get("writerType", "CSV").upper()
+            fmt = "json" if "JSON" in writer else "tsv" if "TSV" in writer else "csv"
+            if sink.get("dataType") == "Bytes":
+                self.entry["bytes"] = self.text(df, fmt)
+                return
+            if sink.get("dataType") == "Pipe":  # read by who asked for it, a row at a time
+                self.entry["pipe"] = self.engine.lines(cut(df), fmt)
+                return
             path = (sink.get("uri") or sink.get("filename") or "").replace("s3://", "s3a://", 1)
             if not path:
                 raise PlanError("a sink needs a path")
-            out = df.write.mode("overwrite")
-            if "POSTGRES" in writer.upper():
+            if "POSTGRES" in writer:
                 formats.write_copy(df, path)
                 return
-            (out.json(path) if "JSON" in writer.upper() else out.option("header", True).csv(path, sep="\t" if "TSV" in writer.upper() else ","))
+            out = df.write.mode("overwrite")
+            (out.json(path) if fmt == "json" else out.option("header", True).csv(path, sep="\t" if fmt == "tsv" else ","))
+
+    def text(self, df: DataFrame, fmt: str) -> bytes:
+        """The rows as text in memory, up to ``TEXT`` bytes; more raise."""
+        out = bytearray()
+        for line in self.engine.lines(df, fmt):
+            out += line.encode() + b"\n"
+            if len(out) > TEXT:
+                raise PlanError(f"more than {TEXT} bytes; use a path or a pipe")
+        return bytes(out)
 
     def build(self, ops: dict, at, made: dict) -> DataFrame:
         """The DataFrame of an operator; each is built once."""
+        if isinstance(made, Occurrence):
+            if at in made.delta:
+                return made.take(at)
+            if at in made.recursive:
+                return self.operator(ops, ops[at], made)
+            made = made.shared
         if at not in made:
             made[at] = self.operator(ops, ops[at], made)
         return made[at]
@@ -426,7 +574,9 @@ class Run:
         if kind in CONSUMERS:
             return get("argOperatorId")
         if kind in PRODUCERS:
-            return e.distributed(get("argChild"), op["distributeFunction"]) if kind == "ShuffleProducer" and op.get("distributeFunction", {}).get("type") == "Hash" else get("argChild")
+            if kind == "BroadcastProducer":
+                return rel.small(get("argChild"))
+            return e.distributed(get("argChild"), op["distributeFunction"]) if kind == "ShuffleProducer" and op.get("distributeFunction") else get("argChild")
         if kind == "TableScan":
             return e.read(op["relationKey"])
         if kind == "TempTableScan":
@@ -474,7 +624,7 @@ class Run:
             classes = [[tuple(p) for p in c] for c in op["joinFieldMapping"]]
             return rel.multiway_join([self.build(ops, c, made) for c in op["argChildren"]], classes, [tuple(p) for p in op["outputFieldMapping"]], op.get("argColumnNames"))
         if kind == "Aggregate":
-            return rel.aggregate(get("argChild"), op["argGroupFields"], op["aggregators"], bool(op.get("emptyCompat")))
+            return rel.aggregate(get("argChild"), op["argGroupFields"], op["aggregators"], bool(op.get("emptyCompat")), e.functions)
         if kind == "InMemoryOrderBy":
             return rel.order_by(get("argChild"), op["argSortColumns"], op["argAscending"])
         if kind == "Merge":
@@ -489,8 +639,6 @@ class Run:
         if kind == "SamplingDistribution":
             return rel.sampling_distribution(get("argChild"), op.get("sampleSize"), op.get("samplePercentage"), op["sampleType"] == "WithReplacement", op.get("randomSeed") or 0)
         if kind == "Sample":
-            total = get("argChild1").agg(F.sum("SampleSize"), F.max("SampleType")).first()
-            draw = rel.sample_with_replacement if total[1] == "WithReplacement" else rel.sample_exact
-            return draw(get("argChild2"), int(total[0] or 0), op.get("randomSeed") or 0)
+            return rel.sample_workers(get("argChild2"), get("argChild1"), op.get("randomSeed") or 0)
         raise PlanError(f"{kind} can't stand here")
 

@@ -28,8 +28,15 @@ def described(about: dict) -> dict:
     return {k: v for k, v in about.items() if k != "schema"} | {"schema": {"columnTypes": schema.types, "columnNames": schema.names}}
 
 
-def rows(df) -> list[dict]:
-    return [json.loads(r) for r in df.toJSON().collect()]
+def rows(df):
+    """A JSON array, a row at a time."""
+    def lines():
+        yield "["
+        for i, r in enumerate(df.toJSON().toLocalIterator()):
+            yield ("," if i else "") + r
+        yield "]"
+
+    return "application/json", lines()
 
 
 class Service:
@@ -53,15 +60,22 @@ class Service:
             ("DELETE", RELATION, lambda q, b, *p: (200, e.drop(key(*p)))),
             ("GET", RELATION + "/data", lambda q, b, *p: (200, (FORMATS[q.get("format", "csv")], e.export(key(*p), q.get("format", "csv"))))),
             ("PUT", RELATION + "/data", lambda q, b, *p: (200, {"count": e.ingest(key(*p), b["reader"], b["source"], True)})),
-            ("POST", RELATION + "/persist", lambda q, b, *p: (200, e.persist(key(*p), b["path"]))),
+            ("POST", RELATION + "/persist", lambda q, b, *p: (200, self.persist(key(*p), b["path"]))),
             ("POST", r"/dataset", lambda q, b: (201, {"count": e.ingest(b["relationKey"], b["reader"], b["source"], bool(b.get("overwrite")), b.get("distributeFunction"))})),
             ("POST", r"/dataset/addDatasetToCatalog", lambda q, b: (201, e.register_existing(b["relationKey"]))),
             ("POST", r"/dataset/createIndex", lambda q, b: (201, e.create_index(b["relationKey"], b["indexes"]))),
             ("POST", r"/dataset/createView", lambda q, b: (201, e.create_view(b["viewName"], b["viewDefinition"], bool(b.get("materialized"))))),
+            ("POST", r"/dataset/parallelIngest", lambda q, b: (201, {"count": e.ingest(b["relationKey"], b["reader"] if "reader" in b else {"readerType": "CSV", "schema": b["schema"], **{k: b[k] for k in ("delimiter", "quote", "escape") if k in b}, "skip": b.get("numberOfSkippedLines") or 0}, b.get("source") or b["s3Source"], bool(b.get("overwrite")), b.get("distributeFunction"))})),
+            ("POST", r"/dataset/tipsy", lambda q, b: (201, {"count": self.tipsy(b)})),
+            ("GET", r"/function/(\w+)", lambda q, b, n: (200, {"name": n, "registered": True} if n in e.functions else self.absent(n))),
             ("GET", r"/function", lambda q, b: (200, sorted(e.functions))),
             ("POST", r"/function", lambda q, b: (201, self.function(b))),
             ("GET", r"/logs/profiling", lambda q, b: (200, rows(e.profile(int(q["queryId"]))))),
             ("GET", r"/logs/histogram", lambda q, b: (200, rows(e.histogram(int(q["queryId"]), int(q.get("step", 10**9)))))),
+            ("GET", r"/logs/range", lambda q, b: (200, rows(e.span(int(q["queryId"]))))),
+            ("GET", r"/logs/contribution", lambda q, b: (200, rows(e.contribution(int(q["queryId"]))))),
+            ("GET", r"/logs/operators", lambda q, b: (200, rows(e.operator_log(int(q["queryId"]), int(q.get("start", 0)), int(q.get("end", (1 << 63) - 1)), int(q.get("minLength", 0)))))),
+            ("GET", r"/workers", lambda q, b: (200, self.workers())),
             ("GET", r"/server", lambda q, b: (200, {"spark": e.spark.version, "master": e.spark.sparkContext.master})),
         ]
 
@@ -71,6 +85,28 @@ class Service:
             raise PlanError("a name and the SQL text of a function are needed")
         self.engine.register_function(body["name"], body["sql"], body.get("outputType", ""))
 
+    def absent(self, name: str):
+        raise KeyError(name)
+
+    def persist(self, key: str, path: str) -> None:
+        """Only into the folder that the session names in quernel.persistFolder, so that no caller overwrites what it likes."""
+        base = (self.engine.spark.conf.get("quernel.persistFolder", None) or "").rstrip("/")
+        if not base or not path.startswith(base + "/") or ".." in path.split("/"):
+            raise PlanError("relations are persisted below quernel.persistFolder only")
+        self.engine.persist(key, path)
+
+    def tipsy(self, body: dict) -> int:
+        from ..sources import formats
+
+        e = self.engine
+        e.write(body["relationKey"], formats.tipsy(e.spark, body["tipsyFilename"], body["iorderFilename"], body["grpFilename"]), bool(body.get("overwrite")))
+        return e.describe(body["relationKey"])["count"]
+
+    def workers(self) -> dict:
+        """The executors, by place, and how many tasks each can run at once."""
+        sc = self.engine.spark.sparkContext
+        return {str(i): x.host() for i, x in enumerate(sc._jsc.sc().statusTracker().getExecutorInfos())}
+
     def answer(self, method: str, url: str, body):
         at = urlsplit(url)
         query = {k: v[-1] for k, v in parse_qs(at.query).items()}

@@ -154,35 +154,33 @@ def flatmap_ngram(spark, d):
     return rel.apply(df, emit(s_suppkey=var(df, "s_suppkey"), gram=two("NGRAM", var(df, "s_name"), const("LONG_TYPE", 3))))
 
 
-@query("SELECT n_nationkey, i AS at_ FROM nation, generate_series(0, 100) t(i) WHERE i < n_nationkey % 5")
+@query("SELECT o_orderkey, i AS at_ FROM orders, generate_series(0, 4) t(i) WHERE i < o_orderkey % 5")
 def flatmap_sequence(spark, d):
-    df = read(spark, d, "nation")
-    k = var(df, "n_nationkey")
-    return rel.apply(df, emit(n_nationkey=k, at_=one("SEQUENCE", two("MODULO", k, const("INT_TYPE", 5)))))
+    df = read(spark, d, "orders")
+    k = var(df, "o_orderkey")
+    return rel.apply(df, emit(o_orderkey=k, at_=one("SEQUENCE", two("MODULO", k, const("LONG_TYPE", 5)))))
 
 
-@query("SELECT n_nationkey, a AS a, b AS b FROM nation, generate_series(0, 10) s(a), generate_series(0, 10) t(b) WHERE a < n_nationkey % 4 AND b < n_nationkey % 3")
+@query("SELECT c_custkey, a AS a, b AS b FROM customer, generate_series(0, 3) s(a), generate_series(0, 2) t(b) WHERE a < c_custkey % 4 AND b < c_custkey % 3")
 def flatmap_product(spark, d):
-    df = read(spark, d, "nation")
-    k = var(df, "n_nationkey")
-    seq = lambda n: one("SEQUENCE", two("MODULO", k, const("INT_TYPE", n)))
-    return rel.apply(df, emit(n_nationkey=k, a=seq(4), b=seq(3)))
+    df = read(spark, d, "customer")
+    k = var(df, "c_custkey")
+    seq = lambda n: one("SEQUENCE", two("MODULO", k, const("LONG_TYPE", n)))
+    return rel.apply(df, emit(c_custkey=k, a=seq(4), b=seq(3)))
 
 
-@query("SELECT n_nationkey, i AS v, i::INTEGER AS flatmapid FROM nation, generate_series(0, 10) t(i) WHERE i < n_nationkey % 4")
+@query("SELECT p_partkey, substr(p_name, i + 1, 4) AS v, i AS flatmapid FROM (SELECT p_partkey, p_name, unnest(range(0, length(p_name) - 3))::INTEGER AS i FROM part WHERE length(p_name) >= 4)")
 def flatmap_counter(spark, d):
-    df = read(spark, d, "nation")
-    k = var(df, "n_nationkey")
-    return rel.apply(df, emit(n_nationkey=k, v=one("SEQUENCE", two("MODULO", k, const("INT_TYPE", 4)))), counter=True)
+    df = read(spark, d, "part")
+    return rel.apply(df, emit(p_partkey=var(df, "p_partkey"), v=two("NGRAM", var(df, "p_name"), const("LONG_TYPE", 4))), counter=True)
 
 
 # joins
 
 
-@query("SELECT o_orderkey, o_custkey, l_partkey, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderpriority LIKE '1%'")
+@query("SELECT o_orderkey, o_custkey, l_partkey, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def join_inner(spark, d):
-    o = read(spark, d, "orders").where("o_orderpriority like '1%'")
-    return rel.join(o, read(spark, d, "lineitem"), ["o_orderkey"], ["l_orderkey"], ["o_orderkey", "o_custkey"], ["l_partkey", "l_quantity"])
+    return rel.join(read(spark, d, "orders"), read(spark, d, "lineitem"), ["o_orderkey"], ["l_orderkey"], ["o_orderkey", "o_custkey"], ["l_partkey", "l_quantity"])
 
 
 @query("SELECT a.o_orderkey AS k1, b.o_orderkey AS k2 FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority WHERE a.o_orderkey < b.o_orderkey")
@@ -279,12 +277,12 @@ def agg_empty_count(spark, d):
     return rel.aggregate(read(spark, d, "orders").where("false"), [], [{"type": "Primitive", "column": 0, "aggOps": ["COUNT"]}], empty_compat=True)
 
 
-@query("SELECT n_regionkey, count(*) AS n, sum(n_nationkey * n_nationkey)::BIGINT AS squares FROM nation GROUP BY 1")
+@query("SELECT l_suppkey, count(*) AS n, sum(l_partkey * l_partkey)::BIGINT AS squares FROM lineitem GROUP BY 1")
 def uda_sum_squares(spark, d):
-    df = read(spark, d, "nation")
-    k, s = two("CAST", var(df, "n_nationkey"), {"type": "TYPE", "outputType": "LONG_TYPE"}), lambda i: {"type": "STATE", "columnIdx": i}
+    df = read(spark, d, "lineitem")
+    k, s = two("CAST", var(df, "l_partkey"), {"type": "TYPE", "outputType": "LONG_TYPE"}), lambda i: {"type": "STATE", "columnIdx": i}
     zero = const("LONG_TYPE", 0)
-    return rel.aggregate(df, ["n_regionkey"], [{"type": "UserDefined", "initializers": emit(n=zero, q=zero), "updaters": emit(n=two("PLUS", s(0), const("LONG_TYPE", 1)), q=two("PLUS", s(1), two("TIMES", k, k))), "emitters": emit(n=s(0), squares=s(1))}])
+    return rel.aggregate(df, ["l_suppkey"], [{"type": "UserDefined", "initializers": emit(n=zero, q=zero), "updaters": emit(n=two("PLUS", s(0), const("LONG_TYPE", 1)), q=two("PLUS", s(1), two("TIMES", k, k))), "emitters": emit(n=s(0), squares=s(1))}])
 
 
 # sets and order
@@ -295,9 +293,11 @@ def union_all(spark, d):
     return rel.union_all(read(spark, d, "customer").select(F.col("c_nationkey").alias("k")), read(spark, d, "supplier").select("s_nationkey"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 250000")
+@query("SELECT l_orderkey AS k FROM lineitem EXCEPT SELECT l_partkey FROM lineitem")
 def difference(spark, d):
-    return rel.difference(read(spark, d, "customer").select(F.col("c_custkey").alias("k")), read(spark, d, "orders").where("o_totalprice > 250000").select("o_custkey"))
+    """Order keys, each once, that are no part's."""
+    li = read(spark, d, "lineitem")
+    return rel.difference(li.select(F.col("l_orderkey").alias("k")), li.select("l_partkey"))
 
 
 @query("SELECT DISTINCT o_custkey, o_orderstatus FROM orders")
@@ -310,9 +310,11 @@ def order_limit(spark, d):
     return rel.limit(rel.order_by(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), [1, 0], [False, True]), 25)
 
 
-@query("SELECT c_custkey AS k FROM customer UNION ALL SELECT s_suppkey FROM supplier")
+@query("SELECT k, row_number() OVER (ORDER BY k) - 1 AS place FROM (SELECT c_custkey AS k FROM customer UNION ALL SELECT s_suppkey FROM supplier)")
 def merge_sorted(spark, d):
-    return rel.merge([read(spark, d, "customer").select(F.col("c_custkey").alias("k")), read(spark, d, "supplier").select("s_suppkey")], [0])
+    """Both tables in one order, with the place at which each row comes."""
+    merged = rel.merge([read(spark, d, "customer").select(F.col("c_custkey").alias("k")), read(spark, d, "supplier").select("s_suppkey")], [0])
+    return rel.counter(merged.withColumn("at", F.monotonically_increasing_id()), "place", ["at"]).select("k", "place")
 
 
 # scans with a state
@@ -337,6 +339,15 @@ def stateful_scan(spark, d):
     return rounded(out)
 
 
+@query("SELECT event_id, i - max(CASE WHEN event_type = 'purchase' THEN i ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i) AS since FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)")
+def stateful_since(spark, d):
+    """How many events of a user lie after the last purchase: a state that no running aggregate gives."""
+    df = read(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
+    s = {"type": "STATE", "columnIdx": 0}
+    step = three("CONDITION", two("EQ", var(df, "event_type"), const("STRING_TYPE", "purchase")), const("LONG_TYPE", 0), two("PLUS", s, const("LONG_TYPE", 1)))
+    return rel.stateful_apply(df, ["user_id"], ["ts", "event_id"], emit(n=const("LONG_TYPE", 0)), emit(n=step), emit(event_id=var(df, "event_id"), since=s))
+
+
 @query("SELECT event_id, e.user_id, round(value, 4) AS value FROM events e JOIN (SELECT user_id, avg(value) AS m, stddev_pop(value) AS s FROM events GROUP BY 1) g ON e.user_id = g.user_id WHERE value BETWEEN m - 1.5 * s AND m + 1.5 * s")
 def sigma_clip(spark, d):
     e = read(spark, d, "events")
@@ -398,11 +409,15 @@ def same_generation(spark, d):
     return fixpoint({"sg": start}, {"sg": DupElim()}, step)["sg"]
 
 
-@query("SELECT l_partkey AS x FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) >= 26")
+@query("WITH RECURSIVE e AS (SELECT DISTINCT a, b FROM (SELECT (c_custkey + 1) // 10 AS a, c_custkey + 1 AS b FROM customer UNION SELECT (c_custkey + 1) // 9, c_custkey + 1 FROM customer) WHERE b >= 50), f(b) AS (SELECT b FROM e GROUP BY b HAVING count(*) < 2 UNION SELECT e.b FROM f JOIN e ON f.b = e.a) SELECT i AS x FROM generate_series(0, 49) t(i) UNION ALL SELECT DISTINCT b FROM e WHERE b NOT IN (SELECT b FROM f)")
 def count_filter(spark, d):
-    e = read(spark, d, "lineitem").selectExpr("l_partkey x", "l_suppkey y").distinct()
-    state = CountFilter(("x",), 26)
-    return state.passed(state.first(e))
+    """Nodes of which two different parents are in; those under 50 are to begin with."""
+    c = read(spark, d, "customer").selectExpr("c_custkey + 1 b")
+    e = cut(c.selectExpr("b div 10 a", "b").union(c.selectExpr("b div 9", "b")).distinct().where("b >= 50"))
+    start = spark.range(50).selectExpr("id x", "explode(array(-1L, -2L)) p")
+    state = CountFilter(("x",), 2)
+    held = fixpoint({"in": start}, {"in": state}, lambda held, delta: {"in": rel.join(delta["in"], e, ["x"], ["a"], ["x"], ["b"], ["p", "x"]).select("x", "p")})
+    return state.passed(held["in"])
 
 
 @query("WITH RECURSIVE t(n, v) AS (SELECT 1, 2::BIGINT UNION ALL SELECT n + 1, v * 2 FROM t WHERE v * 2 < 5000) SELECT max(v) AS v FROM t")
@@ -414,19 +429,32 @@ def do_while_pow2(spark, d):
 # samples and distribution
 
 
-@query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS different FROM (SELECT * FROM orders LIMIT 200)")
+@query("SELECT 200::BIGINT AS n, 200::BIGINT AS different, 200::BIGINT AS known, true AS differs FROM (SELECT count(*) FROM orders)")
 def sample_without_replacement(spark, d):
-    return rel.sample_exact(read(spark, d, "orders"), 200, 7).agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("different"))
+    """Two hundred different rows, all of them of the table, and others with another seed."""
+    o = read(spark, d, "orders")
+    a, b = (cut(rel.sample_exact(o, 200, seed)) for seed in (7, 8))
+    found = a.agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("different"))
+    known = a.join(o, o.columns, "left_semi").agg(F.count("*").alias("known"))
+    other = b.join(a, ["o_orderkey"], "left_anti").agg((F.count("*") > 50).alias("differs"))
+    return found.join(known, F.lit(True)).join(other, F.lit(True))
 
 
-@query("SELECT 300::BIGINT AS n")
+@query("SELECT 3000::BIGINT AS n, 3000::BIGINT AS known, true AS repeated FROM (SELECT count(*) FROM nation)")
 def sample_with_replacement(spark, d):
-    return rel.sample_with_replacement(read(spark, d, "customer").select("c_custkey"), 300, 3).agg(F.count("*").alias("n"))
+    n = read(spark, d, "nation").select("n_nationkey", "n_name")
+    drawn = cut(rel.sample_with_replacement(n, 3000, 3))
+    known = drawn.join(n, n.columns, "left_semi").agg(F.count("*").alias("known"))
+    # 25 rows, of which each is drawn 120 times or about so
+    spread = drawn.groupBy("n_nationkey").count().agg(F.sum("count").alias("n"), ((F.min("count") > 60) & (F.max("count") < 180) & (F.count("*") == 25)).alias("repeated"))
+    return spread.join(known, F.lit(True))
 
 
-@query("SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS total FROM orders")
+@query("SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS total, count(DISTINCT o_custkey) AS places, 7::BIGINT AS used FROM orders")
 def hash_partition_counts(spark, d):
-    return rel.distribute(read(spark, d, "orders"), "Hash", 7, ["o_custkey"]).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("total"))
+    """Every key lies in one partition, and all partitions are used."""
+    dealt = rel.distribute(read(spark, d, "orders"), "Hash", 7, ["o_custkey"]).select("o_custkey", "o_orderkey", F.spark_partition_id().alias("p"))
+    return dealt.agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("total"), F.count_distinct("o_custkey", "p").alias("places"), F.count_distinct("p").alias("used"))
 
 
 # what Spark offers beyond: outer, semi and anti joins, intersection, cubes, windows in time
@@ -437,9 +465,9 @@ def join_left(spark, d):
     return rel.join(read(spark, d, "customer"), read(spark, d, "orders"), ["c_custkey"], ["o_custkey"], ["c_custkey"], ["o_orderkey"], how="left")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
 def join_anti(spark, d):
-    return rel.join(read(spark, d, "customer"), read(spark, d, "orders").where("o_totalprice > 100000"), ["c_custkey"], ["o_custkey"], ["c_custkey"], [], how="left_anti")
+    return rel.join(read(spark, d, "customer"), read(spark, d, "supplier"), ["c_custkey"], ["s_suppkey"], ["c_custkey"], [], how="left_anti")
 
 
 @query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
