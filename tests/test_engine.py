@@ -153,6 +153,179 @@ def test_plans(spark):
     assert "public:test:e" not in e.list()
 
 
+def test_recursion_that_reads_its_relation_twice(spark):
+    e = Engine(spark)
+    schema = {"columnTypes": ["LONG_TYPE", "LONG_TYPE"], "columnNames": ["a", "b"]}
+    pairs = [(i, i + 1) for i in range(6)]
+    e.ingest(key("chain"), {"readerType": "CSV", "schema": schema}, {"dataType": "Bytes", "bytes": base64.b64encode("".join(f"{a},{b}\n" for a, b in pairs).encode()).decode()})
+    join = {"opType": "SymmetricHashJoin", "opId": 5, "argChild1": 3, "argChild2": 4, "argColumns1": [1], "argColumns2": [0], "argSelect1": [0], "argSelect2": [1]}
+    reads = [{"opType": "LocalMultiwayConsumer", "opId": i, "argOperatorId": 2} for i in (3, 4)]
+    plan = lambda state, more=(): sub({"opType": "TableScan", "opId": 0, "relationKey": key("chain")}, {"opType": "IDBController", "opId": 1, "argInitialInput": 0, "argIterationInput": 5, "argEosControllerInput": 6, "argState": state}, {"opType": "LocalMultiwayProducer", "opId": 2, "argChild": 1}, *reads, join, *more, {"opType": "LocalMultiwayConsumer", "opId": 6, "argOperatorId": 2}, {"opType": "EOSController", "opId": 7, "argChild": 6}, {"opType": "TempInsert", "opId": 8, "argChild": 1, "table": "t"})
+    run = lambda *x: sorted(map(tuple, e.status(e.run({"rawQuery": "tc", "logicalRa": "", "plan": plan(*x)}))["temp"]["t"].collect()))
+    assert run({"type": "DupElim"}) == sorted(closure(pairs)) and len(closure(pairs)) == 21
+    # with an appender each way of making a path comes once: a path of n edges is made in Catalan(n - 1) ways
+    ways = {n: math.comb(2 * n - 2, n - 1) // n for n in range(1, 7)}
+    assert run({"type": "SimpleAppender"}) == sorted(p for p in closure(pairs) for _ in range(ways[p[1] - p[0]]))
+
+
+def test_keys_have_tables_of_their_own(spark):
+    keys = [("a__b", "c", "d"), ("a", "b__c", "d"), ("R", "x", "y"), ("r", "x", "y"), ("a_", "_b", "c"), ("a", "__b", "c"), ("a_0", "b", "c"), ("aé1", "b", "c"), ("a_1233z1", "b", "c")]
+    tables = [RelationKey(*k).table for k in keys]
+    assert len({t.lower() for t in tables}) == len(keys) and [RelationKey.of_table(t) for t in tables] == [RelationKey(*k) for k in keys]
+    e = Engine(spark)
+    for i, k in enumerate(keys[:4]):
+        e.write(RelationKey(*k), spark.range(i + 1), True)
+    assert [e.read(RelationKey(*k)).count() for k in keys[:4]] == [1, 2, 3, 4]
+
+
+def test_a_catalog_outlives_its_engine(spark, tmp_path):
+    e = Engine(spark, folder=f"file://{tmp_path}/catalog")
+    by = {"type": "Hash", "indexes": [0]}
+    e.write(key("kept"), spark.range(50).selectExpr("id k", "id % 3 v"), True, by)
+    e.write(key("kept"), spark.range(50, 60).selectExpr("id k", "id % 3 v"))
+    e.create_index(key("kept"), [{"index": 1}])
+    e.register_function("plus_two", "(x BIGINT) RETURNS BIGINT RETURN x + 2", "long")
+    n = e.run({"rawQuery": "look", "logicalRa": "", "fragments": sub({"opType": "TableScan", "opId": 1, "relationKey": key("kept")}, {"opType": "EmptySink", "opId": 2, "argChild": 1})["fragments"]})
+    assert e.describe(key("kept"))["count"] == 60
+    again = Engine(spark, folder=f"file://{tmp_path}/catalog")
+    assert again.list() == e.list() and again.describe(key("kept"))["distribution"] == by and again.describe(key("kept"))["count"] == 60
+    assert again.indexes["public:test:kept"] == [[{"index": 1}]] and "plus_two" in again.functions and again.status(n)["rawQuery"] == "look" and next(again.ids) == n + 1
+    # stored by the hash of its key: a join on it needs no exchange
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = again.read(key("kept")).join(again.read(key("kept")).withColumnRenamed("v", "w"), "k")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 60
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    again.drop(key("kept"))
+    assert Engine(spark, folder=f"file://{tmp_path}/catalog").list() == []
+
+
+def test_states_keep_their_types(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([("x", 1, "b", big), ("x", 2, "a", 5), ("y", 1, "c", None)], "g string, i int, t string, k long")
+    s, v = (lambda i: {"type": "STATE", "columnIdx": i}), (lambda i: {"type": "VARIABLE", "columnIdx": i})
+    kind = {"type": "TYPE", "outputType": "STRING_TYPE"}
+    first = emit(k=const("LONG_TYPE", 0), t=const("STRING_TYPE", ""), n=const("INT_TYPE", 7))
+    step = emit(k=three("CONDITION", two("GT", v(3), s(0)), v(3), s(0)), t=two("CONCAT", s(1), two("CONCAT", v(2), two("CAST", v(1), kind))), n=two("IDIVIDE", two("PLUS", s(2), v(1)), const("INT_TYPE", 2)))
+    spec = {"type": "UserDefined", "initializers": first, "updaters": step, "emitters": emit(k=two("GREATER", s(0), const("LONG_TYPE", 1)), t=s(1), h=one("HASH_MD5", s(0)), n=s(2))}
+    md5 = lambda k: struct.unpack("<q", __import__("hashlib").md5(struct.pack("<q", k)).digest()[:8])[0]
+    want = {("x", big, "b1a2", md5(big), 3), ("y", 1, "c1", md5(0), 4)}
+    assert {tuple(r) for r in rel.aggregate(df, ["g"], [spec]).collect()} == want
+    # the scan through sorted rows gives the same at each key's last row
+    out = rel.stateful_apply(df, ["g"], ["i"], first, step, emit(g=v(0), i=v(1), k=two("GREATER", s(0), const("LONG_TYPE", 1)), t=s(1), h=one("HASH_MD5", s(0)), n=s(2)))
+    assert {(r.g, r.k, r.t, r.h, r.n) for r in out.collect() if (r.g, r.i) != ("x", 1)} == want and dict(out.dtypes)["k"] == "bigint"
+
+
+def test_trees_on_rows_equal_columns(spark):
+    from quernel.functions.rows import Rows
+
+    df = spark.createDataFrame([(5, -3, 2.5, -0.5, "aXb", True), (-7, 2, 1e10, 3.0, "", False), (0, 9, -4.75, 0.0, "é😀x", True), (None, None, None, None, None, None)], "i int, l long, d double, e double, s string, b boolean")
+    v = lambda n: {"type": "VARIABLE", "columnIdx": df.columns.index(n)}
+    kind = lambda t: {"type": "TYPE", "outputType": t}
+    seven, x = const("INT_TYPE", 7), const("STRING_TYPE", "%x%")
+    trees = [two("PLUS", v("i"), v("l")), two("MINUS", v("d"), v("i")), two("TIMES", v("l"), v("l")), two("DIVIDE", v("i"), v("e")), two("IDIVIDE", v("i"), seven), two("MODULO", v("i"), seven), two("MODULO", v("d"), v("l")), one("NEG", v("i")), one("ABS", v("d")), one("CEIL", v("d")), one("FLOOR", v("e")), one("SIN", v("d")), one("TAN", v("e")), one("LOG", v("l")), two("POW", v("d"), const("DOUBLE_TYPE", 2)), two("GREATER", v("i"), v("d")), two("LESSER", v("l"), v("i")), two("EQ", v("i"), v("l")), two("LTEQ", v("d"), v("e")), two("AND", v("b"), two("GT", v("i"), v("l"))), two("OR", v("b"), two("GT", v("i"), v("l"))), one("NOT", v("b")), three("CONDITION", v("b"), v("i"), v("d")), two("CAST", v("d"), kind("LONG_TYPE")), two("CAST", v("i"), kind("STRING_TYPE")), two("CAST", v("i"), kind("FLOAT_TYPE")), two("CAST", v("l"), kind("BOOLEAN_TYPE")), two("CONCAT", v("s"), v("s")), one("LEN", v("s")), one("UPPER", v("s")), two("LIKE", v("s"), x), two("LIKE", v("s"), v("s")), one("HASH_MD5", v("s")), one("HASH_MD5", v("i")), one("SQRT", v("l"))]
+    compiler = Compiler(df)
+    columns = df.select(*[compiler(t).alias(f"c{i}") for i, t in enumerate(trees)]).collect()
+    for row, want in zip(df.collect(), columns, strict=True):
+        for t, w in zip(trees, want, strict=True):
+            got = Rows(compiler)(t)(tuple(row), ())
+            assert got == w or got is None and w is None or isinstance(w, float) and (math.isnan(w) and math.isnan(got) or math.isclose(got, w, rel_tol=1e-12)), (t, row, got, w)
+    for bad in (two("PLUS", const("INT_TYPE", 2**31 - 1), seven), two("CAST", const("STRING_TYPE", "1x"), kind("INT_TYPE"))):
+        with pytest.raises((OverflowError, ValueError)):
+            Rows(compiler)(bad)((), ())
+
+
+def test_a_scan_is_linear_in_its_rows(spark):
+    """A million rows of one partition, by a state that no running aggregate gives, against SQL."""
+    import time
+
+    df = spark.range(1_000_000).selectExpr("id", "id * 7919 % 1000003 as x")
+    s = {"type": "STATE", "columnIdx": 0}
+    step = three("CONDITION", two("EQ", two("MODULO", {"type": "VARIABLE", "columnIdx": 1}, const("LONG_TYPE", 100)), const("LONG_TYPE", 0)), const("LONG_TYPE", 0), two("PLUS", s, const("LONG_TYPE", 1)))
+    began = time.time()
+    got = rel.stateful_apply(df, [], ["id"], emit(n=const("LONG_TYPE", 0)), emit(n=step), emit(n=s)).agg(F.sum("n"), F.max("n"), F.count("*")).first()
+    assert time.time() - began < 60
+    import duckdb
+
+    want = duckdb.sql("select sum(n), max(n), count(*) from (select i + 1 - max(case when x % 100 = 0 then i + 1 else 0 end) over (order by i) as n from (select i, i * 7919 % 1000003 as x from range(1000000) t(i)))").fetchall()[0]
+    assert tuple(got) == tuple(map(int, want))
+
+
+def test_delimited_text_in_every_way(spark, tmp_path):
+    e, s = Engine(spark), Schema(("INT_TYPE", "STRING_TYPE"), ("i", "s"))
+    text = "h\n1,'a|'b'\n2,'x\u2028y\x0cz'\n"
+    want = [(1, "a'b"), (2, "x\u2028y\x0cz")]
+    for skip in (1, 2, 3):
+        p = tmp_path / f"{skip}.csv"
+        p.write_text("h\n" * (skip - 1) + text)
+        assert sorted(map(tuple, formats.read_csv(spark, str(p), s, quote="'", escape="|", skip=skip).collect())) == want
+        reader = {"readerType": "CSV", "schema": {"columnTypes": s.types, "columnNames": s.names}, "quote": "'", "escape": "|", "skip": skip}
+        source = {"dataType": "Bytes", "bytes": base64.b64encode(p.read_bytes()).decode()}
+        assert sorted(map(tuple, e.source(reader, source).collect())) == want
+    lines = {"dataType": "Bytes", "bytes": base64.b64encode(b'1,"a\nb"\r\n2,"c ""d""\n"\n').decode()}
+    assert formats.records('1,"a\nb"\r\n2,c\n\n3,d') == ['1,"a\nb"', "2,c", "", "3,d"]
+    assert sorted(map(tuple, e.source({"readerType": "CSV", "schema": {"columnTypes": s.types, "columnNames": s.names}, "escape": '"'}, lines).collect())) == [(1, "a\nb"), (2, 'c "d"\n')]
+    with pytest.raises(Exception):  # noqa: B017
+        e.source({"readerType": "CSV", "schema": {"columnTypes": s.types}}, {"dataType": "Bytes", "bytes": base64.b64encode(b"1,a,2").decode()}).collect()
+
+
+def test_sinks_in_memory_and_profiles(spark):
+    e = Engine(spark)
+    data = {"dataType": "Bytes", "bytes": base64.b64encode(b"1\n2\n").decode()}
+    scan = {"opType": "TupleSource", "opId": 1, "reader": {"readerType": "CSV", "schema": {"columnTypes": ["INT_TYPE"], "columnNames": ["a"]}}, "source": data}
+    for kind in ("Bytes", "Pipe"):
+        n = e.run({"rawQuery": "sink", "logicalRa": "", "profilingMode": ["QUERY"], "fragments": sub(scan, {"opType": "TupleSink", "opId": 2, "argChild": 1, "dataSink": {"dataType": kind}, "tupleWriter": {"writerType": "CSV"}})["fragments"]})
+        q = e.status(n)
+        assert (q["bytes"].decode().split() if kind == "Bytes" else list(q["pipe"])) == ["a", "1", "2"]
+    assert e.span(n).count() == 1 and e.contribution(n).first().nanoTime > 0 and [r.opId for r in e.operator_log(n).collect()] == ["2"] and e.operator_log(n, least=10**15).count() == 0
+    for ops in ([{"opType": "DbCreateView", "opId": 1, "viewName": "bad name", "viewDefinition": "SELECT 1"}], [{"opType": "DbCreateFunction", "opId": 1, "name": "f", "outputType": "INT_TYPE", "binary": "x"}]):
+        with pytest.raises(PlanError):
+            e.run({"rawQuery": "", "logicalRa": "", "fragments": [{"operators": ops}]})
+
+
+def test_samples_of_workers(spark):
+    df = spark.range(100).repartition(2).selectExpr("id % 2 as x")
+    shares = lambda *rows: spark.createDataFrame([(*r, "WithoutReplacement") for r in rows], "WorkerID int, StreamSize int, SampleSize int, SampleType string")
+    assert rel.sample_workers(df, shares((1, 50, 3), (2, 50, 0))).count() == 3
+    again = shares((1, 50, 70), (2, 50, 1)).withColumn("SampleType", F.lit("WithReplacement"))
+    assert rel.sample_workers(df, again).count() == 71
+    for bad in (shares((1, 50, 60), (2, 50, 1)), shares((1, 50, 1), (1, 50, 1)), shares((0, 50, 1)), shares((9, 50, 1))):
+        with pytest.raises(PlanError):
+            rel.sample_workers(df, bad).count()
+    with pytest.raises(PlanError):
+        rel.sampling_distribution(spark.createDataFrame([(1, 4), (1, 6)], "w int, c long"), 3)
+    # equal rows are drawn one by one
+    drawn = [rel.sample_exact(spark.range(40).selectExpr("id % 2 as x"), 10, seed).agg(F.sum("x")).first()[0] for seed in range(6)]
+    assert len(set(drawn)) > 1 and all(0 < n < 10 for n in drawn)
+
+
+def test_readers_in_ranges(spark, tmp_path, monkeypatch):
+    import os
+
+    import numpy as np
+
+    assert formats.NCHILADA.count(",") == 29 and [x.split()[0] for x in formats.NCHILADA.split(", ")][:14] == "iord igasord ESNRate FeMassFrac FeMassFracDot GasDensity HI HeI HeII Metalsdot OxMassFrac OxMassFracdot coolontime den".split()
+    (tmp_path / "ints").write_text("7\n" + "\n".join(str(10 * i) for i in range(7)))
+    assert formats.integers(str(tmp_path / "ints"), 2, 3).tolist() == [20, 30, 40] and formats.integers(str(tmp_path / "ints"), 6, 1).tolist() == [60]
+    with pytest.raises(ValueError):
+        formats.integers(str(tmp_path / "ints"), 5, 3)
+    monkeypatch.setattr(formats, "RANGE", 3)
+    assert [(p.start, p.n, p.before) for p in formats.ranges("p", "k", 7, 10)] == [(0, 3, 10), (3, 3, 13), (6, 1, 16)]
+    for kind in ("gas", "star"):
+        os.makedirs(tmp_path / "n" / kind)
+    head = struct.pack(">idiiii", formats.MAGIC, 0.0, 0, 2, 1, formats.INT_CODE) + bytes(8)
+    (tmp_path / "n" / "gas" / "iord").write_bytes(head + np.array([4, 5], ">i4").tobytes())
+    (tmp_path / "g").write_text("2\n1\n1\n")
+    assert [r.iord for r in formats.nchilada(spark, str(tmp_path / "n"), str(tmp_path / "g")).collect()] == [4, 5]
+    (tmp_path / "n" / "gas" / "den").write_bytes(struct.pack(">idiiii", formats.MAGIC, 0.0, 0, 1, 1, formats.FLOAT_CODE) + bytes(12))
+    with pytest.raises(Exception):  # noqa: B017
+        formats.nchilada(spark, str(tmp_path / "n"), str(tmp_path / "g")).collect()
+    (tmp_path / "b").write_bytes(b"\x00" * 7)
+    with pytest.raises(Exception):  # noqa: B017
+        formats.binary_rows(spark, str(tmp_path / "b"), Schema(("INT_TYPE",))).collect()
+
+
 def test_readers(spark, tmp_path):
     p = tmp_path / "x.csv"
     p.write_text("h1\nh2\n1,a\n2,b\n")
@@ -291,6 +464,8 @@ def test_server(spark):
         assert status == 202 and state["status"] == "SUCCESS"
         assert "Parsed Logical Plan" in ask("GET", f"/query/query-{n}/subquery-1")[0]
         assert [r["numTuples"] for r in ask("GET", f"/logs/profiling?queryId={n}")] == [2] and ask("GET", f"/logs/histogram?queryId={n}")
+        assert ask("GET", f"/logs/range?queryId={n}") and ask("GET", f"/logs/contribution?queryId={n}")[0]["opId"] == "2" and ask("GET", f"/logs/operators?queryId={n}")
+        assert call("GET", "/function/none")[0] == 400 and call("GET", "/workers")[0] == 200 and call("POST", at + "/persist", {"path": "/tmp/quernel_x"})[0] == 400
         assert [q["id"] for q in ask("GET", "/query?q=copy&limit=1")] == [n] and call("GET", "/query/query-99")[0] == 404
         assert call("POST", "/query/validate", {"rawQuery": 1})[0] == 400 and call("GET", "/nothing")[0] == 404 and call("POST", "/function", {"name": "f", "binary": "x"})[0] == 400
         assert call("DELETE", at)[0] == 200 and "public:test:srv" not in ask("GET", "/dataset")
