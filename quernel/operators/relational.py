@@ -5,6 +5,7 @@ Columns are named or given by position.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -505,6 +506,28 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST else df
 
 
+def shares(rows: list[int], variables: list[set[int]], cells: int) -> list[int]:
+    """The dimensions of a cube of at most ``cells`` cells, one for each variable, in which a cell gets the fewest rows.
+
+    ``rows`` are the tables' sizes, ``variables`` those that each table has.  Of
+    equal ones the cube with the more even dimensions is taken.
+    """
+    n, best = 1 + max(set().union(*variables)), None
+
+    def grow(dims: list[int], left: int) -> None:
+        nonlocal best
+        if len(dims) == n:
+            load = sum(r / math.prod(dims[v] for v in vs) for r, vs in zip(rows, variables, strict=True))
+            if best is None or (load, max(dims), dims) < best:
+                best = load, max(dims), dims
+            return
+        for d in range(1, left + 1):
+            grow([*dims, d], left // d)
+
+    grow([], max(1, cells))
+    return best[2]
+
+
 def hypercube(df: DataFrame, dimensions: list[int], hashed: dict[int, str]) -> DataFrame:
     """The rows with ``cell``, once for each cell of the cube to which they belong.
 

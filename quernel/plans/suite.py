@@ -234,9 +234,10 @@ def multiway_triangle(spark, d):
 
 @query("SELECT count(*) AS n " + TRIANGLE)
 def hypercube_triangle(spark, d):
-    """The triangle count, each cell of a 2 x 2 x 2 cube joining by itself."""
-    s, t, r = sides(spark, d)
-    cube = [2, 2, 2]
+    """The triangle count, each cell of a cube joining by itself; the tables' sizes give the cube its dimensions."""
+    s, t, r = map(cut, sides(spark, d))
+    cells = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cube = rel.shares([r.count(), s.count(), t.count()], [{0, 1}, {1, 2}, {2, 0}], min(cells, 512))
     r = rel.hypercube(r.toDF("x", "y"), cube, {0: "x", 1: "y"})
     s = rel.hypercube(s.toDF("y", "z"), cube, {1: "y", 2: "z"})
     t = rel.hypercube(t.toDF("z", "x"), cube, {2: "z", 0: "x"})

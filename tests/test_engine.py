@@ -76,6 +76,7 @@ def test_operators(spark):
     got = rel.sampling_distribution(spark.createDataFrame([(1, 10), (2, 30)], "w int, c int"), percent=50.0).collect()
     assert sum(r.SampleSize for r in got) == 20
     assert rel.hypercube(df, [2, 3], {0: "k"}).count() == 9
+    assert rel.shares([100] * 3, [{0, 1}, {1, 2}, {2, 0}], 64) == [4, 4, 4] and rel.shares([10**6, 10], [{0, 1}, {1, 2}], 12) == [1, 12, 1]
     assert rel.sample_exact(df, 2).count() == 2 and rel.sample_with_replacement(df, 7).count() == 7
     kept, size = rel.reservoir(df.repartition(2), 1)
     assert kept.count() == size.count() and size.agg({"PartitionSize": "sum"}).first()[0] == 3
