@@ -93,10 +93,19 @@ class Workspace:
                 raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
             base = "file://" + tempfile.mkdtemp(prefix="quernel-")
         self.spark, self.root = spark, f"{base.rstrip('/')}/quernel-{uuid.uuid4().hex}"
+        self.paths: list[str] = []
+
+    def place(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        if not self.paths:  # what a result still reads goes as the driver ends
+            system, root = self.place(self.root)
+            system.deleteOnExit(root)
         df.write.parquet(path)
+        self.paths.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._quernel_path = path
         return out
@@ -104,9 +113,18 @@ class Workspace:
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that no later plan reads."""
         for df in frames:
-            if path := getattr(df, "_quernel_path", None):
-                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            if (path := getattr(df, "_quernel_path", None)) in self.paths:
+                self.paths.remove(path)
+                system, at = self.place(path)
+                system.delete(at, True)
+
+    def keep(self, *frames: DataFrame) -> None:
+        """Delete all tables but these, which the result reads."""
+        kept = {getattr(df, "_quernel_path", None) for df in frames}
+        for path in [p for p in self.paths if p not in kept]:
+            self.paths.remove(path)
+            system, at = self.place(path)
+            system.delete(at, True)
 
 
 #: Bytes and rows of a side up to which it is broadcast.

@@ -335,7 +335,7 @@ def groups(documents: DataFrame, work: Workspace, text: str = "text", key: str =
     found = linked.union(alone)
     repeated = some.groupBy("fp", "key").agg(F.count("*").alias("c")).where("c > 1").select("fp", F.col("key").alias("component"), F.lit(True).alias("again"))
     found = work.save(found.join(repeated, ["fp", "component"], "left").withColumn("again", F.coalesce("again", F.lit(False))), "found")
-    work.drop(nodes, members, used, full, tried, more, open_)
+    work.keep(rows, found)
     return rows.select("key", "n", "fp"), found
 
 

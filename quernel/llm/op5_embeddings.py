@@ -303,6 +303,7 @@ def link_components(vectors: DataFrame, vector: str = "embedding", key: str = "v
     known = work.save(known.union(alone), "known")
     least_ = known.groupBy("label").agg(F.min("low").alias("component"))
     known = work.save(known.join(least_, "label").select("node", "n", "component"), "known")
+    work.keep(rows, several, known)
     out = keys_join(rows.select("id", "key", "h"), several.select("h", "node"), "h", "left").select("key", F.coalesce("node", "id").alias("node"))
     out = keys_join(out, known, "node", "left")
     out = out.select(F.col("key").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n").isNull(), F.col("key")).otherwise(F.col("component")).alias("component_id"))
