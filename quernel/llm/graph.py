@@ -20,6 +20,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return near.where(F.col("u") != F.col("v")).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node hangs on one node that hangs on none."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(edges.select("v", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return ends.where("hangs > 1 or hangs + holds > 1").isEmpty()
+
+
 def components(edges: DataFrame, work: Workspace, most: int = 60) -> DataFrame:
     """(node, label): the least node of the component of each node that has an edge.
 
@@ -27,13 +34,11 @@ def components(edges: DataFrame, work: Workspace, most: int = 60) -> DataFrame:
     repeated edges don't matter.  Without edges the result is empty.
     """
     a, b = edges.columns[:2]
-    now = work.save(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
+    first = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    now = work.save(first.distinct(), "edges")
     for _ in range(most):
-        mark = now.agg(F.count("*").alias("n"), F.expr("sum(cast(xxhash64(u, v) as decimal(38, 0)))").alias("h")).first()
-        if mark == seen or not mark.n:
+        if _settled(now):
             break
-        seen = mark
         new = work.save(_star(_star(now, True), False), "edges")
         work.drop(now)
         now = new

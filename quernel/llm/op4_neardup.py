@@ -314,20 +314,33 @@ def groups(documents: DataFrame, work: Workspace, text: str = "text", key: str =
     tried = work.save(stars, "pairs")
     links = confirm(tried, full, per, of, work)
 
-    def named() -> DataFrame:
-        label = components(links, work)
+    def merged_labels(label: DataFrame, more: DataFrame) -> DataFrame:
+        """The labels once more links are known: components of components, so only those that they join are looked at."""
+        if more.isEmpty():
+            return label
+        names = label.select(F.col("node"), F.col("label"))
+        ends = keys_join(more.select(F.col("a").alias("node"), "b"), names, "node", "left").select(F.coalesce("label", "node").alias("a"), F.col("b").alias("node"))
+        ends = keys_join(ends, names, "node", "left").select("a", F.coalesce("label", "node").alias("b"))
+        joined = work.save(components(work.save(ends, "ends"), work).withColumnRenamed("label", "low"), "joined")
+        moved = keys_join(label, joined.select(F.col("node").alias("label"), "low"), "label", "left").select("node", F.coalesce("low", "label").alias("label"))
+        # nodes that had no link before
+        new = joined.join(label.select("node"), "node", "left_anti").select("node", F.col("low").alias("label"))
+        return work.save(moved.union(new), "labels")
+
+    def named(label: DataFrame) -> DataFrame:
         return keys_join(members.drop("a"), label.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
+    label = work.save(components(links, work), "labels")
     both = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = work.save(keys_join(across(named(), "nearest", per, of, work), both, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(confirm(more, full, per, of, work))
-    rows_ = named()
+    more = work.save(keys_join(across(named(label), "nearest", per, of, work), both, ["a", "b"], "left_anti"), "pairs")
+    label = merged_labels(label, confirm(more, full, per, of, work))
+    rows_ = named(label)
     open_ = work.save(across(rows_, "open", per, of, work), "open")
     if not open_.isEmpty():
         some_ = keys_join(rows_, open_, ["bk", "fp"], "left_semi")
         sets_ = keys_join(full, open_.select("fp").distinct(), "fp", "left_semi")
-        links = links.union(work.save(across(some_.join(sets_, "fp"), "links", per, of, work), "links"))
-    label = components(links, work).withColumnRenamed("node", "fp")
+        label = merged_labels(label, work.save(across(some_.join(sets_, "fp"), "links", per, of, work), "links"))
+    label = label.withColumnRenamed("node", "fp")
     linked = label.join(used.select("fp", "rep"), "fp")
     least_key = linked.groupBy("label").agg(F.min("rep").alias("component"))
     linked = linked.join(least_key, "label").select("fp", "component")
