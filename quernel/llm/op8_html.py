@@ -37,10 +37,10 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 #: How far a close looks up, by elements and by levels.
 SCOPE, LEVELS = frozenset("table ul ol dl article section div body html main td th blockquote".split()), 64
 #: How likely a tag makes main text, and words of a class, id or role that do so.
-LIKELY = {"article": 3.0, "main": 3.0, "nav": 0.4, "header": 0.04, "footer": 0.03, "aside": 0.03, "form": 0.02, "fieldset": 0.02, "button": 0.02, "menu": 0.03, "dialog": 0.03}
-MARKED, HIDDEN_, CONTENT = 0.03, 0.01, 1.5
+LIKELY = {"article": 4.0, "main": 4.0, "nav": 0.6, "header": 0.002, "footer": 0.001, "aside": 0.001, "form": 0.001, "fieldset": 0.001, "button": 0.001, "menu": 0.001, "dialog": 0.001}
+MARKED, HIDDEN_, CONTENT = 0.001, 0.001, 2.0
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner|promo\w*|sponsor\w*|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-?header|page-?header|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|comments?|disqus|respon[ds]\w*|reply|replies|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|widget|toolbar|pagination|pager|tags|contentinfo|complementary|dialog|copyright|legal|disclaimer|skip)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner|promo\w*|sponsor\w*|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-?header|page-?header|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|comments?|disqus|respon[ds]\w*|reply|replies|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|widget|toolbar|pagination|pager|tags|contentinfo|complementary|dialog|copyright|legal|disclaimer|skip)(?=$|[\s_-])|(?:^|\s)(?:header|top-?bar|banner|form|aside|cc-window)(?=$|\s)",
     re.IGNORECASE,
 )
 GOOD = re.compile(r"(?:^|[\s_-])(?:content|article|post|entry|story|prose)(?=$|[\s_-])", re.IGNORECASE)
@@ -91,16 +91,23 @@ KEPT = frozenset("class id role hidden style aria-hidden".split())
 
 
 class Paths:
-    """The tag paths of a page: for each its parent, tag, depth, prior, and whether it is seen and in an article."""
+    """The tag paths of a page, tags with their first class: for each its parent, tag, depth, prior, and whether it is seen and in an article."""
 
     def __init__(self):
-        self.known: dict[tuple[int, str], int] = {}
+        self.known: dict[tuple, int] = {}
+        self.names: dict[str, float] = {}
         self.parent, self.tag, self.depth, self.prior, self.seen, self.article = [-1], [""], [0], [1.0], [True], [False]
 
     def child(self, at: int, tag: str, attrs: dict[str, str]) -> int:
         name = f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".strip() if attrs else ""
         hidden = bool(attrs) and ("hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(UNSHOWN.search(attrs.get("style", ""))))
-        label = (at, f"{tag}.{name} {hidden:d}" if name or hidden else tag)
+        if name and tag not in ("html", "body", "article", "main"):
+            if (likely := self.names.get(name)) is None:
+                likely = self.names[name] = MARKED if MARKS.search(name) else CONTENT if GOOD.search(name) else 1.0
+        else:
+            likely = 1.0
+        first = attrs["class"].split(None, 1)[:1] if "class" in attrs else []
+        label = (at, tag, *first, likely, hidden)
         if (k := self.known.get(label)) is not None:
             return k
         k = self.known[label] = len(self.parent)
@@ -115,8 +122,8 @@ class Paths:
             p *= LIKELY[tag]
         if hidden:
             p *= HIDDEN_
-        if name and tag not in ("html", "body", "article", "main"):
-            p *= MARKED if MARKS.search(name) else CONTENT if GOOD.search(name) and not inside else 1.0
+        if likely < 1 or not inside:
+            p *= likely
         self.prior.append(p)
         return k
 

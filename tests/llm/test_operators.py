@@ -695,6 +695,21 @@ def test_html_equals_a_plain_version(spark, sf):
     assert sum(a != op8_html.extract(p, use=False) for a, p in zip(got, pages, strict=True)) > len(pages) / 2  # the ratios decide
 
 
+def test_html_weighs_tags_and_names():
+    one = "Whoever reads on, reads this; it has its marks."
+    long = " ".join([one] * 4)
+    for page, want in [
+        (f"<nav><a href=1>Home</a></nav><article><h1>Tit</h1><p>Short one.</p></article><footer>{long}</footer>", "Tit\nShort one."),
+        (f"<article><h1>T</h1><p>{one}</p><section class='comments'><h2>Comments</h2><div class='comment'><p>{long}</p></div></section></article>", f"T\n{one}"),
+        (f"<div id='header'><h1>Site</h1></div><div class='menu'><ul><li>One</li></ul></div><div id='main'><h1>T</h1><p>{one}</p><p>ok.</p><ul><li>item</li></ul></div><div class='sidebar'><p>{long}</p></div>", f"T\n{one}\nok.\nitem"),
+        (f"<main><h1>T</h1><p>{one}</p><aside><p>{long}</p></aside><figure><figcaption>Cap</figcaption></figure><table><tr><td>a<td>b</table></main><form><p>{long}</p></form>", f"T\n{one}\nCap\na\nb"),
+        (f"<h1>T</h1><p id=p1>{one}</p><p id=p2>No.</p><div class=ad>{one}</div><footer>{one}</footer>", f"T\n{one}\nNo."),
+        (f"<article><h1><a href=x>T</a></h1><p>{one}</p><p><a href=y>All of it linked</a></p></article>", f"T\n{one}\nAll of it linked"),
+        (f"<div class='notice'>{long}</div><div class='content'><p>{one}</p></div><p style='display: none'>{long}</p>", one),
+    ]:
+        assert op8_html.extract(f"<body>{page}</body>") == want
+
+
 def test_html_finds_text_by_ratios_alone():
     body = "".join(f"<p>Sentence {i} is here, long enough, and has its marks; so it reads on.</p>" for i in range(5))
     links = "".join(f"<li><a href={i}>Another page {i}</a></li>" for i in range(30))
