@@ -502,7 +502,7 @@ BROADCAST = 64 << 20
 
 def small(df: DataFrame) -> DataFrame:
     """The rows, marked for a broadcast if they are estimated to be small enough."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= BROADCAST else df
 
 

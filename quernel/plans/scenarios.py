@@ -413,7 +413,7 @@ def limit_rows(spark, d):
 @query("SELECT count(*) AS stream, 50::BIGINT AS sample FROM customer")
 def sampling_shares(spark, d):
     """Fifty rows allotted to the nations by their customers."""
-    counts = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("WorkerID")).agg(F.count("*").cast("int").alias("n"))
+    counts = read(spark, d, "customer").groupBy((F.col("c_nationkey") + 1).alias("WorkerID")).agg(F.count("*").cast("int").alias("n"))
     return rel.sampling_distribution(counts, size=50, seed=9).agg(F.sum("StreamSize").alias("stream"), F.sum("SampleSize").alias("sample"))
 
 
