@@ -3,7 +3,7 @@
 A text is the counts of its byte pairs and of pseudo-terms for repetition, word
 lengths and letter classes, weighted by log term and inverse document frequency.
 A truncated singular value decomposition of a labelled sample gives the latent
-space.  The labelled vectors are broadcast (their number and width are bounded);
+space, by subspace iteration.  The labelled vectors are broadcast (their number and width are bounded);
 each document's cosines with all of them are exact, computed a block of
 documents at a time, and the nearest neighbours vote by similarity.
 """
@@ -65,18 +65,27 @@ def features(raw: bytes) -> np.ndarray:
 
 
 class Model:
-    """The latent space, and the labelled vectors in it."""
+    """The latent space, and the labelled vectors in it.
 
-    def __init__(self, counts: np.ndarray, y: np.ndarray):
+    ``counts``: the sample's features in half precision, a row each; they are
+    weighed a block of rows at a time, so the driver never holds them in full
+    precision.
+    """
+
+    def __init__(self, counts: np.ndarray, y: np.ndarray, block: int = 256):
         self.y = y.astype(np.float32)
         self.base = float(y.mean()) if len(y) else 0.5
         if not len(y):
             return
-        self.idf = np.log((1 + len(y)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
-        x = self.weigh(counts)
-        _, u = np.linalg.eigh(x.T @ x)  # width x width, whatever the sample's size
-        self.axes = np.ascontiguousarray(u[:, ::-1][:, :LATENT], np.float32)
-        self.vectors = unit(x @ self.axes)
+        starts = range(0, len(y), block)
+        held = sum((counts[a : a + block] > 0).sum(0) for a in starts)
+        self.idf = np.log((1 + len(y)) / (1 + held)).astype(np.float32) + 1
+        square = np.zeros((WIDTH, WIDTH), np.float32)  # whatever the sample's size
+        for a in starts:
+            x = self.weigh(counts[a : a + block].astype(np.float32))
+            square += x.T @ x
+        self.axes = leading(square, LATENT)
+        self.vectors = unit(np.concatenate([self.weigh(counts[a : a + block].astype(np.float32)) @ self.axes for a in starts]))
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
         x = counts.copy()
@@ -96,6 +105,15 @@ class Model:
         return (weight * self.y[best]).sum(1) / weight.sum(1)
 
 
+def leading(square: np.ndarray, k: int, rounds: int = 40) -> np.ndarray:
+    """The ``k`` leading eigenvectors of a symmetric matrix without negative eigenvalues, by subspace iteration."""
+    q = np.random.default_rng(5).standard_normal((len(square), 2 * k)).astype(np.float32)
+    for _ in range(rounds):
+        q, _ = np.linalg.qr(square @ q)
+    w, u = np.linalg.eigh(q.T @ (square @ q))
+    return np.ascontiguousarray(q @ u[:, np.argsort(-w)[:k]], np.float32)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
@@ -110,11 +128,10 @@ def train(documents: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
 
         return work
 
-    rows = arrow_map(training_rows(documents, labels, "quality", bound).select("text", "y"), make, "x binary, y int").collect()
-    rows.sort()
-    counts = np.frombuffer(b"".join(r.x for r in rows), "<f2") if rows else np.zeros(0)
-    counts = counts.astype(np.float32).reshape(len(rows), WIDTH)
-    return Model(counts, np.array([float(r.y > 0) for r in rows]))
+    rows = arrow_map(training_rows(documents, labels, "quality", bound).select("text", "y"), make, "x binary, y int").toArrow()
+    rows = sorted(zip(rows.column("x").to_pylist(), rows.column("y").to_pylist(), strict=True))
+    counts = np.frombuffer(b"".join(x for x, _ in rows), "<f2").reshape(len(rows), WIDTH)
+    return Model(counts, np.array([float(y > 0) for _, y in rows]))
 
 
 def scorer(sent, column: int):
@@ -134,7 +151,12 @@ def scorer(sent, column: int):
 
 
 def score(documents: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The key and ``score`` of each row.  Null, empty and blank texts score 0; no other column is read."""
+    """The key and ``score`` of each row.
+
+    Null, empty and blank texts score 0; equal rows score equally, and of labelled
+    vectors that are equally near the same ones vote in each run; whole texts are
+    read, however long; no other column is.
+    """
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def make():

@@ -588,6 +588,22 @@ def test_quality_votes(spark, odd):
     assert op9_quality.score(odd, nothing).count() == 11 and op9_quality.keep(odd, nothing, 0.7).count() == 11
 
 
+def test_quality_space_is_that_of_the_leading_vectors():
+    rng = np.random.default_rng(6)
+    x = (rng.standard_normal((300, 120)) * 0.9 ** np.arange(120)).astype(np.float32)
+    square = x.T @ x
+    got, want = op9_quality.leading(square, 10), np.linalg.eigh(square)[1][:, ::-1][:, :10]
+    assert np.allclose(np.abs(np.sum(got * want, 0)), 1, atol=1e-3)
+    counts = np.abs(rng.standard_normal((50, op9_quality.WIDTH))).astype("<f2")
+    y = (np.arange(50) % 2).astype(float)
+    a, b = (op9_quality.Model(counts, y, block) for block in (7, 50))
+    near = op9_quality.unit(a.weigh(counts.astype(np.float32)) @ a.axes) @ a.vectors.T  # every cosine, at once
+    k = np.argsort(-near, 1)[:, : op9_quality.NEIGHBOURS]
+    w = np.maximum(np.take_along_axis(near, k, 1), 1e-6) ** op9_quality.POWER
+    votes = (w * y[k]).sum(1) / w.sum(1)
+    assert np.allclose(a.score(counts.astype(np.float32)), votes, atol=1e-4) and np.allclose(a.idf, b.idf) and a.vectors.shape == b.vectors.shape
+
+
 def test_language_mixtures(spark, sf, odd):
     documents = spark.read.parquet(f"{sf}/documents.parquet")
     model = op10_language.train(documents)
