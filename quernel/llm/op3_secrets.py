@@ -41,7 +41,7 @@ NAMES = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"auth")
 #: log10 guesses from which a value counts as a secret, and one of several words.
 GUESSES, PHRASE = 9.0, 14.0
 #: Words of a ranked dictionary at most, and the texts that must use one.
-DICTIONARY, USED = 50_000, 5
+DICTIONARY, USED = 20_000, 5
 #: The longest unit of a repeat, and the cost of what stands between two words.
 UNITS, BETWEEN = 64, 0.5
 #: Words that guessers try first, most common first.
@@ -209,7 +209,8 @@ def ranked(words: DataFrame | None, most: int = DICTIONARY) -> Ranks:
     """The ``most`` commonest words of a (word, n) table, after those that guessers try first."""
     if words is None:
         return RANK
-    return Ranks(r.word.lower() for r in words.select("word", "n").where("word is not null and word <> ''").orderBy(F.desc("n"), "word").limit(most).collect())
+    first = words.select("word", "n").where("word is not null and word <> ''").orderBy(F.desc("n"), "word").limit(most).toArrow()
+    return Ranks(w.lower() for w in first.column("word").to_pylist())
 
 
 def scan(documents: DataFrame, text: str = "text", key: str = "doc_id", words: DataFrame | None = None) -> DataFrame:
