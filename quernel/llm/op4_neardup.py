@@ -208,12 +208,15 @@ def across(members: DataFrame, mode: str, per: int, of: int, work: Workspace) ->
     that join the components of a block.  All return about as many rows as they
     read, however many candidates there are.
     """
-    open_ = members.groupBy("bk").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    open_ = work.save(open_.select("bk", "size", F.expr(f"cast(ceil(size / greatest({BLOCK}, least({BLOCK_MOST}, size / {BLOCKS}))) as int)").alias("m")), "buckets")
-    total = open_.agg(F.coalesce(F.sum(F.col("size") * F.col("m")), F.lit(0))).first()[0]
-    rows = keys_join(members, open_.drop("size"), "bk").withColumn("p", F.expr("cast(pmod(xxhash64(fp, bk), m) as int)"))
-    rows = rows.withColumn("q", F.explode(F.expr("sequence(0, m - 1)")))
-    rows = rows.withColumns({"i": F.least("p", "q"), "j": F.greatest("p", "q")}).drop("q", "m")
+    # rows of a bucket's largest label are blocks of their own, which need not meet one another
+    sizes = members.groupBy("bk", "label").agg(F.count("*").alias("c")).groupBy("bk").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("size"))
+    each = f"greatest({BLOCK}, least({BLOCK_MOST}, size / {BLOCKS}))"
+    open_ = sizes.where("top.c < size").select("bk", F.col("top.label").alias("top"), F.expr(f"cast(ceil(top.c / {each}) as int)").alias("m"), F.expr(f"cast(ceil((size - top.c) / {each}) as int)").alias("k"), F.expr("size - top.c").alias("others"), F.col("top.c").alias("most"))
+    open_ = work.save(open_, "buckets")
+    total = open_.agg(F.expr("coalesce(sum(most * k + others * (m + k)), 0)")).first()[0]
+    rows = keys_join(members, open_.select("bk", "top", "m", "k"), "bk").withColumn("p", F.expr("cast(if(label = top, pmod(xxhash64(fp, bk), m), m + pmod(xxhash64(fp, bk), k)) as int)"))
+    rows = rows.withColumn("q", F.explode(F.expr("sequence(if(label = top, m, 0), m + k - 1)")))
+    rows = rows.withColumns({"i": F.least("p", "q"), "j": F.greatest("p", "q")}).drop("q", "m", "k", "top")
     names = ("bk", "fp") if mode == "open" else ("a", "b")
     mask, one, least = np.uint64(int("5" * 16, 16)), np.uint64(1), per / of - margin(per, of)
 
