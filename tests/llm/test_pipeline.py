@@ -11,7 +11,8 @@ def test_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, before = docs.columns, docs
     for name, stage in corpus_pipeline.STAGES:
-        after = spark.createDataFrame(stage(spark, before, sf).collect(), stage(spark, before, sf).schema)
+        made = stage(spark, before, sf)
+        after = spark.createDataFrame(made.collect(), made.schema)
         if name != "packing":
             assert after.columns == columns
         rows = {r.doc_id: r.text for r in before.collect()}
