@@ -12,6 +12,11 @@ bucket's least member.  Pairs are then only of interest across the components
 that this leaves: each row's nearest rows in other components follow.  Last, the
 rows that still have candidates across components are brought together with
 their full sets, block by block, and confirmed there, so no link is lost.
+
+A group of near copies shares most of its buckets.  A row's largest bucket is its
+home; rows of one home meet there and nowhere else, so each other bucket sends
+only what its rows of different homes need.  A bucket's blocks are bounded in
+number, not in size: a row is sent about ``BLOCKS`` times at most.
 """
 
 from __future__ import annotations
@@ -32,9 +37,11 @@ SHINGLE, PER, OF = 5, 85, 100
 ROWS, HASHES, BITS, MISS = 4, 256, 2, 1e-5
 #: Standard deviations of the estimate at the limit, and the least margin.
 DEVIATIONS, MARGIN = 4.5, 0.12
-#: A bucket has so many blocks, if that gives each so many nodes at least and at most; pairs of blocks that a task compares.
-BLOCKS, BLOCK, BLOCK_MOST = 16, 128, 4096
+#: A bucket has about so many blocks at most, fewer if they would have less than so many nodes; rows that a task compares.
+BLOCKS, BLOCK = 16, 128
 TASK_ROWS = 4096
+#: Pairs of rows that are looked at at once.
+AT_ONCE = 1 << 21
 #: Neighbours of a row in other components that are tried before all.
 NEAREST = 3
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -200,24 +207,28 @@ def confirm(pairs: DataFrame, full: DataFrame, per: int, of: int, work: Workspac
 def across(members: DataFrame, mode: str, per: int, of: int, work: Workspace) -> DataFrame:
     """What is open between different components within a bucket, compared in blocks.
 
-    ``members``: bk, fp, n, sig, bands, label.  Candidates are pairs of different
-    labels whose estimate allows a link, in the first bucket that they share.
-    Mode ``nearest``: pairs (a, b), of each row's ``NEAREST`` most similar
-    candidates in a block.  Mode ``open``: (bk, fp) of the rows with candidates.
+    ``members``: bk, fp, n, sig, bands, home, label.  Candidates are pairs of
+    different labels whose estimate allows a link: of rows of one home in that
+    bucket, of others in the first bucket that they share.
+    Mode ``nearest``: (bk, a, b), of each row a its ``NEAREST`` most similar
+    candidates b in a block, so each row with candidates is an a.  Mode ``open``: (bk, fp) of the rows with candidates.
     Mode ``links``, with the column shingles: links (a, b) confirmed on full sets
     that join the components of a block.  All return about as many rows as they
     read, however many candidates there are.
     """
-    # rows of a bucket's largest label are blocks of their own, which need not meet one another
-    sizes = members.groupBy("bk", "label").agg(F.count("*").alias("c")).groupBy("bk").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("size"))
-    each = f"greatest({BLOCK}, least({BLOCK_MOST}, size / {BLOCKS}))"
-    open_ = sizes.where("top.c < size").select("bk", F.col("top.label").alias("top"), F.expr(f"cast(ceil(top.c / {each}) as int)").alias("m"), F.expr(f"cast(ceil((size - top.c) / {each}) as int)").alias("k"), F.expr("size - top.c").alias("others"), F.col("top.c").alias("most"))
+    # rows of a bucket's largest label, or else of its largest foreign home, are blocks of their own, which need not meet one another
+    sizes = members.groupBy("bk", "label").agg(F.count("*").alias("c")).groupBy("bk").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("size")).where("top.c < size")
+    homes = members.where("home <> bk").groupBy("bk", "home").agg(F.count("*").alias("c")).groupBy("bk").agg(F.max(F.struct("c", "home")).alias("far"))
+    sizes = sizes.join(homes, "bk", "left").withColumn("most", F.greatest("top.c", "far.c")).where("most < size")
+    each, others = f"greatest({BLOCK}, size / {BLOCKS})", F.expr("size - most")
+    open_ = sizes.select("bk", F.expr("if(top.c = most, top.label, null)").alias("top"), F.expr("if(top.c = most, null, far.home)").alias("far"), F.expr(f"cast(ceil(most / {each}) as int)").alias("m"), F.expr(f"cast(ceil((size - most) / {each}) as int)").alias("k"), others.alias("others"), "most")
     open_ = work.save(open_, "buckets")
-    total = open_.agg(F.expr("coalesce(sum(most * k + others * (m + k)), 0)")).first()[0]
-    rows = keys_join(members, open_.select("bk", "top", "m", "k"), "bk").withColumn("p", F.expr("cast(if(label = top, pmod(xxhash64(fp, bk), m), m + pmod(xxhash64(fp, bk), k)) as int)"))
-    rows = rows.withColumn("q", F.explode(F.expr("sequence(if(label = top, m, 0), m + k - 1)")))
-    rows = rows.withColumns({"i": F.least("p", "q"), "j": F.greatest("p", "q")}).drop("q", "m", "k", "top")
-    names = ("bk", "fp") if mode == "open" else ("a", "b")
+    total = open_.agg(F.expr("coalesce(sum(most * k + others * (m + k - 1)), 0)")).first()[0]
+    rows = keys_join(members, open_.select("bk", "top", "far", "m", "k"), "bk").withColumn("top", F.expr("coalesce(label = top, home = far)"))
+    rows = rows.withColumn("p", F.expr("cast(if(top, pmod(xxhash64(fp, bk), m), m + pmod(xxhash64(fp, bk), k)) as int)"))
+    rows = rows.withColumn("q", F.explode(F.expr("if(top, sequence(m, m + k - 1), array_remove(sequence(0, m + k - 1), p))")))
+    rows = rows.withColumns({"i": F.least("p", "q"), "j": F.greatest("p", "q")}).drop("q", "m", "k", "top", "far")
+    schema = {"nearest": "bk long, a binary, b binary", "open": "bk long, fp binary", "links": "a binary, b binary"}[mode]
     mask, one, least = np.uint64(int("5" * 16, 16)), np.uint64(1), per / of - margin(per, of)
 
     def longs(column, width: int) -> np.ndarray:
@@ -228,23 +239,34 @@ def across(members: DataFrame, mode: str, per: int, of: int, work: Workspace) ->
         label = np.unique(np.array(g.column("label").to_pylist(), object), return_inverse=True)[1]
         if label.max() == 0:
             return []
-        n, p, bk = g.column("n").to_numpy(), g.column("p").to_numpy(), g.column("bk")[0].as_py()
+        n, p, home, bk = g.column("n").to_numpy(), g.column("p").to_numpy(), g.column("home").to_numpy(), g.column("bk")[0].as_py()
         sig, bands = longs(g.column("sig"), LONGS).view(np.uint64), longs(g.column("bands"), bands_for(per, of))
         band = int(np.flatnonzero(bands[0] == bk)[0])
-        two = g.column("i")[0].as_py() != g.column("j")[0].as_py()
-        out, pairs = [], []
-        for at in range(0, len(fp), 512):
-            s = slice(at, at + 512)
+        i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
+        out, step = [], max(1, min(512, AT_ONCE // len(fp)))
+        if mode == "links":
+            shingles_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in g.column("shingles")]
+        up = list(range(label.max() + 1))
+
+        def root(c: int) -> int:
+            while up[c] != c:
+                up[c] = c = up[up[c]]
+            return c
+
+        for at in range(0, len(fp), step):
+            s = slice(at, at + step)
             differ = np.zeros((len(label[s]), len(label)), np.int32)
             for k in range(LONGS):
                 x = sig[s, None, k] ^ sig[None, :, k]
                 differ += np.bitwise_count((x | x >> one) & mask)
             near = estimate(HASHES - differ)
             ok = (near >= least) & (label[s, None] != label) & (n[s, None] * of >= n * per) & (n * of >= n[s, None] * per)
-            if two:
-                ok &= p[s, None] != p
+            # rows of one block, which is not of the largest label or home, meet where it meets block 0
+            ok &= (p[s, None] != p) | ((i == 0) & (p == j))
+            one_home, first = home[s, None] == home, np.ones_like(ok)
             for k in range(band):
-                ok &= bands[s, None, k] != bands[None, :, k]
+                first &= bands[s, None, k] != bands[None, :, k]
+            ok &= np.where(one_home, home == bk, first)
             if mode == "open":
                 out += [(bk, fp[at + x]) for x in np.flatnonzero(ok.any(1))]
                 continue
@@ -252,21 +274,11 @@ def across(members: DataFrame, mode: str, per: int, of: int, work: Workspace) ->
                 near = np.where(ok, near, -1.0)
                 keep = np.zeros_like(ok)
                 np.put_along_axis(keep, np.argsort(-near, axis=1, kind="stable")[:, :NEAREST], True, 1)
-                out += [(min(fp[at + x], fp[y]), max(fp[at + x], fp[y])) for x, y in zip(*np.nonzero(ok & keep), strict=True)]
+                out += [(bk, fp[at + x], fp[y]) for x, y in zip(*np.nonzero(ok & keep), strict=True)]
                 continue
             x, y = np.nonzero(ok & (np.arange(at, at + len(near))[:, None] < np.arange(len(fp))))
-            pairs.append(np.stack([-near[x, y], x + at, y]))
-        if pairs:
-            up = list(range(label.max() + 1))
-
-            def root(c: int) -> int:
-                while up[c] != c:
-                    up[c] = c = up[up[c]]
-                return c
-
-            shingles_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in g.column("shingles")]
-            pairs = np.concatenate(pairs, axis=1)
-            for x, y in pairs[1:, np.argsort(pairs[0], kind="stable")].T.astype(int).tolist():
+            order = np.argsort(-near[x, y], kind="stable")
+            for x, y in zip((x[order] + at).tolist(), y[order].tolist(), strict=True):
                 c, d = root(label[x]), root(label[y])
                 if c != d and linked(shingles_[x], shingles_[y], per, of):
                     up[d] = c
@@ -274,8 +286,8 @@ def across(members: DataFrame, mode: str, per: int, of: int, work: Workspace) ->
         return out
 
     def made(out: list[tuple]) -> pa.RecordBatch:
-        out = sorted(set(out))
-        return pa.RecordBatch.from_pydict({names[0]: pa.array([x for x, _ in out], pa.int64() if mode == "open" else pa.binary()), names[1]: pa.array([y for _, y in out], pa.binary())})
+        out, names = sorted(set(out)), [f.split() for f in schema.split(", ")]
+        return pa.RecordBatch.from_pydict({name: pa.array([x[i] for x in out], pa.int64() if kind == "long" else pa.binary()) for i, (name, kind) in enumerate(names)})
 
     def run(batches):
         rest = None
@@ -290,7 +302,7 @@ def across(members: DataFrame, mode: str, per: int, of: int, work: Workspace) ->
         if rest is not None:
             yield made(found(rest))
 
-    return map_arrow(dealt(rows, total, ["bk", "i", "j"], TASK_ROWS), run, "bk long, fp binary" if mode == "open" else "a binary, b binary").distinct()
+    return map_arrow(dealt(rows, total, ["bk", "i", "j"], TASK_ROWS), run, schema).distinct()
 
 
 def groups(documents: DataFrame, work: Workspace, text: str = "text", key: str = "doc_id", per: int = PER, of: int = OF) -> tuple[DataFrame, DataFrame]:
@@ -304,9 +316,12 @@ def groups(documents: DataFrame, work: Workspace, text: str = "text", key: str =
     some = rows.where(F.col("fp").isNotNull())
     nodes = work.save(some.groupBy("fp").agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
     in_bands = nodes.select(F.explode("bands").alias("bk"), "fp")
-    shared = in_bands.groupBy("bk").agg(F.count("*").alias("size"), F.min("fp").alias("a")).where("size > 1").select("bk", "a")
-    members = work.save(keys_join(nodes.select(F.explode("bands").alias("bk"), "fp", "n", "sig", "bands"), shared, "bk"), "members")
-    used = work.save(keys_join(nodes.select("fp", "rep", "n", "sig"), members.select("fp").distinct(), "fp", "left_semi"), "used")
+    shared = work.save(in_bands.groupBy("bk").agg(F.count("*").alias("size"), F.min("fp").alias("a")).where("size > 1"), "shared")
+    homes = keys_join(in_bands, shared.select("bk", "size"), "bk").groupBy("fp").agg(F.max(F.struct("size", "bk")).alias("home"))
+    homes = work.save(homes.select("fp", "home.bk").withColumnRenamed("bk", "home"), "homes")
+    near = keys_join(nodes.select("fp", "n", "sig", "bands"), homes, "fp")
+    members = work.save(keys_join(near.withColumn("bk", F.explode("bands")), shared.select("bk", "a"), "bk"), "members")
+    used = work.save(keys_join(nodes.select("fp", "rep", "n", "sig"), homes.select("fp"), "fp", "left_semi"), "used")
     full = keys_join(documents.select(key, text), used.select(F.col("rep").alias(key)).distinct(), key, "left_semi")
     full = keys_join(sets(full, text, key).drop("key"), used.select("fp"), "fp", "left_semi")
     full = work.save(full.groupBy("fp").agg(F.first("shingles").alias("shingles")), "sets")
@@ -335,9 +350,12 @@ def groups(documents: DataFrame, work: Workspace, text: str = "text", key: str =
 
     label = work.save(components(links, work), "labels")
     both = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = work.save(keys_join(across(named(label), "nearest", per, of, work), both, ["a", "b"], "left_anti"), "pairs")
+    nearest = work.save(across(named(label), "nearest", per, of, work), "nearest")
+    more = nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = work.save(keys_join(more, both, ["a", "b"], "left_anti"), "pairs")
     label = merged_labels(label, confirm(more, full, per, of, work))
-    rows_ = named(label)
+    # labels only grow, so rows that had no candidates in a bucket have none now
+    rows_ = keys_join(named(label), nearest.select("bk", F.col("a").alias("fp")).distinct(), ["bk", "fp"], "left_semi")
     open_ = work.save(across(rows_, "open", per, of, work), "open")
     if not open_.isEmpty():
         some_ = keys_join(rows_, open_, ["bk", "fp"], "left_semi")

@@ -367,6 +367,20 @@ def test_neardup_of_a_large_ambiguous_group(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and len({c for _, c in want.values()}) > 1
 
 
+@pytest.mark.parametrize("homes, copies", [(0, op4_neardup.BLOCKS + 2), (1, 1.1)])
+def test_neardup_sends_a_row_so_often_whatever_its_group(spark, monkeypatch, homes, copies):
+    """Two buckets of the same 100,000 texts without a link: no copies by the square of the size, and none where all rows meet elsewhere."""
+    n, sent = 100_000, []
+    monkeypatch.setattr(op4_neardup, "dealt", lambda df, rows, by, each: sent.append((rows, df.count())) or df.limit(0))
+    rows = spark.range(n).selectExpr("id as bk", "cast(cast(id as string) as binary) as fp", "100L as n", f"array_repeat(0L, {op4_neardup.LONGS}) as sig", "array_repeat(0L, 16) as bands", "1L as home")
+    rows = rows.withColumn("label", rows.fp).withColumn("bk", rows.n * 0 + (1 if not homes else 2))
+    if homes:  # a few that are not in the other bucket
+        rows = rows.selectExpr("bk", "fp", "n", "sig", "bands", "if(hash(fp) % 1000 = 0, 2L, home) as home", "label")
+    for mode in ("nearest", "open"):
+        op4_neardup.across(rows, mode, 85, 100, op4_neardup.Workspace(spark))
+    assert all(x == y and n <= x <= copies * n for x, y in sent) and len(sent) == 2
+
+
 def test_neardup_odd_rows(odd):
     rows = {}
     for r in op4_neardup.components_of(odd).collect():
