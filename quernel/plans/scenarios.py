@@ -189,15 +189,6 @@ def plan_sample(spark, d):
 # sources and sinks
 
 
-def put(path: str, data: bytes) -> None:
-    """A file below the shared folder."""
-    system, at = formats.place(path)
-    system.create_dir(at.rpartition("/")[0], recursive=True)
-    with system.open_output_stream(at) as f:
-        f.write(bytes(data))
-
-
-
 @query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
 def sink_and_source_csv(spark, d):
     """Written as delimited text by one plan and read by the next."""
@@ -245,17 +236,13 @@ def sampled_insert_counts(spark, d):
 @query("SELECT c_custkey, c_acctbal, c_nationkey, c_nationkey % 2 = 0 AS even FROM customer")
 def source_binary(spark, d):
     """Rows of fixed size, read in ranges."""
-    path, rows = shared(spark), read(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey").toPandas()
-    put(path, np.rec.fromarrays([rows.c_custkey, rows.c_acctbal, rows.c_nationkey, rows.c_nationkey % 2 == 0], np.dtype([("k", ">i8"), ("b", ">f8"), ("n", ">i4"), ("e", "?")])).tobytes())
+    path = formats.write_binary(read(spark, d, "customer").selectExpr("c_custkey", "c_acctbal", "c_nationkey", "c_nationkey % 2 = 0"), shared(spark))
     return formats.binary_rows(spark, path, Schema(("LONG_TYPE", "DOUBLE_TYPE", "INT_TYPE", "BOOLEAN_TYPE"), ("c_custkey", "c_acctbal", "c_nationkey", "even")))
 
 
 @query("SELECT p_partkey, p_name FROM part")
 def source_binary_text(spark, d):
-    path, out = shared(spark), bytearray()
-    for r in read(spark, d, "part").select("p_partkey", "p_name").toLocalIterator():
-        out += struct.pack("<qH", r[0], len(r[1].encode())) + r[1].encode()
-    put(path, out)
+    path = formats.write_binary(read(spark, d, "part").select("p_partkey", "p_name"), shared(spark), little=True)
     return formats.binary_rows(spark, path, Schema(("LONG_TYPE", "STRING_TYPE"), ("p_partkey", "p_name")), little=True)
 
 
@@ -277,11 +264,7 @@ def source_tipsy(spark, d):
 
 @query('SELECT o_custkey % 60000 AS time, (o_orderkey % 60000)::INTEGER AS "D1", (o_custkey % 7)::INTEGER AS chl_big FROM orders'.replace("o_custkey % 60000 AS time", "(o_custkey % 60000)::INTEGER AS time"))
 def source_seaflow(spark, d):
-    path, rows = shared(spark), read(spark, d, "orders").selectExpr("o_custkey % 60000 a", "o_orderkey % 60000 b", "o_custkey % 7 c").toPandas()
-    table = np.zeros(len(rows), formats.SeaFlow.ROW)
-    table["mark"] = 10
-    table["v"][:, 0], table["v"][:, 2], table["v"][:, 9] = rows.a, rows.b, rows.c
-    put(path, struct.pack("<i", len(rows)) + table.tobytes())
+    path = formats.write_seaflow(read(spark, d, "orders").selectExpr("o_custkey % 60000 time", "o_orderkey % 60000 D1", "o_custkey % 7 chl_big"), shared(spark))
     return formats.seaflow(spark, path).select("time", "D1", "chl_big")
 
 

@@ -495,3 +495,19 @@ def test_generated_relations(spark):
     one = generated.batch(spark, [(1, "a")], Schema(("INT_TYPE", "STRING_TYPE"), ("i", "s")))
     assert [tuple(r) for r in generated.repeated(one, 2).collect()] == [(1, "a"), (1, "a")] and generated.repeated(one, 0).count() == 0
     assert generated.singleton(spark).collect()[0][0] == 0 and generated.empty(spark, Schema(("INT_TYPE",))).count() == 0
+
+
+def test_files_of_sources_are_written_by_tasks(spark, sf, tmp_path, monkeypatch):
+    """No rows come to the driver, and large tables become several files."""
+    for name in ("toPandas", "toLocalIterator"):
+        monkeypatch.setattr(type(spark.range(1)), name, lambda *a, **k: pytest.fail("rows are sent to the driver"))
+    for name in ("source_seaflow", "source_binary", "source_binary_text"):
+        assert scenarios.QUERIES[name](spark, sf).count() > 0
+    monkeypatch.setattr(formats, "RANGE", 3)
+    df = spark.range(10).coalesce(1).selectExpr("id * 7000 time", "id chl_big")
+    path = formats.write_seaflow(df, str(tmp_path / "s"))
+    assert path.count(",") == 3 and sorted((r.time, r.D1, r.chl_big) for r in formats.seaflow(spark, path).collect()) == [(7000 * i, 0, i) for i in range(10)]
+    assert formats.seaflow(spark, formats.write_seaflow(df.limit(0), str(tmp_path / "none"))).count() == 0
+    for bad in ("70000 time", "cast(null as int) time"):
+        with pytest.raises(Exception):  # noqa: B017
+            formats.write_seaflow(df.selectExpr(bad), str(tmp_path / "bad"))
