@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import struct
 import uuid
 from functools import partial
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -250,16 +248,9 @@ def source_binary_text(spark, d):
 FROM (SELECT (c_nationkey % 3)::INTEGER AS t, c_custkey AS k FROM customer)""")
 def source_tipsy(spark, d):
     """Particles of three kinds, with their order and group files."""
-    path, rows = shared(spark), read(spark, d, "customer").selectExpr("c_nationkey % 3 t", "c_custkey k").toPandas().sort_values(["t", "k"])
-    counts = [int((rows.t == t).sum()) for t in range(3)]
-    out = struct.pack(">diiiiii", 1.0, len(rows), 3, *counts, 0)
-    tails = {0: [8, 0, 0, 0, 11], 1: [10, 11], 2: [0, 9, 10, 11]}
-    for t, k in zip(rows.t, rows.k, strict=True):
-        out += struct.pack(f">{7 + len(tails[t])}f", k, *[0] * 6, *tails[t])
-    put(f"{path}/p", out)
-    put(f"{path}/o", "\n".join(map(str, [len(rows), *range(1001, 1001 + len(rows))])).encode())
-    put(f"{path}/g", "\n".join(map(str, [len(rows), *(rows.k % 7)])).encode())
-    return formats.tipsy(spark, f"{path}/p", f"{path}/o", f"{path}/g").select("iOrder", "mass", "rho", "tform", "eps", "phi", "grp", "type")
+    rows = rel.counter(read(spark, d, "customer").selectExpr("c_nationkey % 3 t", "c_custkey k"), "i", ["t", "k"])
+    kinds = rows.selectExpr("i + 1001 iOrder", "k mass", "if(t = 0, 8, 0) rho", "if(t = 2, 9, 0) tform", "if(t > 0, 10, 0) eps", "11 phi", "k % 7 grp", "element_at(array('gas', 'dark', 'star'), t + 1) type")
+    return formats.tipsy(spark, *formats.write_tipsy(kinds, shared(spark))).select("iOrder", "mass", "rho", "tform", "eps", "phi", "grp", "type")
 
 
 @query('SELECT o_custkey % 60000 AS time, (o_orderkey % 60000)::INTEGER AS "D1", (o_custkey % 7)::INTEGER AS chl_big FROM orders'.replace("o_custkey % 60000 AS time", "(o_custkey % 60000)::INTEGER AS time"))
@@ -272,18 +263,12 @@ def source_seaflow(spark, d):
 FROM (SELECT s_suppkey AS k, s_suppkey::INTEGER AS i, CASE WHEN s_suppkey % 2 = 0 THEN 'gas' ELSE 'star' END AS t FROM supplier)""")
 def source_nchilada(spark, d):
     """Particles by folder and attribute; dark ones have none."""
-    path, groups = shared(spark), []
-    rows = read(spark, d, "supplier").selectExpr("s_suppkey k").toPandas()
-    for kind, ks in (("gas", rows.k[rows.k % 2 == 0]), ("star", rows.k[rows.k % 2 == 1])):
-        files = {"iord": ks.to_numpy(">i4"), "pos": np.stack([ks, ks + 1, ks + 2], 1).astype(">f4")}
-        files |= {"igasord": np.full(len(ks), 5, ">i4"), "GasDensity": ks.to_numpy(">f4")} if kind == "gas" else {"massform": ks.to_numpy(">f4")}
-        for name, values in files.items():
-            width = values.shape[1] if values.ndim > 1 else 1
-            head = struct.pack(">idiiii", formats.MAGIC, 0.0, 0, len(ks), width, formats.INT_CODE if values.dtype == ">i4" else formats.FLOAT_CODE)
-            put(f"{path}/{kind}/{name}", head + bytes(8 * width) + values.tobytes())
-        groups += (ks % 5).tolist()
-    put(f"{path}/g", "\n".join(map(str, [len(groups), *groups])).encode())
-    return formats.nchilada(spark, path, f"{path}/g").select("iord", "igasord", "GasDensity", "massform", "x", "y", "z", "grp", "type")
+    rows = read(spark, d, "supplier").selectExpr("s_suppkey k", "s_suppkey % 2 = 0 gas").selectExpr(
+        "k iord", "5L igasord", "float(k) GasDensity", "float(k) massform", "float(k) x", "float(k + 1) y", "float(k + 2) z", "k % 5 grp", "if(gas, 'gas', 'star') type"
+    )
+    xyz = ["iord", "x", "y", "z"]
+    path, groups = formats.write_nchilada(rows, shared(spark), {"gas": [*xyz, "igasord", "GasDensity"], "star": [*xyz, "massform"]})
+    return formats.nchilada(spark, path, groups).select("iord", "igasord", "GasDensity", "massform", "x", "y", "z", "grp", "type")
 
 
 # expressions and functions

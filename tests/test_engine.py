@@ -501,7 +501,7 @@ def test_files_of_sources_are_written_by_tasks(spark, sf, tmp_path, monkeypatch)
     """No rows come to the driver, and large tables become several files."""
     for name in ("toPandas", "toLocalIterator"):
         monkeypatch.setattr(type(spark.range(1)), name, lambda *a, **k: pytest.fail("rows are sent to the driver"))
-    for name in ("source_seaflow", "source_binary", "source_binary_text"):
+    for name in ("source_seaflow", "source_binary", "source_binary_text", "source_tipsy", "source_nchilada"):
         assert scenarios.QUERIES[name](spark, sf).count() > 0
     monkeypatch.setattr(formats, "RANGE", 3)
     df = spark.range(10).coalesce(1).selectExpr("id * 7000 time", "id chl_big")
@@ -511,3 +511,10 @@ def test_files_of_sources_are_written_by_tasks(spark, sf, tmp_path, monkeypatch)
     for bad in ("70000 time", "cast(null as int) time"):
         with pytest.raises(Exception):  # noqa: B017
             formats.write_seaflow(df.selectExpr(bad), str(tmp_path / "bad"))
+    rows = spark.range(8).coalesce(1).selectExpr("id + 100 iOrder", "id mass", "float(id) x", "float(id + 1) y", "float(id + 2) z", "id metals", "9 - id grp", "element_at(array('gas', 'dark', 'star'), int(id % 3) + 1) type")
+    paths = formats.write_tipsy(rows, str(tmp_path / "t"))
+    assert paths[0].count(",") == 2
+    assert sorted(tuple(r) for r in formats.tipsy(spark, *paths).select("iOrder", "mass", "z", "metals", "grp", "type").collect()) == [(i + 100, i, i + 2, i * (i % 3 != 1), 9 - i, ("gas", "dark", "star")[i % 3]) for i in range(8)]
+    paths = formats.write_nchilada(rows.withColumn("metals", F.expr("float(metals)")), str(tmp_path / "n"), {"gas": ["metals"], "dark": ["x", "y", "z"], "star": ["metals"]})
+    assert paths[0].count(",") == 2
+    assert sorted(tuple(r) for r in formats.nchilada(spark, *paths).select("grp", "metals", "type").collect()) == [(9 - i, i * (i % 3 != 1), ("gas", "dark", "star")[i % 3]) for i in range(7, -1, -1)]
