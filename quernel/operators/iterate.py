@@ -197,6 +197,46 @@ def fixpoint(initial: dict[str, DataFrame], states: dict, rules: Callable[[Held,
     raise PlanError(f"no fix-point in {most} rounds")
 
 
+#: Nodes of a piece of a group in ``generations``, about.
+PIECE = 1000
+
+
+def generations(arcs: DataFrame) -> DataFrame:
+    """The pairs (x, y) of one generation: different children of a parent, and children of such a pair.
+
+    ``arcs``: (a, b) rows, from parent to child.  There are as many pairs as the
+    square of a generation, so only those of parents go through the recursion.
+    Nodes that have the same parents are alike: what groups of them meet is found
+    for the groups, and their pairs are spread out at the end, a piece of one
+    group with a piece of another at a time, without a shuffle of pairs.
+    """
+    from .relational import join
+
+    arcs = cut(arcs.toDF("a", "b").distinct())
+    inner = cut(arcs.join(arcs.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+    start = join(inner, inner, ["a"], ["a"], ["b"], ["b"], ["x", "y"]).where("x <> y")
+
+    def step(held, delta):
+        down = join(delta["sg"], inner, ["x"], ["a"], ["y"], ["b"], ["y", "x2"])
+        return {"sg": join(down, inner, ["y"], ["a"], ["x2"], ["b"], ["x", "y"])}
+
+    sg = fixpoint({"sg": start}, {"sg": DupElim()}, step)["sg"]
+    nodes = cut(arcs.groupBy("b").agg(F.sort_array(F.collect_set("a")).alias("g")))
+    groups = cut(nodes.groupBy("g").agg(F.count("*").alias("n")))
+    one = groups.select(F.col("g").alias("g1"), F.explode("g").alias("x"))
+    two = groups.select(F.col("g").alias("g2"), F.explode("g").alias("y"))
+    same = one.join(two, F.col("x") == F.col("y")).select("g1", "g2", F.lit(False).alias("itself"))
+    kin = one.join(sg, "x").join(two, "y").select("g1", "g2", F.lit(True).alias("itself"))
+    met = same.union(kin).groupBy("g1", "g2").agg(F.max("itself").alias("itself"))
+    piece = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PIECE))
+    pieces = cut(nodes.join(groups, "g").groupBy("g", piece.alias("p")).agg(F.collect_list("b").alias("nodes")))
+    side = lambda k: pieces.toDF(f"g{k}", f"p{k}", f"nodes{k}")
+    # a number of its own, since Spark would take these few rows into one task
+    dealt = met.join(side(1), "g1").join(side(2), "g2").repartition(int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g1", "p1", "g2", "p2")
+    pairs = dealt.select(F.explode("nodes1").alias("x"), "nodes2", "itself").select("x", F.explode("nodes2").alias("y"), "itself")
+    return pairs.where("itself or x <> y").select("x", "y")
+
+
 def do_while(state: dict, body: Callable[[dict], dict], condition: Callable[[dict], DataFrame], most: int = MOST) -> dict:
     """Runs the body, then reads the condition's only value, and repeats while it is true."""
     for _ in range(most):

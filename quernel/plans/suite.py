@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import relational as rel
-from ..operators.iterate import CountFilter, DupElim, KeepMinValue, cut, do_while, fixpoint
+from ..operators.iterate import CountFilter, DupElim, KeepMinValue, cut, do_while, fixpoint, generations
 from ..streaming import windows
 
 QUERIES: dict = {}
@@ -400,14 +400,7 @@ def sssp(spark, d):
 def same_generation(spark, d):
     """Nations of a region, and suppliers whose nations are the same or of the same generation."""
     nations = read(spark, d, "nation").selectExpr("cast(n_regionkey as long) a", "cast(n_nationkey as long) + 100 b")
-    e = cut(nations.union(read(spark, d, "supplier").selectExpr("cast(s_nationkey as long) + 100", "s_suppkey + 1000")))
-    start = rel.join(e, e, ["a"], ["a"], ["b"], ["b"], ["x", "y"]).where("x <> y")
-
-    def step(held, delta):
-        up = rel.join(delta["sg"], e, ["x"], ["a"], ["y"], ["b"], ["y", "x2"])
-        return {"sg": rel.join(up, e, ["y"], ["a"], ["x2"], ["b"], ["x", "y"])}
-
-    return fixpoint({"sg": start}, {"sg": DupElim()}, step)["sg"]
+    return generations(nations.union(read(spark, d, "supplier").selectExpr("cast(s_nationkey as long) + 100", "s_suppkey + 1000")))
 
 
 @query("WITH RECURSIVE e AS (SELECT DISTINCT a, b FROM (SELECT (c_custkey + 1) // 10 AS a, c_custkey + 1 AS b FROM customer UNION SELECT (c_custkey + 1) // 9, c_custkey + 1 FROM customer) WHERE b >= 50), f(b) AS (SELECT b FROM e GROUP BY b HAVING count(*) < 2 UNION SELECT e.b FROM f JOIN e ON f.b = e.a) SELECT i AS x FROM generate_series(0, 49) t(i) UNION ALL SELECT DISTINCT b FROM e WHERE b NOT IN (SELECT b FROM f)")

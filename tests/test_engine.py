@@ -518,3 +518,25 @@ def test_files_of_sources_are_written_by_tasks(spark, sf, tmp_path, monkeypatch)
     paths = formats.write_nchilada(rows.withColumn("metals", F.expr("float(metals)")), str(tmp_path / "n"), {"gas": ["metals"], "dark": ["x", "y", "z"], "star": ["metals"]})
     assert paths[0].count(",") == 2
     assert sorted(tuple(r) for r in formats.nchilada(spark, *paths).select("grp", "metals", "type").collect()) == [(9 - i, i * (i % 3 != 1), ("gas", "dark", "star")[i % 3]) for i in range(7, -1, -1)]
+
+
+def test_generations(spark, monkeypatch):
+    """Against the rules as they stand, where nodes have several parents; only pairs of parents are written."""
+    import random
+
+    from quernel.operators import iterate
+
+    for seed, piece in ((1, 1000), (2, 2)):
+        monkeypatch.setattr(iterate, "PIECE", piece)
+        draw = random.Random(seed)
+        arcs = {(draw.randrange(level * 6, level * 6 + 6), draw.randrange(level * 6 + 6, level * 6 + 12)) for level in range(3) for _ in range(9)}
+        held, new = set(), {(p, q) for a, p in arcs for b, q in arcs if a == b and p != q}
+        while new - held:
+            held |= new
+            new = {(p, q) for a, p in arcs for b, q in arcs if (a, b) in held}
+        found = [tuple(r) for r in iterate.generations(spark.createDataFrame([*arcs, *arcs], "a long, b long")).collect()]
+        assert sorted(found) == sorted(held) and any(x == y for x, y in held)
+    written = []
+    monkeypatch.setattr(iterate, "cut", lambda df, f=iterate.cut: written.append((out := f(df)).count()) or out)
+    assert iterate.generations(spark.range(400).selectExpr("id % 2 a", "id + 10 b")).count() == 2 * 200 * 199
+    assert sum(written) < 2000
