@@ -234,16 +234,28 @@ def multiway_triangle(spark, d):
 
 @query("SELECT count(*) AS n " + TRIANGLE)
 def hypercube_triangle(spark, d):
-    """The triangle count, each cell of a cube joining by itself; the tables' sizes give the cube its dimensions."""
-    s, t, r = map(cut, sides(spark, d))
-    cells = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cube = rel.shares([r.count(), s.count(), t.count()], [{0, 1}, {1, 2}, {2, 0}], min(cells, 512))
-    r = rel.hypercube(r.toDF("x", "y"), cube, {0: "x", 1: "y"})
-    s = rel.hypercube(s.toDF("y", "z"), cube, {1: "y", 2: "z"})
-    t = rel.hypercube(t.toDF("z", "x"), cube, {2: "z", 0: "x"})
+    """The triangle count, each cell of a cube joining by itself; the tables' sizes give the cube its dimensions.
+
+    A row goes to as many cells as the cube is long in the dimension that it
+    lacks, so the cube has a cell for each core, however many rows there are: the
+    joins deal a cell's rows to several tasks.  Repeated rows are left out where
+    they have arrived.
+    """
+    li = read(spark, d, "lineitem")
+    names = [("l_suppkey", "l_partkey"), ("l_partkey", "l_orderkey"), ("l_orderkey", "l_suppkey")]
+    sizes = li.agg(*[F.approx_count_distinct(F.struct(a, b)) for a, b in names]).first()
+    cube = rel.shares([*sizes], [{0, 1}, {1, 2}, {2, 0}], cells(spark))
+    r, s, t = (rel.hypercube(li.select(F.col(a).alias(x), F.col(b).alias(y)), cube, {i: x, j: y}) for (a, b), (i, x), (j, y) in zip(names, ((0, "x"), (1, "y"), (2, "z")), ((1, "y"), (2, "z"), (0, "x")), strict=True))
+    s, t = (side.repartition("cell", "z").distinct() for side in (s, t))
+    r = r.repartition("cell", "x", "y").distinct()
     return s.join(t, ["cell", "z"]).join(r, ["cell", "x", "y"]).agg(F.count("*").alias("n"))
 
 
+def cells(spark) -> int:
+    """Cells of a cube: as many as there are cores, from 8 to 64."""
+    return min(max(8, spark.sparkContext.defaultParallelism), 64)
+
+
 @query("SELECT o_orderkey, round(o_totalprice - m, 2) AS over_ FROM orders CROSS JOIN (SELECT avg(o_totalprice) AS m FROM orders)")
 def cross_singleton(spark, d):
     o = read(spark, d, "orders")

@@ -540,3 +540,17 @@ def test_generations(spark, monkeypatch):
     monkeypatch.setattr(iterate, "cut", lambda df, f=iterate.cut: written.append((out := f(df)).count()) or out)
     assert iterate.generations(spark.range(400).selectExpr("id % 2 a", "id + 10 b")).count() == 2 * 200 * 199
     assert sum(written) < 2000
+
+
+def test_a_cube_does_not_grow_with_the_partitions(spark, sf, monkeypatch):
+    """Each row is sent to as many cells, whatever the size of the tables, and is not written before."""
+    seen, hypercube, before = [], suite.rel.hypercube, spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(suite.rel, "hypercube", lambda df, cube, hashed: seen.append(tuple(cube)) or hypercube(df, cube, hashed))
+    monkeypatch.setattr(suite, "cut", lambda df: pytest.fail("the sides are written"))
+    try:
+        for n in (4, 400):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            suite.QUERIES["hypercube_triangle"](spark, sf)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(set(seen)) == 1 and seen[0][0] * seen[0][1] * seen[0][2] <= 64
