@@ -48,6 +48,11 @@ def shared(spark: SparkSession) -> str:
     return f"{folder(spark)}/quernel-{uuid.uuid4().hex}"
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """A side of a join that is shuffled: a broadcast in each round would bring its rows to the driver."""
+    return df.hint("merge")
+
+
 class State:
     """How a recursive relation takes up candidate rows.
 
@@ -76,7 +81,8 @@ class DupElim(State):
     """Keeps the first sight of a row; new are the rows not seen."""
 
     def fresh(self, held: DataFrame, new: DataFrame) -> DataFrame:
-        return new.subtract(held)
+        seen = apart(held.toDF(*[f"__{i}" for i in range(len(held.columns))]))
+        return new.distinct().join(seen, reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(new.columns)]), "left_anti")
 
     def first(self, df: DataFrame) -> DataFrame:
         return df.distinct()
@@ -109,7 +115,7 @@ class KeepMinValue(State):
 
     def fresh(self, held: DataFrame, new: DataFrame) -> DataFrame:
         old = held.groupBy(*self.keys).agg(F.min(F.struct(*self.values)).alias("__old"))
-        return self.least(new).join(old, list(self.keys), "left").where(F.col("__old").isNull() | (F.struct(*self.values) < F.col("__old"))).select(*new.columns)
+        return self.least(new).join(apart(old), list(self.keys), "left").where(F.col("__old").isNull() | (F.struct(*self.values) < F.col("__old"))).select(*new.columns)
 
 
 @dataclass(frozen=True)
@@ -131,7 +137,7 @@ class CountFilter(State):
 
     def out(self, held: DataFrame, fresh: DataFrame) -> DataFrame:
         """The keys that have passed with ``fresh`` and had not before."""
-        return self.passed(held.union(fresh)).join(self.passed(held), list(self.keys), "left_anti")
+        return self.passed(held.union(fresh)).join(apart(self.passed(held)), list(self.keys), "left_anti")
 
     def told(self, df: DataFrame) -> DataFrame:
         return self.passed(df)

@@ -361,7 +361,7 @@ def mutual_recursion(spark, d):
     """Nodes reached by an even and by an odd number of steps: two relations, each made from the other."""
     e = cut(parents(spark, d).select("a", "b").distinct())
     start = {"even": spark.range(1).selectExpr("id node"), "odd": spark.range(0).selectExpr("id node")}
-    next_ = lambda df: rel.join(df, e, ["node"], ["a"], [], ["b"], ["node"])
+    next_ = lambda df: rel.join(df, e, ["node"], ["a"], [], ["b"], ["node"], hint="merge")
     held = fixpoint(start, {"even": DupElim(), "odd": DupElim()}, lambda held, delta: {"even": next_(delta["odd"]), "odd": next_(delta["even"])})
     return held["even"].withColumn("odd", F.lit(False)).union(held["odd"].withColumn("odd", F.lit(True)))
 

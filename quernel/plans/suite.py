@@ -385,7 +385,7 @@ def parents(spark, d) -> DataFrame:
 @query("WITH RECURSIVE e AS (SELECT DISTINCT a, b FROM " + PARENTS + "), tc(a, b) AS (SELECT a, b FROM e UNION SELECT tc.a, e.b FROM tc JOIN e ON tc.b = e.a) SELECT a, b FROM tc")
 def tc_reach(spark, d):
     e = cut(parents(spark, d).select("a", "b").distinct())
-    step = lambda held, delta: {"tc": rel.join(delta["tc"], e, ["b"], ["a"], ["a"], ["b"], ["a", "b"])}
+    step = lambda held, delta: {"tc": rel.join(delta["tc"], e, ["b"], ["a"], ["a"], ["b"], ["a", "b"], hint="merge")}
     return fixpoint({"tc": e}, {"tc": DupElim()}, step)["tc"]
 
 
@@ -396,7 +396,7 @@ def cc_labels(spark, d):
     e = c.selectExpr("c_custkey a", "c_custkey - c_custkey % 10 b").union(c.selectExpr("c_custkey", "c_custkey - c_custkey % 15"))
     e = cut(e.union(e.select("b", "a")).distinct())
     start = e.selectExpr("a node", "a label").distinct()
-    step = lambda held, delta: {"cc": rel.join(delta["cc"], e, ["node"], ["a"], ["label"], ["b"]).select(F.col("b").alias("node"), "label")}
+    step = lambda held, delta: {"cc": rel.join(delta["cc"], e, ["node"], ["a"], ["label"], ["b"], hint="merge").select(F.col("b").alias("node"), "label")}
     return fixpoint({"cc": start}, {"cc": KeepMinValue(("node",), ("label",))}, step)["cc"]
 
 
@@ -404,7 +404,7 @@ def cc_labels(spark, d):
 def sssp(spark, d):
     e = cut(parents(spark, d))
     start = spark.range(1).selectExpr("id node", "0L dist")
-    step = lambda held, delta: {"s": rel.join(delta["s"], e, ["node"], ["a"], ["dist"], ["b", "w"]).select(F.col("b").alias("node"), (F.col("dist") + F.col("w")).alias("dist"))}
+    step = lambda held, delta: {"s": rel.join(delta["s"], e, ["node"], ["a"], ["dist"], ["b", "w"], hint="merge").select(F.col("b").alias("node"), (F.col("dist") + F.col("w")).alias("dist"))}
     return fixpoint({"s": start}, {"s": KeepMinValue(("node",), ("dist",))}, step)["s"]
 
 
@@ -422,7 +422,7 @@ def count_filter(spark, d):
     e = cut(c.selectExpr("b div 10 a", "b").union(c.selectExpr("b div 9", "b")).distinct().where("b >= 50"))
     start = spark.range(50).selectExpr("id x", "explode(array(-1L, -2L)) p")
     state = CountFilter(("x",), 2)
-    held = fixpoint({"in": start}, {"in": state}, lambda held, delta: {"in": rel.join(delta["in"], e, ["x"], ["a"], ["x"], ["b"], ["p", "x"]).select("x", "p")})
+    held = fixpoint({"in": start}, {"in": state}, lambda held, delta: {"in": rel.join(delta["in"], e, ["x"], ["a"], ["x"], ["b"], ["p", "x"], hint="merge").select("x", "p")})
     return state.passed(held["in"])
 
 

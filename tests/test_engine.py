@@ -554,3 +554,15 @@ def test_a_cube_does_not_grow_with_the_partitions(spark, sf, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(set(seen)) == 1 and seen[0][0] * seen[0][1] * seen[0][2] <= 64
+
+
+def test_rounds_broadcast_nothing(spark, sf, monkeypatch):
+    """What a round joins does not pass through the driver, however small it is."""
+    from quernel.operators import iterate
+
+    plans = []
+    monkeypatch.setattr(iterate, "cut", lambda df, f=iterate.cut: plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(df))
+    assert scenarios.QUERIES["mutual_recursion"](spark, sf).count() > 0
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+    rows = lambda *v: spark.createDataFrame([(x, 1) for x in v], "a int, b int")
+    assert sorted(r.a for r in iterate.DupElim().fresh(rows(1, None), rows(1, 2, 2, 3, None)).collect()) == [2, 3]
